@@ -138,7 +138,7 @@ def verified(clusters: DataFrame, payload: Callable, hashes: int, agree: int, le
     return components(_blocks(dealt(clusters, "cluster"), ["item", "sig", "text"], work, "a long, b long")).toDF("item", "class_id")
 
 
-def near_classes(bands: DataFrame, sigs: DataFrame, texts: DataFrame, payload: Callable, hashes: int, agree: int, least: float) -> DataFrame:
-    """(item, class_id) of all items that have a near-duplicate. texts: (item, text), of which only plausible items are used."""
+def near_classes(bands: DataFrame, sigs: DataFrame, texts: Callable, payload: Callable, hashes: int, agree: int, least: float) -> DataFrame:
+    """(item, class_id) of all items that have a near-duplicate. texts: from a table of plausible items to (item, text)."""
     clusters = materialise(plausible(bands, sigs, hashes, agree))
-    return verified(clusters.join(sigs, "item").join(texts, "item"), payload, hashes, agree, least)
+    return verified(clusters.join(sigs, "item").join(texts(clusters.select("item")), "item"), payload, hashes, agree, least)

@@ -134,8 +134,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = materialise(docs.where("text is not null").select("doc_id", "text").mapInArrow(sign(idf), "doc_id long, copy_of binary, sig binary"))
     texts = materialise(signed.groupBy("copy_of").agg(F.min("doc_id").alias("item"), F.first("sig").alias("sig"), F.count_distinct("doc_id").alias("n_copies")))
     sigs = texts.where("sig is not null").groupBy("item").agg(F.first("sig").alias("sig"))
-    own = docs.where("text is not null").select(F.col("doc_id").alias("item"), "text").dropDuplicates(["item"])
-    found = near_classes(band_keys(sigs), sigs, own, lambda t: weighted(t, idf), HASHES, AGREE, threshold)
+    own = docs.where("text is not null").select(F.col("doc_id").alias("item"), "text")
+    found = near_classes(band_keys(sigs), sigs, lambda some: own.join(some, "item", "left_semi").dropDuplicates(["item"]), lambda t: weighted(t, idf), HASHES, AGREE, threshold)
     classes = texts.join(found, "item", "left").select("copy_of", "n_copies", F.when(F.col("sig").isNull(), None).otherwise(F.coalesce("class_id", "item")).alias("class_id"))
     per_doc = signed.select("doc_id", "copy_of").join(classes, "copy_of").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_copies").alias("n_copies"))
     return (
