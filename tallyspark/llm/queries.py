@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, max_plus, mixing, paragraphs, style_tree, url_rules, warc_zip, weighted_minhash
+from . import language_id, max_plus, mixing, multi_index, paragraphs, product_quantisation, style_tree, url_rules, warc_zip, weighted_minhash
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.neighbours(table(spark, sf_dir, "embeddings"), f"vec_id % {multi_index.QUERY_STEP} = 0")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_quantisation.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages"), url_rules.rules_table(spark))
 
