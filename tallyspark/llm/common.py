@@ -56,6 +56,16 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def fitting(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, broadcast where it has been counted to have no more than `rows` rows; else joins shuffle both sides."""
+    df = materialise(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables that hold only whole groups, from batches whose equal keys stand together. A group is bounded by its maker."""
     held: pa.Table | None = None

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import slices
+from .shingles import byte_slices
 
 WINDOW = 256
 EMBED, WIDTHS, FILTERS = 8, (2, 3, 4), 16
@@ -146,12 +146,12 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], N
     return langs, net
 
 
-def predict(texts: list[str | None], langs: list[str], net: Network | None) -> tuple[list[str], np.ndarray]:
+def predict(texts: pa.Array, langs: list[str], net: Network | None) -> tuple[list[str], np.ndarray]:
     """lang_pred and score of each text."""
-    raw = [t.encode() if net and t is not None and _LETTER.search(t) else b"" for t in texts]
-    names, scores = ["und"] * len(raw), np.zeros(len(raw))
-    for a, b in slices(raw) if net else ():
-        x, of, n = windows(raw[a:b])
+    names, scores = ["und"] * len(texts), np.zeros(len(texts))
+    for a, b, raw in byte_slices(texts) if net else ():
+        raw = [t if _LETTER.search(t.decode()) else b"" for t in raw]
+        x, of, n = windows(raw)
         p = net.probabilities(x).astype(np.float64) * n[:, None]
         at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
         if not len(at):
@@ -165,7 +165,7 @@ def predict(texts: list[str | None], langs: list[str], net: Network | None) -> t
 def _task(langs: list[str], net: Network | None) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = predict(batch.column("text").to_pylist(), langs, net)
+            names, scores = predict(batch.column("text"), langs, net)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return work
@@ -190,7 +190,7 @@ def recognised(docs: DataFrame, least: float = 0.4) -> DataFrame:
         return docs.where("false")
 
     def score(text: pd.Series) -> pd.Series:
-        names, scores = predict(text.tolist(), langs, net)
+        names, scores = predict(pa.array(text, pa.string()), langs, net)
         return pd.Series(np.where(np.array(names) == "und", -1.0, scores))
 
     return docs.where(F.pandas_udf(score, "double")("text") >= least)

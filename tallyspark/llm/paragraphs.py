@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fitting, materialise
 from .near import near_classes
-from .shingles import _BASE, _INVERSE, _power, distinct, mix, shingles, slices, words
+from .shingles import _BASE, _INVERSE, _power, byte_slices, distinct, mix, shingles, words
 from .weighted_minhash import band_keys
 
 LEAST_WORDS = 20
@@ -95,9 +95,9 @@ def units(texts: list[bytes]) -> Iterator[tuple]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0).to_numpy(), [t.encode() for t in batch.column(1).to_pylist()]
-        for a, b in slices(texts):
-            for of, no, key, start, end, n, sig in units(texts[a:b]):
+        ids = batch.column(0).to_numpy()
+        for a, b, texts in byte_slices(batch.column(1)):
+            for of, no, key, start, end, n, sig in units(texts):
                 sigs = pa.nulls(len(of), pa.binary()) if sig is None else pa.array([row.tobytes() for row in sig], pa.binary())
                 ints = [pa.array(v, pa.int32()) for v in (start, end, n)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][of]), pa.array(no, pa.int32()), pa.array(key), *ints, sigs], ["doc_id", "no", "key", "start", "end", "n_words", "sig"])
@@ -123,7 +123,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     lines = found.where("no < 0")
     items = materialise(lines.groupBy("key").agg(*_first(), F.first("sig").alias("sig")).withColumnRenamed("key", "item"))
     texts = lambda some: (
-        some.join(items, "item").select("item", "first.*").join(own.dropDuplicates(["doc_id"]), "doc_id").selectExpr("item", "substring(text, start + 1, end - start) as text")
+        own.join(fitting(some.join(items, "item").select("item", "first.*")), "doc_id").selectExpr("item", "substring(text, start + 1, end - start) as text").dropDuplicates(["item"])
     )
     sigs = items.select("item", "sig")
     classes = materialise(near_classes(band_keys(sigs, BANDS, ROWS), sigs, texts, _sets, HASHES, AGREE, threshold))
@@ -137,8 +137,11 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     )
 
     pieces = found.where("no >= 0")
-    twice = pieces.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n")
-    again = pieces.select("key", "doc_id", "no", "start", "end", "n_words").join(twice, "key").withColumn("kept", F.expr("doc_id = first.doc_id and start = first.start"))
+    # only keys and counts move for the many pieces that stand alone
+    twice = pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    several = materialise(pieces.select("key", "doc_id", "no", "start", "end", "n_words").join(twice, "key"))
+    firsts = several.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    again = several.join(firsts, "key").withColumn("kept", F.expr("doc_id = first.doc_id and start = first.start"))
     by_doc = W.partitionBy("doc_id").orderBy("no")
     runs = (
         again.repartition("doc_id").dropDuplicates(["doc_id", "no"])

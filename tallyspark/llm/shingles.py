@@ -1,7 +1,7 @@
 """Words and word shingles of many texts at once, as 64-bit numbers in numpy arrays.
 
 A word is a run of ASCII letters, digits and bytes of non-ASCII characters, in lower case (ASCII and Latin-1 letters);
-everything else separates words. Texts are handled whole, in slices of about a megabyte, so memory follows the longest text.
+everything else separates words. Texts are handled whole, in slices of half a megabyte, so memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SHINGLE = 5
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -40,16 +42,15 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about SLICE_BYTES each; a longer text stands alone."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > SLICE_BYTES:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+def byte_slices(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of about SLICE_BYTES of a column of texts, with their UTF-8 bytes (null: empty); only one slice is held as objects."""
+    raw = column.cast(pa.binary())
+    size = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(size), 0
+    while at < len(raw):
+        end = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + SLICE_BYTES, side="right")))
+        yield at, end, [t or b"" for t in raw.slice(at, end - at).to_pylist()]
+        at = end
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

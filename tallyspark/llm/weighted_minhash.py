@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fitting, materialise
 from .near import near_classes
-from .shingles import SHINGLE, bounds, distinct, mix, shingles, slices, words
+from .shingles import SHINGLE, bounds, byte_slices, distinct, mix, shingles, words
 
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
@@ -45,9 +45,8 @@ def word_frequencies(docs: DataFrame, buckets: int = WORD_BUCKETS) -> tuple[np.n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(buckets, dtype=np.int64), 0
         for batch in batches:
-            texts = [t.encode() for t in batch.column(0).to_pylist()]
-            for a, b in slices(texts):
-                h, of, _, _ = words(texts[a:b])
+            for _, _, texts in byte_slices(batch.column(0)):
+                h, of, _, _ = words(texts)
                 pair = np.unique(of.astype(_U) * _U(buckets) + h % _U(buckets))
                 total += np.bincount((pair % _U(buckets)).astype(np.int64), minlength=buckets)
                 n += len(np.unique(of))
@@ -108,14 +107,13 @@ def sign(idf: np.ndarray) -> Callable:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                sig, full = signatures(*weighted(texts[a:b], idf), b - a)
+            for a, b, texts in byte_slices(batch.column(1)):
+                sig, full = signatures(*weighted(texts, idf), b - a)
                 raw, sigs = sig.tobytes(), [None] * (b - a)
                 for row, i in enumerate(full.tolist()):
                     sigs[i] = raw[row * 4 * HASHES : (row + 1) * 4 * HASHES]
-                same = [hashlib.blake2b(t, digest_size=16).digest() for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(same, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "copy_of", "sig"])
+                same = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(same, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "copy_of", "sig"])
 
     return work
 
@@ -135,7 +133,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = materialise(signed.groupBy("copy_of").agg(F.min("doc_id").alias("item"), F.first("sig").alias("sig"), F.count_distinct("doc_id").alias("n_copies")))
     sigs = texts.where("sig is not null").groupBy("item").agg(F.first("sig").alias("sig"))
     own = docs.where("text is not null").select(F.col("doc_id").alias("item"), "text")
-    found = near_classes(band_keys(sigs), sigs, lambda some: own.join(some, "item", "left_semi").dropDuplicates(["item"]), lambda t: weighted(t, idf), HASHES, AGREE, threshold)
+    found = near_classes(band_keys(sigs), sigs, lambda some: own.join(fitting(some), "item", "left_semi").dropDuplicates(["item"]), lambda t: weighted(t, idf), HASHES, AGREE, threshold)
     classes = texts.join(found, "item", "left").select("copy_of", "n_copies", F.when(F.col("sig").isNull(), None).otherwise(F.coalesce("class_id", "item")).alias("class_id"))
     per_doc = signed.select("doc_id", "copy_of").join(classes, "copy_of").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_copies").alias("n_copies"))
     return (
