@@ -1,30 +1,54 @@
-"""A corpus pipeline of five stages. Each takes and returns documents; between stages they are written and read again."""
+"""A corpus pipeline of five stages. Each takes and returns documents; between stages they are written and read again.
+
+The last stage returns the encoded documents. A document that the mixing stage gives twice stands twice from there on.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyspark.llm import weighted_minhash
-from tallyspark.llm.common import shared_dir
+from tallyspark.llm import language_id, max_plus, mixing, paragraphs, weighted_minhash
+from tallyspark.llm.common import shared_dir, table
 
 #: None: stages of the pipeline have no SQL form; the tests compare it with brute force.
 ORACLE_SQL = None
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go."""
+    return language_id.recognised(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
     return weighted_minhash.keep_one(docs)
 
 
-STAGES = [("near-dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go but for their first occurrence, with documents that have nothing else."""
+    return paragraphs.cleaned(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stand as often as their rates for the target weights say."""
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
+    return max_plus.encoded(docs).select("doc_id", "n_tokens", "round_trip", F.col("ids"))
+
+
+STAGES = [("language ID", identify_language), ("MinHash near-dedup", near_dedup), ("substring dedup", substring_dedup), ("mixing to target weights", mix), ("SentencePiece", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs
