@@ -1,19 +1,421 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library. Each has its SQL in plans.oracles, under the same name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import amounts, dates, paths, text
+from ..functions.categories import category
+from ..operators import dedup, duplicates, enrich, monthly, signs, stats, transfers, validate
+from . import oracles
+from .views import events, orders, read, strings
+
+AS_OF_YEAR = 2026
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+
+
+def _day() -> F.Column:
+    """Dates leave the queries as text, which every engine compares alike."""
+    return F.col("date").cast("string").alias("date")
+
+
+def query(f: Query) -> Query:
+    _queries[f.__name__] = f
+    return f
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return monthly.category_rollup(orders(spark, sf_dir))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.SQL.items() if k in _queries}
+
+
+@query
+def monthly_category_rollup(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query
+def monthly_net_after_pairs(spark, sf_dir):
+    return monthly.report(events(spark, sf_dir))
+
+
+@query
+def classify_category(spark, sf_dir):
+    return monthly.classified(events(spark, sf_dir)).select("txn_seq", "month", F.col("category_class").alias("category"))
+
+
+@query
+def drilldown_cells(spark, sf_dir):
+    return monthly.drill_down(orders(spark, sf_dir)).select("month", "bucket", "n", "total", F.size("rows").cast("long").alias("listed"), F.col("rows")[0]["txn_seq"].alias("first_seq"))
+
+
+@query
+def parse_dates(spark, sf_dir):
+    written = F.expr(oracles.WRITTEN_DATE)
+    return strings(spark, sf_dir).select("txn_seq", dates.normalize_date(written).cast("string").alias("parsed"))
+
+
+@query
+def parse_amounts(spark, sf_dir):
+    return strings(spark, sf_dir).select("txn_seq", amounts.normalize_amount(F.expr(oracles.WRITTEN_AMOUNT)).alias("parsed"))
+
+
+@query
+def clean_description(spark, sf_dir):
+    return events(spark, sf_dir).select("txn_seq", text.clean_description(F.col("description")).alias("cleaned"))
+
+
+@query
+def normalize_signature_text(spark, sf_dir):
+    return events(spark, sf_dir).select("txn_seq", text.signature_text(F.col("description")).alias("normal"))
+
+
+@query
+def merchant_analysis(spark, sf_dir):
+    return events(spark, sf_dir).select("txn_seq", text.merchant_name(F.col("description")).alias("merchant"))
+
+
+@query
+def merchant_export(spark, sf_dir):
+    return events(spark, sf_dir).select("txn_seq", text.pair_merchant_name(F.col("description")).alias("merchant"))
+
+
+@query
+def institution_from_path(spark, sf_dir):
+    return strings(spark, sf_dir).select("txn_seq", paths.institution(F.col("path")).alias("institution"))
+
+
+@query
+def account_from_path(spark, sf_dir):
+    return strings(spark, sf_dir).select("txn_seq", paths.account(F.col("path")).alias("account"))
+
+
+@query
+def business_days(spark, sf_dir):
+    rows = orders(spark, sf_dir).select("txn_seq", "date", F.date_add("date", (F.col("txn_seq") % 40 - 20).cast("int")).alias("other"))
+    return rows.select("txn_seq", dates.business_days(F.col("date"), F.col("other")).alias("days"), dates.is_business_day(F.col("date")).alias("weekday"))
+
+
+@query
+def token_jaccard(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return rows.select("txn_seq", F.round(text.jaccard(text.merchant_name(F.col("description")), F.concat(F.lit("coffee house "), F.lower("institution"))), 6).alias("similarity"))
+
+
+@query
+def transaction_types(spark, sf_dir):
+    return events(spark, sf_dir).select("txn_seq", text.transaction_type(F.col("description")).alias("kind"))
+
+
+@query
+def signatures(spark, sf_dir):
+    c = F.col
+    return events(spark, sf_dir).select("txn_seq", text.signature(c("transaction_id"), c("amount"), c("description"), c("account")).alias("signature"))
+
+
+@query
+def signature_groups(spark, sf_dir):
+    return dedup.signature_groups(events(spark, sf_dir))
+
+
+@query
+def cluster_sessions(spark, sf_dir):
+    return dedup.clusters(events(spark, sf_dir)).select("txn_seq", F.col("cluster_no").cast("long").alias("cluster_no"), "cluster_size")
+
+
+@query
+def fuzzy_dedup_merge(spark, sf_dir):
+    return dedup.fuzzy(events(spark, sf_dir)).select("txn_seq", _day(), "amount", "description", "transaction_id", "category", "balance", "cluster_size")
+
+
+@query
+def import_dedup_enriched(spark, sf_dir):
+    return dedup.import_merged(events(spark, sf_dir)).select("txn_seq", _day(), "amount", "account_name", "account_type")
+
+
+@query
+def exact_dedup_keep_first(spark, sf_dir):
+    return dedup.exact(events(spark, sf_dir)).select("txn_seq")
+
+
+@query
+def subset_dedup(spark, sf_dir):
+    return dedup.on_columns(events(spark, sf_dir)).select("txn_seq")
+
+
+@query
+def cross_file_duplicates(spark, sf_dir):
+    return dedup.cross_file(events(spark, sf_dir)).select("txn_seq", "cluster_size", "n_files")
+
+
+@query
+def mergeable_accounts(spark, sf_dir):
+    return dedup.mergeable_accounts(events(spark, sf_dir))
+
+
+@query
+def merge_account(spark, sf_dir):
+    return dedup.merged_account(events(spark, sf_dir), "0005", "Chase").select("txn_seq", _day(), "amount", "description")
+
+
+@query
+def dedup_stats(spark, sf_dir):
+    return dedup.statistics(events(spark, sf_dir))
+
+
+@query
+def import_stats(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return stats.import_statistics(rows, dedup.import_merged(rows))
+
+
+@query
+def enrich_accounts(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    dim = rows.select("institution", F.col("account").alias("account_id")).distinct().where("cast(account_id as int) % 2 = 0")
+    dim = dim.withColumn("account_name", F.concat(F.lit("Named "), "account_id")).withColumn("account_type", F.lit("credit"))
+    return enrich.enriched(rows, dim).select("txn_seq", "account_name", "account_type")
+
+
+def _pairs(df: DataFrame, a: str, b: str, *more: str) -> DataFrame:
+    return df.select(F.col(f"{a}.txn_seq").alias(f"{a}_seq"), F.col(f"{b}.txn_seq").alias(f"{b}_seq"), *more)
+
+
+@query
+def transfer_pairs(spark, sf_dir):
+    return _pairs(transfers.transfer_pairs(events(spark, sf_dir)), "source", "dest", "abs_amount", "lag")
+
+
+@query
+def potential_transfers(spark, sf_dir):
+    return _pairs(transfers.potential_transfers(events(spark, sf_dir)), "first", "second", "abs_amount", "lag")
+
+
+@query
+def transfer_pairs_by_day(spark, sf_dir):
+    return transfers.pairs_by_day(transfers.transfer_pairs(events(spark, sf_dir))).select(_day(), "abs_amount", F.size("rows").cast("long").alias("rows"))
+
+
+@query
+def lag_distribution(spark, sf_dir):
+    return transfers.lag_distribution(transfers.transfer_pairs(events(spark, sf_dir)))
+
+
+@query
+def transfer_totals(spark, sf_dir):
+    return transfers.totals_by_amount(transfers.transfer_pairs(events(spark, sf_dir)))
+
+
+@query
+def card_payment_pairs(spark, sf_dir):
+    return _pairs(transfers.card_payment_pairs(events(spark, sf_dir)), "sent", "received", "days")
+
+
+@query
+def internal_transfer_pairs(spark, sf_dir):
+    return _pairs(transfers.internal_transfer_pairs(events(spark, sf_dir)), "sent", "received", "days")
+
+
+@query
+def timing_pairs(spark, sf_dir):
+    return _pairs(transfers.timing_pairs(events(spark, sf_dir)), "source", "dest", "lag")
+
+
+@query
+def unmatched_transfers(spark, sf_dir):
+    return transfers.unmatched_transfers(events(spark, sf_dir)).select("txn_seq")
+
+
+@query
+def unmatched_by_month_top3(spark, sf_dir):
+    return transfers.unmatched_by_month(transfers.unmatched_transfers(events(spark, sf_dir)))
+
+
+@query
+def match_rate(spark, sf_dir):
+    return transfers.match_rate(events(spark, sf_dir))
+
+
+@query
+def cross_month_impact(spark, sf_dir):
+    rows = orders(spark, sf_dir).withColumn("amount", (F.signum("amount") * (F.floor(F.abs("amount") / 500) * 500)).cast("decimal(18,2)"))
+    return transfers.cross_month_impact(transfers.transfer_pairs(rows))
+
+
+@query
+def recent_pairs(spark, sf_dir):
+    return _pairs(transfers.recent_pairs(transfers.transfer_pairs(events(spark, sf_dir))), "source", "dest", "lag")
+
+
+@query
+def spending_near_duplicates(spark, sf_dir):
+    return duplicates.spending_pairs(events(spark, sf_dir))
+
+
+@query
+def duplicate_exposure(spark, sf_dir):
+    return duplicates.exposure(duplicates.spending_pairs(events(spark, sf_dir)))
+
+
+@query
+def pdf_qfx_duplicates(spark, sf_dir):
+    return duplicates.pdf_qfx_pairs(events(spark, sf_dir))
+
+
+@query
+def pdf_qfx_removed(spark, sf_dir):
+    return duplicates.without_pdf_duplicates(events(spark, sf_dir)).select("txn_seq")
+
+
+@query
+def pdf_qfx_removed_amount(spark, sf_dir):
+    return duplicates.removed_amount(duplicates.pdf_qfx_pairs(events(spark, sf_dir)))
+
+
+@query
+def total_builder(spark, sf_dir):
+    return duplicates.total_builder(events(spark, sf_dir)).select("txn_seq", "source_file", "amount")
+
+
+@query
+def sign_stats(spark, sf_dir):
+    return signs.statistics(events(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("spending_ratio", "income_ratio")})
+
+
+def _by_account(spark, sf_dir):
+    # a third of the accounts have card signs
+    rows = events(spark, sf_dir)
+    return rows.withColumn("source_file", F.concat("institution", "account")).withColumn("amount", F.when(F.col("account").cast("int") % 3 == 0, -F.col("amount")).otherwise(F.col("amount")).cast("decimal(18,2)"))
+
+
+@query
+def sign_convention(spark, sf_dir):
+    return signs.decisions(_by_account(spark, sf_dir)).select("source_file", "total", "convention", F.round("confidence", 6).alias("confidence"), "flip")
+
+
+@query
+def sign_corrected(spark, sf_dir):
+    return signs.corrected(_by_account(spark, sf_dir)).select("txn_seq", "amount")
+
+
+@query
+def pdf_sign_convention(spark, sf_dir):
+    return events(spark, sf_dir).select("txn_seq", signs.statement_sign(F.col("amount"), F.col("description")).cast("decimal(18,2)").alias("amount"))
+
+
+def _rough(spark, sf_dir):
+    # some rows with faults
+    return events(spark, sf_dir).withColumns({
+        "description": F.expr("case when txn_seq % 17 = 0 then ' ' when txn_seq % 19 = 0 then 'x' else description end"),
+        "account": F.expr("case when txn_seq % 23 = 0 then '' else account end"),
+        "category": F.expr("case when txn_seq % 29 = 0 then '' else category end"),
+        "amount": F.expr("cast(case when txn_seq % 31 = 0 then 0 when txn_seq % 37 = 0 then 2000000 else amount end as decimal(18,2))"),
+        "date": F.expr("case when txn_seq % 41 = 0 then date '1850-01-01' else date end"),
+    })
+
+
+@query
+def validate_rows(spark, sf_dir):
+    return validate.validated(_rough(spark, sf_dir), AS_OF_YEAR).select("txn_seq", F.array_join("errors", "; ").alias("errors"))
+
+
+@query
+def valid_only(spark, sf_dir):
+    return validate.split_valid(_rough(spark, sf_dir), AS_OF_YEAR)[0].select("txn_seq")
+
+
+@query
+def validation_summary(spark, sf_dir):
+    return validate.summary(_rough(spark, sf_dir), AS_OF_YEAR)
+
+
+@query
+def duplicate_row_flags(spark, sf_dir):
+    return validate.repeated_rows(events(spark, sf_dir), ["date", "amount", "description"]).select("txn_seq", "duplicate")
+
+
+@query
+def dataset_summary(spark, sf_dir):
+    return stats.dataset_summary(orders(spark, sf_dir)).withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")})
+
+
+@query
+def institution_counts(spark, sf_dir):
+    return stats.counts_by(orders(spark, sf_dir), "institution")
+
+
+@query
+def account_type_counts(spark, sf_dir):
+    return stats.counts_by(orders(spark, sf_dir), "account_type")
+
+
+@query
+def payment_patterns_top5(spark, sf_dir):
+    return transfers.payment_patterns(events(spark, sf_dir))
+
+
+@query
+def common_amounts(spark, sf_dir):
+    return stats.common_keys(events(spark, sf_dir), F.col("amount"), F.expr("source_file like '%.pdf.%'"), F.expr("source_file like '%.qfx.%'"))
+
+
+@query
+def common_descriptions(spark, sf_dir):
+    return stats.common_keys(events(spark, sf_dir), F.col("description"), F.expr("source_file like '%.pdf.%'"), F.expr("source_file like '%.qfx.%'"))
+
+
+@query
+def id_frequency(spark, sf_dir):
+    return stats.id_frequency(events(spark, sf_dir))
+
+
+def _files(spark, sf_dir):
+    return spark.sql(oracles.FILES, events=read(spark, sf_dir, "events"))
+
+
+@query
+def batch_summary(spark, sf_dir):
+    return stats.batch_summary(_files(spark, sf_dir))
+
+
+@query
+def institution_file_stats(spark, sf_dir):
+    return stats.institution_files(_files(spark, sf_dir))
+
+
+def _errors(spark, sf_dir):
+    return spark.sql(oracles.ERRORS, events=read(spark, sf_dir, "events"))
+
+
+@query
+def error_summary(spark, sf_dir):
+    return stats.error_summary(_errors(spark, sf_dir))
+
+
+@query
+def top5_errors(spark, sf_dir):
+    return stats.common_errors(_errors(spark, sf_dir))
+
+
+@query
+def transactions_match(spark, sf_dir):
+    rows = events(spark, sf_dir).select("txn_seq", "transaction_id", "date", "amount", "account", "description")
+    a, b = rows.alias("a"), rows.alias("b")
+    return a.join(b, (F.col("a.account") == F.col("b.account")) & (F.col("a.date") == F.col("b.date")) & (F.col("a.txn_seq") < F.col("b.txn_seq"))).where(dedup.matches("a", "b")).select(F.col("a.txn_seq").alias("seq_a"), F.col("b.txn_seq").alias("seq_b"))
+
+
+@query
+def category_of_statement_lines(spark, sf_dir):
+    c = F.col
+    return orders(spark, sf_dir).select("txn_seq", category(c("description"), c("amount"), c("account_type")).alias("category"))
