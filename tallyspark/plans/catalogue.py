@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, paths, text
 from ..functions.categories import category
+from .. import state
 from ..operators import dedup, duplicates, enrich, monthly, signs, stats, transfers, validate
+from ..sources import files as file_sources
+from ..sources import ofx, pdf_lines
 from . import oracles
 from .views import events, orders, read, strings
 
@@ -419,3 +422,42 @@ def transactions_match(spark, sf_dir):
 def category_of_statement_lines(spark, sf_dir):
     c = F.col
     return orders(spark, sf_dir).select("txn_seq", category(c("description"), c("amount"), c("account_type")).alias("category"))
+
+
+@query
+def incremental_skip(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    known = files.where("file_size % 4 <> 0").withColumn("file_hash", F.when(F.col("file_size") % 7 == 0, "old").otherwise(F.col("file_hash")))
+    return state.to_process(files.select("file_path", "file_hash"), known).select("file_path")
+
+
+@query
+def latest_file_state(spark, sf_dir):
+    files = _files(spark, sf_dir).withColumn("file_path", F.col("output_file"))
+    return state.upserted(files.where("not success"), files.where("success")).groupBy("file_path").agg(F.count("*").alias("n"), F.max("file_path").alias("kept"))
+
+
+@query
+def ofx_roundtrip(spark, sf_dir):
+    files = spark.sql(oracles.OFX, orders=read(spark, sf_dir, "orders")).withColumn("content", F.encode("content", "UTF-8"))
+    return ofx.read(files).select("transaction_id", F.col("date").cast("string").alias("date"), "amount", "description", "account", "institution")
+
+
+@query
+def file_formats(spark, sf_dir):
+    files = spark.sql(oracles.OFX, orders=read(spark, sf_dir, "orders"))
+    other = files.select(F.replace("path", F.lit(".qfx"), F.lit(".csv")).alias("path"), F.lit("Date,Amount\n2024-01-01,1.00").alias("content"))
+    pdf = files.select(F.replace("path", F.lit(".qfx"), F.lit(".dat")).alias("path"), F.lit("%PDF-1.7").alias("content"))
+    return file_sources.by_format(files.union(other).union(pdf).withColumn("content", F.encode("content", "UTF-8"))).select("format", "n_files")
+
+
+@query
+def pdf_line_parse(spark, sf_dir):
+    lines = spark.sql(oracles.PDF_LINES, orders=read(spark, sf_dir, "orders"))
+    return pdf_lines.transactions(lines, AS_OF_YEAR).select("source_file", "line_no", F.col("date").cast("string").alias("date"), "amount", "description", "account", "institution")
+
+
+@query
+def pdf_pattern_hits(spark, sf_dir):
+    lines = spark.sql(oracles.PDF_LINES, orders=read(spark, sf_dir, "orders"))
+    return pdf_lines.pattern_hits(lines).select("path", "line_no", F.size("dates").cast("long").alias("dates"), F.size("amounts").cast("long").alias("amounts"))

@@ -19,6 +19,27 @@ select case event_id % 7 when 0 then 'F001' when 1 then 'D001' when 2 then 'V003
   case when event_id % 7 in (0, 3) then 'file' when event_id % 7 in (1, 6) then 'data' else 'other' end as category, 'in/' || cast(event_id % 300 as string) as file_path
 from {events} where event_id % 3 = 0
 """
+#: OFX files of up to 20 orders each, and lines of statements; for Spark and DuckDB.
+OFX = """
+select 'raw/first_tech/export_' || cast(f as string) || '.qfx' as path,
+  'OFXHEADER:100' || chr(10) || 'DATA:OFXSGML' || chr(10) || '<OFX><STMTRS><BANKACCTFROM><ACCTID>' || cast(500000000 + f as string) || chr(10) || '<BANKTRANLIST>' || max(r0) || max(r1) || max(r2) || max(r3) || '</BANKTRANLIST></STMTRS></OFX>' as content
+from (select f, case when nth = 0 then r else '' end as r0, case when nth = 1 then r else '' end as r1, case when nth = 2 then r else '' end as r2, case when nth = 3 then r else '' end as r3 from (
+  select cast(floor(o_orderkey / 4) as bigint) as f, o_orderkey % 4 as nth,
+    '<STMTTRN><TRNTYPE>DEBIT<DTPOSTED>' || cast(year(o_orderdate) as string) || lpad(cast(month(o_orderdate) as string), 2, '0') || lpad(cast(day(o_orderdate) as string), 2, '0') || '120000[-8:PST]' || chr(10)
+    || '<TRNAMT>-' || cast(cast(o_totalprice as decimal(18,2)) as string) || chr(10) || '<FITID>T' || cast(o_orderkey as string) || chr(10) || '<NAME>PAYEE' || chr(10) || '<MEMO>' || o_orderpriority || ' STORE' || chr(10) || '</STMTTRN>' as r
+  from {orders}) as one) as many
+group by f
+"""
+PDF_LINES = """
+select 'raw/chase/statements-8147-' || cast(f as string) || '.pdf' as path, 1 as page, cast(line_no as int) as line_no, line from (
+  select distinct o_orderkey % 50 as f, 0 as line_no, 'Statement Period: 12/15/1995 - 01/14/1996' as line from {orders}
+  union all
+  select o_orderkey % 50 as f, o_orderkey + 1 as line_no,
+    case o_orderkey % 4 when 0 then cast(month(o_orderdate) as string) || '/' || cast(day(o_orderdate) as string) || ' GROCERY ' || o_orderpriority || ' ' || cast(cast(o_orderkey % 900 as decimal(18,2)) as string)
+      when 1 then '1996-' || lpad(cast(month(o_orderdate) as string), 2, '0') || '-' || lpad(cast(day(o_orderdate) as string), 2, '0') || ' Refund from store $' || cast(cast(o_orderkey % 900 as decimal(18,2)) as string)
+      when 2 then 'Page ' || cast(o_orderkey as string) || ' of the statement' else 'Total on 01/15/1996 is unknown' end as line
+  from {orders}) as x
+"""
 #: Expressions over the view of written strings, for Spark and DuckDB.
 WRITTEN_DATE = """case form when 0 then mm || '/' || dd || '/' || yyyy when 1 then yyyy || '-' || mm || '-' || dd when 2 then mm || '/' || dd || '/' || substr(yyyy, 3, 2) when 3 then yyyy || '/' || mm || '/' || dd
   when 4 then yyyy || mm || dd when 5 then yyyy || '-' || mm || '-' || dd || 'T10:00:00' when 6 then mm || '-' || dd || '-' || yyyy else 'unknown' end"""
@@ -244,4 +265,15 @@ SQL = {
     "top5_errors": f"with f as ({sql(ERRORS)}) select code, count(*) as times from f group by code order by times desc, code limit 5",
     "transactions_match": f"""{_T}, n as (select *, {_normal} as d from t) select a.txn_seq as seq_a, b.txn_seq as seq_b from n a join n b on a.account = b.account and a.date = b.date and a.txn_seq < b.txn_seq
       where case when a.transaction_id <> '' and b.transaction_id <> '' then a.transaction_id = b.transaction_id else abs(a.amount - b.amount) <= 0.01 and (a.d = b.d or a.d = '' or b.d = '') end""",
+    "incremental_skip": f"with f as ({sql(FILES)}) select file_path from f where file_size % 4 = 0 or file_size % 7 = 0 or not success",
+    "latest_file_state": f"with f as ({sql(FILES)}) select output_file as file_path, 1::bigint as n, output_file as kept from f group by output_file",
+    "ofx_roundtrip": """select 'T' || cast(o_orderkey as string) as transaction_id, cast(cast(o_orderdate as date) as string) as date, cast(-cast(o_totalprice as decimal(18,2)) as decimal(18,2)) as amount, o_orderpriority || ' STORE' as description,
+      right(cast(500000000 + floor(o_orderkey / 4)::bigint as string), 4) as account, 'First Tech' as institution from orders""",
+    "file_formats": "select unnest(['csv', 'pdf', 'qfx']) as format, (select count(distinct floor(o_orderkey / 4)::bigint) from orders) as n_files",
+    "pdf_line_parse": f"""with l as ({sql(PDF_LINES)}), o as (select l.path, l.line_no, o_orderkey, o_orderdate, o_orderpriority from l join orders on l.line_no = o_orderkey + 1)
+      select path as source_file, cast(100000 + line_no as int) as line_no, case when o_orderkey % 4 = 0 then case when month(o_orderdate) = 12 then '1995' else '1996' end else '1996' end || strftime(o_orderdate, '-%m-%d') as date,
+        cast(case when o_orderkey % 4 = 0 then -(o_orderkey % 900) else o_orderkey % 900 end as decimal(18,2)) as amount, case when o_orderkey % 4 = 0 then 'GROCERY ' || o_orderpriority else 'Refund from store' end as description, '8147' as account, 'Chase' as institution
+      from o where o_orderkey % 4 in (0, 1)""",
+    "pdf_pattern_hits": f"""with l as ({sql(PDF_LINES)}) select path, line_no, cast(case when line_no = 0 then 2 when (line_no - 1) % 4 in (1, 3) then 1 else 0 end as bigint) as dates, cast(case when line_no > 0 and (line_no - 1) % 4 in (0, 1) then 1 else 0 end as bigint) as amounts
+      from l where line_no = 0 or (line_no - 1) % 4 <> 2""",
 }
