@@ -172,8 +172,8 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 def cleaned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the repeated passages that aren't kept, n_chars set anew; a document with nothing left but white space goes."""
-    gone = repeated_passages(docs, threshold).where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_chars")).alias("spans"))
-    both = docs.join(gone, "doc_id", "left").withColumn("text", F.pandas_udf(_without, "string")("text", "spans"))
+    gone = repeated_passages(docs, threshold).where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_chars")).alias("__spans"))
+    both = docs.join(gone, "doc_id", "left").withColumn("text", F.pandas_udf(_without, "string")("text", "__spans"))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return both.where(F.col("spans").isNull() | (F.trim(F.translate("text", "\n\t\r", "   ")) != "")).select(docs.columns)
+        both = both.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return both.where(F.col("__spans").isNull() | (F.trim(F.translate("text", "\n\t\r", "   ")) != "")).select(docs.columns)
