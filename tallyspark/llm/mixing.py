@@ -55,7 +55,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     prior = [math.log((counts.get(d, 0) + 1) / (total + len(DOMAINS))) for d in DOMAINS]
     share = min(1.0, sample_docs / max(total, 1))
     sample = named.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000).limit(2 * sample_docs)
-    each = docs.where("text is not null").join(F.broadcast(sample), "doc_id").select("domain", F.explode(_buckets()).alias("bucket"))
+    each = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", F.explode(_buckets()).alias("bucket"))
     seen = each.groupBy("bucket").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]).collect()
     n = [[1.0] * BUCKETS for _ in DOMAINS]
     for r in seen:
