@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fitting, materialise
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.93, "low": 0.06, "toxic": 0.01}
@@ -118,10 +118,14 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs with every document as often as its rate says: the whole part always, one more by a hash of doc_id that is uniform in
-    [0, 1) and falls below the rest."""
-    prior, odds = learn(docs, labels)
-    steps = fit(materialise(posteriors(docs, prior, odds)), targets)
-    p = posteriors(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"), prior, odds).select("doc_id.*", rate(steps).alias("__rate"))
-    uniform = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(55)), F.lit(1 << 30)) / float(1 << 30)
-    times = F.floor("__rate") + F.when(uniform < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    return p.withColumn("__times", times.cast("int")).where("__times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__nth")).drop("__nth")
+    [0, 1) and falls below the rest. Rows without doc_id stand once; rows that share one stand equally often.
+
+    How often is computed on the table of posteriors and joined back, only for documents that don't stand once: a filter on the
+    rate of docs itself would be pushed below the projections and repeat all they compute."""
+    scored = materialise(posteriors(docs, *learn(docs, labels)))
+    rates = materialise(scored.where("doc_id is not null").select("doc_id", rate(fit(scored, targets)).alias("rate")))
+    uniform = F.pmod(F.xxhash64("doc_id", F.lit(55)), F.lit(1 << 30)) / float(1 << 30)
+    times = F.floor("rate") + F.when(uniform < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    other = rates.groupBy("doc_id").agg(F.max(times).cast("int").alias("__times")).where("__times <> 1")
+    both = docs.join(fitting(other), "doc_id", "left").withColumn("__times", F.coalesce("__times", F.lit(1))).where("__times > 0")
+    return both.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
