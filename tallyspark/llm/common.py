@@ -1,9 +1,7 @@
-"""Small helpers that every operator of this subpackage shares."""
+"""Small helpers that every operator of this subpackage shares, with those of the library that it uses."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,59 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, materialise, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["Forest", "components", "fitting", "materialise", "matrix", "shared_dir", "table", "whole_groups"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.llm.shared.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
-        spark.conf.set("spark.llm.shared.dir", conf)
-    return conf.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of an undirected graph given as (a, b) longs; component: its smallest node.
-
-    Alternating large-star and small-star rounds (Kiveris et al. 2014). Minima are aggregated before the shuffle and
-    brought back by a join, so that a node with very many neighbours is pre-aggregated and its join can be split.
-    Self-loops and repeated edges are allowed. An empty table gives an empty result.
-    """
-    e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        both = e.union(e.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u")
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m")).distinct()
-        e = materialise(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Rows of a few numbers that are broadcast at most.
 BROADCAST_ROWS = 500_000
 
 
-def fitting(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, broadcast where it has been counted to have no more than `rows` rows; else joins shuffle both sides."""
+def fitting(df: DataFrame) -> DataFrame:
+    """df, broadcast where it has been counted to have no more than BROADCAST_ROWS rows; else joins shuffle both sides."""
     df = materialise(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

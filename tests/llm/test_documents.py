@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import language_id, max_plus, mixing, paragraphs, weighted_minhash
+from tallyspark.llm import common, language_id, max_plus, mixing, paragraphs, weighted_minhash
+from tallyspark.llm import near as near_module
 from tallyspark.llm.shingles import shingles, words
 
 
@@ -65,6 +66,14 @@ def test_near_duplicates_match_brute_force(spark, docs, corpus):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(set(want.values()))
 
 
+def test_results_are_the_same_without_broadcasts(docs, monkeypatch):
+    rows = lambda df: sorted(map(str, df.collect()))
+    near, repeats = rows(weighted_minhash.near_duplicates(docs)), rows(paragraphs.repeated_passages(docs))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(near_module, "BLOCK", 3)
+    assert rows(weighted_minhash.near_duplicates(docs)) == near and rows(paragraphs.repeated_passages(docs)) == repeats
+
+
 def test_consistent_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     ids = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
