@@ -6,8 +6,9 @@ are sorted, and a sweep keeps a stack of the rules whose interval holds the curr
 leaves first. Of the stack's rules, those whose path is a prefix of the URL's path fit, and the longest wins (by the length of
 host and path together, then of the host, then the greater text).
 
-Range limits come from at most SAMPLE keys, chosen by a hash of all columns. A key that would fill several ranges, such as a host that
-a third of the URLs have, is dealt to all of them by a hash of the row.
+There is a range for every RANGE_ROWS rows, RANGES at most; rows of a range stream through the sweep. Limits come from about SAMPLE
+keys, chosen by a hash. A host that a third of the URLs have fills several ranges by its paths; a single key that would, is dealt to
+all of them by a hash of the row.
 
 Null URLs, and URLs without `://`, have an empty host and path; no rule fits them unless its host is empty too. Rules with a null host
 or path are ignored; of rules equal in host and path the one with the smallest verdict counts. Rows without a fitting rule get
@@ -23,12 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_groups
-
 #: The rules of the registered query: host, path, verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 DEFAULT = "allow"
-SAMPLE, RANGE_ROWS = 20_000, 25_000
+SAMPLE, RANGE_ROWS, RANGES = 20_000, 25_000, 4_000
 END = "\U0010ffff"
 
 
@@ -60,13 +59,13 @@ def _dealt(limits: list[str]) -> Callable:
 
 
 def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a range: rules before URLs of an equal key, wide rules before those inside them."""
-    for t in whole_groups(batches, "range"):
-        ranges, kind, keys, ends = (t[c].to_pylist() for c in ("range", "kind", "key", "until"))
-        ids, hosts, paths, verdicts = (t[c].to_pylist() for c in ("page_id", "host", "path", "verdict"))
+    """Sorted rows of ranges: rules before URLs of an equal key, wide rules before those inside them. Only the stack is held."""
+    stack: list[tuple[str, str, str, str]] = []
+    at = None
+    for t in batches:
+        ranges, kind, keys, ends = (t.column(c).to_pylist() for c in ("range", "kind", "key", "until"))
+        ids, hosts, paths, verdicts = (t.column(c).to_pylist() for c in ("page_id", "host", "path", "verdict"))
         out: dict[str, list] = {c: [] for c in ("page_id", "host", "path", "rule", "verdict")}
-        stack: list[tuple[str, str, str, str]] = []
-        at = None
         for i, r in enumerate(ranges):
             if r != at:
                 at, stack = r, []
@@ -90,7 +89,7 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     n = keyed.count()
     drawn = keyed.where(F.pmod(F.xxhash64("page_id", "key", F.lit(9)), F.lit(1_000_000)) < min(1.0, SAMPLE / max(n, 1)) * 1_000_000).select("key").limit(2 * SAMPLE)
     sample = sorted(r["key"] for r in drawn.collect())
-    ranges = max(1, -(-n // RANGE_ROWS))
+    ranges = min(RANGES, max(1, -(-n // RANGE_ROWS)))
     limits = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
     dealt = keyed.mapInArrow(_dealt(limits), "page_id long, host string, path string, key string, range long")
     spans = (
