@@ -17,7 +17,6 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -189,8 +188,8 @@ def recognised(docs: DataFrame, least: float = 0.4) -> DataFrame:
     if net is None:
         return docs.where("false")
 
-    def score(text: pd.Series) -> pd.Series:
-        names, scores = predict(pa.array(text, pa.string()), langs, net)
-        return pd.Series(np.where(np.array(names) == "und", -1.0, scores))
+    def score(text: pa.Array) -> pa.Array:
+        names, scores = predict(text, langs, net)
+        return pa.array(np.where(np.array(names, dtype=str) == "und", -1.0, scores), pa.float64())
 
-    return docs.where(F.pandas_udf(score, "double")("text") >= least)
+    return docs.where(F.arrow_udf(score, "double")("text") >= least)

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 GIANT, CHUNK, SEGMENT = 65_536, 2_048, 256
-#: Distinct words that a worker remembers; longer words than LONG points take the chunked form inside their task.
-REMEMBER, LONG = 300_000, 48
+#: Distinct words that a worker remembers, the first it meets; longer words than LONG points take the chunked form inside their task.
+REMEMBER, LONG = 100_000, 48
 SCALE = 1 << 20
 #: No score is below FLOOR; a character without a piece costs UNKNOWN.
 FLOOR, UNKNOWN = -100_000, -200_000
@@ -282,16 +282,13 @@ def encode(v: Pieces, texts: list[str]) -> list[bytes]:
     """Ids of each text, as the bytes of int32."""
     split = [_WORD.findall(marked(t)) for t in texts]
     new = {w for ws in split for w in ws}.difference(_words)
-    if len(_words) + len(new) > REMEMBER:
-        _words.clear()
-        new = {w for ws in split for w in ws}
     short = [w for w in new if len(w) <= LONG]
     known = dict(zip(short, encode_words(v, short), strict=True)) | {w: encode_long(v, w) for w in new if len(w) > LONG}
     if len(_words) + len(known) <= REMEMBER:
         _words.update(known)
         known = _words
     else:
-        known = _words | known
+        known |= _words
     return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 

@@ -18,8 +18,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,23 +157,25 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     return paragraph.union(passage.selectExpr("doc_id", "kind", "start", "until - start as n_chars", "n_words", "class_id", "kept"))
 
 
-def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
-    def one(t: str, gone: list | None) -> str:
-        if gone is None or t is None:
-            return t
+def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """text without its spans; texts without spans are not touched."""
+
+    def one(t: str, gone: list) -> str:
         out, at = [], 0
         for a, n in sorted((x["start"], x["n_chars"]) for x in gone):
             out.append(t[at : max(at, a)])
             at = max(at, a + n)
         return "".join([*out, t[at:]])
 
-    return pd.Series([one(t, g) for t, g in zip(text, spans, strict=True)], dtype=object)
+    cut = pc.and_(spans.is_valid(), text.is_valid())
+    new = [one(t, g) for t, g in zip(text.filter(cut).to_pylist(), spans.filter(cut).to_pylist(), strict=True)]
+    return pc.replace_with_mask(text, cut, pa.array(new, text.type))
 
 
 def cleaned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the repeated passages that aren't kept, n_chars set anew; a document with nothing left but white space goes."""
     gone = repeated_passages(docs, threshold).where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_chars")).alias("__spans"))
-    both = docs.join(gone, "doc_id", "left").withColumn("text", F.pandas_udf(_without, "string")("text", "__spans"))
+    both = docs.join(gone, "doc_id", "left").withColumn("text", F.arrow_udf(_without, "string").asNondeterministic()("text", "__spans"))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return both.where(F.col("__spans").isNull() | (F.trim(F.translate("text", "\n\t\r", "   ")) != "")).select(docs.columns)
+    return both.where(F.col("__spans").isNull() | F.col("text").rlike(r"\S")).select(docs.columns)
