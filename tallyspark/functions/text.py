@@ -104,10 +104,19 @@ def builder_text(c: Column) -> Column:
     return stripped(F.regexp_replace(stripped(F.lower(c)), r"(?U)#\d+|\s+\w+\s+wa\s*$", ""))
 
 
+def word_set(c: Column) -> Column:
+    """Distinct words; none of a blank text."""
+    return F.array_remove(F.array_distinct(F.split(collapsed(c), " ")), "")
+
+
+def set_jaccard(a: Column, b: Column) -> Column:
+    """Of two word sets; 0 if either is empty. Joins compute the sets before they pair rows."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
 def jaccard(a: Column, b: Column) -> Column:
-    """Of the sets of words; 0 if either has none."""
-    x, y = (F.array_distinct(F.split(collapsed(t), " ")) for t in (a, b))
-    return F.when((collapsed(a) == "") | (collapsed(b) == ""), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    return set_jaccard(word_set(a), word_set(b))
 
 
 def signature(transaction_id: Column, amount: Column, description: Column, account: Column, ignore_id: bool = False) -> Column:
