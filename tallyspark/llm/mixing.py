@@ -36,7 +36,10 @@ def domain() -> Column:
 
 
 def words(text: str = "text") -> Column:
-    return F.array_remove(F.split(F.lower(F.translate(text, "\n\t\r", "   ")), " "), "")
+    c = F.lower(text)
+    for space in "\n\t\r":
+        c = F.replace(c, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(c, " "), "")
 
 
 def _buckets(text: str = "text") -> Column:
