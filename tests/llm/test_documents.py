@@ -123,6 +123,43 @@ def test_repeated_passages(spark, docs, corpus):
     assert len(clean[301]["text"].split()) <= 190 and clean[301]["n_chars"] == len(clean[301]["text"])
 
 
+def spans(spark, texts, kept=False):
+    """Removed (or kept) words of each text."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {}
+    for r in paragraphs.repeated_passages(df).where(F.col("kept") == kept).collect():
+        out.setdefault(r["doc_id"], []).append(texts[r["doc_id"]][r["start"] : r["start"] + r["n_chars"]].split())
+    return out, {r["doc_id"]: r["text"] for r in paragraphs.cleaned(df).collect()}
+
+
+def test_short_repeated_pieces_are_not_cut_out_of_a_kept_passage(spark):
+    rng = random.Random(8)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    short = [own(5) for _ in range(12)]
+    passage = [w for k in short for w in [*k, *own(2)]]
+    joined = [w for k in short for w in k]  # 60 words that repeat five by five, but not as a passage
+    texts = [" ".join(own(40) + k + own(40)) for k in short]
+    texts += [" ".join(own(40) + passage + own(40)), " ".join(own(40) + passage + own(40)), " ".join(own(60) + joined + own(60))]
+    gone, clean = spans(spark, texts)
+    assert gone == {13: [passage]}
+    assert clean[12] == texts[12] and clean[14] == texts[14] and not set(passage) & set(clean[13].split())
+
+
+def test_words_are_never_lost(spark):
+    rng = random.Random(10)
+    own = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    inner, only = own(20), own(30)
+    outer = own(20) + inner + own(20)
+    para = own(200)
+    texts = [" ".join(own(30) + inner + own(30)), " ".join(own(30) + outer + own(30)), " ".join(own(30) + outer + own(30)), " ".join(["same"] * 100), " ".join(["a", "b"] * 100)]
+    # the paragraph of 6 goes as a near copy of that of 5, so its passage has to stay in 7
+    texts += [" ".join(para), " ".join(para[:100] + only[:18] + para[100:]), " ".join(own(40) + only[:18] + own(40))]
+    _, clean = spans(spark, texts)
+    assert set(" ".join(texts).split()) <= set(" ".join(clean.values()).split())
+    assert not set(outer) & set(clean[2].split()) and set(clean[1].split()) & set(inner) == set()
+    assert clean[3].split() == ["same"] * 16 and 6 not in clean
+
+
 @pytest.fixture(scope="module")
 def languages(spark):
     rng = random.Random(2)
