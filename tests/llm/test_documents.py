@@ -145,6 +145,17 @@ def test_short_repeated_pieces_are_not_cut_out_of_a_kept_passage(spark):
     assert clean[12] == texts[12] and clean[14] == texts[14] and not set(passage) & set(clean[13].split())
 
 
+@pytest.mark.parametrize("alphabet", [10**9, 40])
+def test_passages_are_found_whole(spark, alphabet):
+    rng = random.Random(9)
+    own = lambda n: [f"v{rng.randrange(alphabet)}" for _ in range(n)]
+    shared = [own(n) for n in [51] * 60 + [16] * 20 + [15] * 20]
+    edge = lambda i, k: [f"e{i}x{k}x{j}" for j in range(40)]
+    texts = [" ".join(edge(i, 0) + p + edge(i, 1)) for i, p in enumerate(shared)] + [" ".join(edge(i, 2) + p + edge(i, 3)) for i, p in enumerate(shared)]
+    gone, _ = spans(spark, texts)
+    assert gone == {100 + i: [p] for i, p in enumerate(shared) if len(p) >= paragraphs.RUN_WORDS}
+
+
 def test_words_are_never_lost(spark):
     rng = random.Random(10)
     own = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
