@@ -10,8 +10,10 @@ presentation is the sequence of its children's styles, its content the text bloc
   where l is the number of presentations and g is GAMMA.
 
 Styles bound it: what marks itself as menu, header, footer, sidebar, notice, advert, form or reader comments has importance 0;
-`article`, `main` and what holds them has 1. A branch below LOW goes, if its node is on MIN_PAGES pages or more. If a page has
-an article or main element, only text in one of these counts; if nothing is left, all text without a bad mark does.
+`article`, `main` and what holds them has 1, but not the branches inside them. A branch below LOW goes, if its node is on MIN_PAGES
+pages or more. Marks on html, body and what holds a main element count for nothing; if all articles stand in something marked,
+marks on what holds them don't count either. If article or main elements have text, only this counts, unless they are several
+articles with less text than stands beside them; if nothing is left, all text without a bad mark does.
 
 Entropies are sums of counts that are aggregated before and after one shuffle; nodes are keyed by (host, path), so a hot host is
 dealt out by its nodes and texts. What is evaluated per host are its nodes, whose number depends on its templates, not its pages.
@@ -41,7 +43,7 @@ GAMMA, LOW, MIN_PAGES = 0.9, 0.1, 8
 
 # Elements of HTML and usual words in class and id attributes.
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address header footer nav aside form fieldset menu dialog details summary hr center".split())
-DROPPED = frozenset("script style template noscript title head svg math textarea select button iframe object canvas audio video".split())
+DROPPED = frozenset("script style template noscript title svg math textarea select button iframe object canvas audio video".split())
 CHROME_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 CHROME_WORDS = frozenset(
@@ -84,7 +86,8 @@ class Page:
     element; and its text blocks with the element that each stands in."""
 
     def __init__(self, html: str) -> None:
-        self.parent, self.key, self.label, self.bad, self.main = [-1], [0], [""], [False], [False]
+        self.parent, self.key, self.label, self.tag = [-1], [0], [""], [""]
+        self.marks = [(False, False)]
         self.blocks: list[tuple[int, str]] = []
         stack, tags, parts = [0], [""], []
         at, end, skip = 0, len(html), ""
@@ -131,25 +134,40 @@ class Page:
                 stack.pop(), tags.pop()
             up = stack[-1]
             label, bad, weak = style(tag, m[3])
-            inside = self.main[up]
-            main = inside or tag in MAIN_TAGS and not bad
             self.parent.append(up), self.label.append(label), self.key.append(key(self.key[up], label))
-            self.bad.append(self.bad[up] or bad or weak and not inside)
-            self.main.append(main and not self.bad[-1])
+            self.tag.append(tag), self.marks.append((bad, weak))
             stack.append(len(self.parent) - 1), tags.append(tag)
         if at < end and not skip:
             parts.append(entities.unescape(html[at:]))
         flush()
 
-    def holders(self) -> set[int]:
-        """Elements that hold an article or main element; a mark on these counts for nothing."""
-        out = set()
-        for i, m in enumerate(self.main):
-            while m and i > 0 and i not in out:
+        self._judge({i for i, t in enumerate(self.tag) if t in ("html", "body")} | self.above(self._unmarked({"main"})))
+        if not any(self.main):
+            self._judge(self.ignored | self.above(self._unmarked(MAIN_TAGS)))
+
+    def _unmarked(self, tags: set[str] | frozenset[str]) -> list[int]:
+        return [i for i, t in enumerate(self.tag) if t in tags and not self.marks[i][0]]
+
+    def above(self, some: list[int]) -> set[int]:
+        """Elements that hold one of these."""
+        out: set[int] = set()
+        for i in some:
+            while (i := self.parent[i]) > 0 and i not in out:
                 out.add(i)
-                i = self.parent[i]
         return out
 
+    def _judge(self, ignored: set[int]) -> None:
+        """Marks go down to all that an element holds, but for those that are ignored."""
+        self.ignored, self.bad, self.main = ignored, [False], [False]
+        for i in range(1, len(self.parent)):
+            (bad, weak), inside = self.marks[i], self.main[self.parent[i]]
+            self.bad.append(self.bad[self.parent[i]] or i not in ignored and (bad or weak and not inside))
+            self.main.append((inside or self.tag[i] in MAIN_TAGS and not bad) and not self.bad[i])
+
+    def tops(self) -> list[int]:
+        """The outermost article and main elements."""
+        return [i for i, m in enumerate(self.main) if m and not self.main[self.parent[i]]]
+
 
 _RAW = re.compile(r"<(script|style|textarea|title)\b(?>\"[^\"]*\"|'[^']*'|[^>])*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 
@@ -221,14 +239,18 @@ def importance(pages: DataFrame) -> DataFrame:
 
 def main_text(html: str, low: frozenset[int]) -> str:
     page = Page(_raw_text(html))
-    safe = page.holders()
+    tops = page.tops()
+    safe = page.above(tops).union(tops)
     gone = [False] * len(page.parent)
     for i in range(1, len(gone)):
         gone[i] = gone[page.parent[i]] or i not in safe and page.key[i] in low
-    has_main = bool(safe)
-    fine = [t for i, t in page.blocks if not page.bad[i] and (page.main[i] or not has_main)]
-    kept = [t for i, t in page.blocks if not page.bad[i] and (page.main[i] or not has_main) and not gone[i]]
-    return " ".join(kept or fine)
+    fine = [(i, t) for i, t in page.blocks if not page.bad[i]]
+    inside = [(i, t) for i, t in fine if page.main[i]]
+    size = lambda main: sum(len(t) for i, t in fine if page.main[i] == main and not gone[i])
+    cards = len(tops) > 1 and all(page.tag[i] == "article" for i in tops)
+    if inside and not (cards and size(False) > size(True)):
+        fine = inside
+    return " ".join([t for i, t in fine if not gone[i]] or [t for _, t in fine])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

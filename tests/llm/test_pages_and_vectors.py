@@ -38,6 +38,13 @@ def test_entropy_removes_what_all_pages_of_a_host_have(spark):
     assert min(v for _, v in values) < style_tree.LOW < max(v for _, v in values)
 
 
+def test_entropy_removes_repeated_boxes_inside_articles(spark):
+    html = "<body><article><h1>Head {i}</h1><div class=x9>Same box</div><p>Story {i}</p></article></body>"
+    rows = [(i, f"http://h.org/{i}", html.format(i=i)) for i in range(20)] + [(50, "http://other.org/", html.format(i=50))]
+    got = {r["page_id"]: r["text"] for r in style_tree.extracted(pages(spark, rows)).collect()}
+    assert all(got[i] == f"Head {i} Story {i}" for i in range(20)) and got[50] == "Head 50 Same box Story 50"
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "http://a/5", "same"), (2, "http://a/2", "same"), (3, None, None), (4, "http://a/4", ""), (6, "http://a/6\r\nX: y", "é" * 70_000), (7, "http://a/7", "x\r\n\r\ny"), (2, "http://a/2", "same")]
     got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc_zip.round_trip(spark, pages(spark, rows)).collect())
