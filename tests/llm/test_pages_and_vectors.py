@@ -45,6 +45,17 @@ def test_entropy_removes_repeated_boxes_inside_articles(spark):
     assert all(got[i] == f"Head {i} Story {i}" for i in range(20)) and got[50] == "Head 50 Same box Story 50"
 
 
+def test_marks_around_the_article_count_for_nothing():
+    text = lambda html: style_tree.main_text(html, frozenset())
+    for top in ('<body id="top">', '<body class="has-sidebar">', '<body class="custom-header">', '<body class="comments-open">', '<body><div class="with-sidebar">'):
+        assert text(f"<html>{top}<nav>menu</nav><article><p>Real</p><div class=comments>c</div></article><aside>a</aside>") == "Real", top
+    assert text("<main></main><div><p>Real</p></div><nav>menu</nav>") == "Real"
+    assert text("<div><p>Real text of some length</p></div><article>One</article><article>Two</article>") == "Real text of some length One Two"
+    assert text("<article>Real</article><div class=related><article>card</article></div><aside><article>card</article></aside>") == "Real"
+    assert text("<div class=sidebar-left><main>Real</main></div><article>card</article>") == "Real card"
+    assert text("<html><head><title>T</title><meta charset=utf-8><style>p</style><body><p>Real</p>") == "Real"
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "http://a/5", "same"), (2, "http://a/2", "same"), (3, None, None), (4, "http://a/4", ""), (6, "http://a/6\r\nX: y", "é" * 70_000), (7, "http://a/7", "x\r\n\r\ny"), (2, "http://a/2", "same")]
     got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc_zip.round_trip(spark, pages(spark, rows)).collect())
