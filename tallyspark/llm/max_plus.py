@@ -13,8 +13,9 @@ boundaries each segment, then each chunk learns its states, and every chunk is b
 A character in no piece becomes the byte pieces of its UTF-8 form. A small fixed amount per piece tells most segmentations of
 equal score apart; pieces in another order can still tie, and either order may then be returned.
 
-The ids are those of SentencePiece's unigram lattice over the model's pieces and scores. A model that was trained for merges
-(BPE) also has scores, but the library applies its merges greedily, which no sum of scores reproduces; see the README.
+That is the encoding of unigram models. A model that was trained for merges (BPE) also has scores, but its encoding applies merges
+greedily, which no sum of scores reproduces: its words are encoded by their merges, and giant texts are dealt out in chunks that are
+cut at word marks.
 
 The path to a SentencePiece model is a parameter. Space is the word mark U+2581, which the model can't tell from a space:
 decoding gives a space for either. Null texts have null ids, empty texts none. Repeated rows get equal results.
@@ -22,6 +23,7 @@ decoding gives a space for either. Null texts have null ids, empty texts none. R
 
 from __future__ import annotations
 
+import heapq
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -67,6 +69,9 @@ class Pieces:
                 self.bytes.append(text[-1][0].encode())
             else:
                 self.bytes.append(b"")
+        #: Score of each piece, for models of merges only.
+        self.merges = {t: s for t, s, _ in text} if proto.trainer_spec.model_type == 2 else None
+        self.id_of = {t: i for t, _, i in text}
         self.longest = max(len(t) for t, _, _ in text)
         assert not any(" " in t.lstrip(" ") for t, _, _ in text), "a piece has a word mark behind another character"
         keys = np.array([hash_points(np.array([ord(c) for c in t], dtype=_U)) for t, _, _ in text], dtype=_U)
@@ -270,6 +275,55 @@ def encode_long(v: Pieces, word: str) -> bytes:
     return b"".join(x.tobytes() for x in backtrace(v, points, sizes, np.array(at[:-1]), np.array(at[1:])))
 
 
+def merge_word(v: Pieces, word: str) -> bytes:
+    """Ids of a word by merges: of all neighbours that make a piece, those of the best score first, the leftmost of equal ones."""
+    scores, part = v.merges, list(word)
+    n = len(part)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(-scores[x], i, x) for i in range(n - 1) if (x := part[i] + part[i + 1]) in scores]
+    heapq.heapify(heap)
+    while heap:
+        _, i, x = heapq.heappop(heap)
+        j = after[i]
+        if j >= n or not part[i] or part[i] + part[j] != x:
+            continue
+        part[i], part[j] = x, ""
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (y := x + part[k]) in scores:
+                heapq.heappush(heap, (-scores[y], i, y))
+        if (h := before[i]) >= 0 and (y := part[h] + x) in scores:
+            heapq.heappush(heap, (-scores[y], h, y))
+    ids: list[int] = []
+    for x in part:
+        if x in v.id_of:
+            ids.append(v.id_of[x])
+        elif x:
+            ids.extend(v.byte_ids[list(x.encode("utf-8", "surrogatepass"))].tolist())
+    return np.array(ids, dtype=np.int32).tobytes()
+
+
+_merged: dict[str, bytes] = {}
+
+
+def encode_marked(v: Pieces, text: str) -> bytes:
+    """Ids of a marked text, or of a chunk of one that was cut at a word mark, by merges."""
+    out = []
+    for w in _WORD.findall(text):
+        if (x := _merged.get(w)) is None:
+            x = merge_word(v, w)
+            if len(_merged) < REMEMBER and len(w) <= LONG:
+                _merged[w] = x
+        out.append(x)
+    return b"".join(out)
+
+
+def encode_as_trained(v: Pieces, texts: list[str]) -> list[bytes]:
+    """Ids of each text by the model's own method."""
+    return encode(v, texts) if v.merges is None else [encode_marked(v, marked(t)) for t in texts]
+
+
 _words: dict[str, bytes] = {}
 
 
@@ -321,7 +375,7 @@ def _encode_task(path: str, model: bytes, keep: list[str]) -> Callable:
             texts = batch.column("text").to_pylist()
             for a, b in _groups(texts):
                 some = [t for t in texts[a:b] if t is not None]
-                found = iter(encode(v, some))
+                found = iter(encode_as_trained(v, some))
                 each = [None if t is None else next(found) for t in texts[a:b]]
                 same = [None if x is None else decode(v, np.frombuffer(x, dtype=np.int32)) == t.replace("▁", " ") for x, t in zip(each, texts[a:b], strict=True)]
                 counts = pa.array([None if x is None else len(x) // 4 for x in each], pa.int64())
@@ -343,6 +397,34 @@ def _matrix_task(path: str, model: bytes) -> Callable:
     return work
 
 
+def _split_task(size: int) -> Callable:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column("text_key").to_pylist(), batch.column("whole").to_pylist(), strict=True):
+                parts, held, points = [], [], 0
+                for m in _WORD.finditer(text):
+                    held.append(m[0])
+                    points += len(m[0])
+                    if points >= size:
+                        parts.append("".join(held))
+                        held, points = [], 0
+                if held:
+                    parts.append("".join(held))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], ["text_key", "chunk", "part"])
+
+    return work
+
+
+def _merge_task(path: str, model: bytes) -> Callable:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = pieces(path, model)
+        for batch in batches:
+            ids = [encode_marked(v, t) for t in batch.column("part").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), batch.column("chunk"), _arrays(ids)], ["text_key", "chunk", "ids"])
+
+    return work
+
+
 def _square(raw: bytes) -> np.ndarray:
     m = np.frombuffer(raw, dtype=np.int64)
     return m.reshape(int(len(m) ** 0.5), -1)
@@ -416,19 +498,24 @@ def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
 def _giants(long: DataFrame, path: str, model: bytes) -> DataFrame:
     from .common import materialise
 
-    k = pieces(path, model).longest
+    v = pieces(path, model)
+    k = v.longest
     mark = long.select("text_key", F.concat(F.lit(" "), F.translate("text", "▁", " ")).alias("whole")).dropDuplicates(["text_key"])
-    at = F.sequence(F.lit(0), F.floor((F.length("whole") - 1) / CHUNK).cast("int"))
-    chunks = materialise(
-        mark.select("text_key", "whole", F.explode(at).alias("chunk"))
-        .selectExpr("text_key", "chunk", f"substring(whole, chunk * {CHUNK} + 1, {CHUNK + k - 1}) as part", f"least({CHUNK}, length(whole) - chunk * {CHUNK}) as size")
-        .repartition("text_key", "chunk")
-    )
-    m = materialise(chunks.mapInArrow(_matrix_task(path, model), "text_key string, chunk int, matrix binary").withColumn("segment", F.floor(F.col("chunk") / SEGMENT).cast("int")))
-    products = m.groupBy("text_key", "segment").applyInPandas(_segment_product, "text_key string, segment int, matrix binary")
-    ends = products.groupBy("text_key").applyInPandas(_segment_states, "text_key string, segment int, entry int, leave int")
-    known = m.join(ends, ["text_key", "segment"]).groupBy("text_key", "segment").applyInPandas(_chunk_states, "text_key string, chunk int, entry int, leave int")
-    traced = chunks.join(known, ["text_key", "chunk"]).mapInArrow(_trace_task(path, model), "text_key string, chunk int, ids array<int>")
+    if v.merges is not None:
+        parts = materialise(mark.mapInArrow(_split_task(CHUNK), "text_key string, chunk int, part string").repartition("text_key", "chunk"))
+        traced = parts.mapInArrow(_merge_task(path, model), "text_key string, chunk int, ids array<int>")
+    else:
+        at = F.sequence(F.lit(0), F.floor((F.length("whole") - 1) / CHUNK).cast("int"))
+        chunks = materialise(
+            mark.select("text_key", "whole", F.explode(at).alias("chunk"))
+            .selectExpr("text_key", "chunk", f"substring(whole, chunk * {CHUNK} + 1, {CHUNK + k - 1}) as part", f"least({CHUNK}, length(whole) - chunk * {CHUNK}) as size")
+            .repartition("text_key", "chunk")
+        )
+        m = materialise(chunks.mapInArrow(_matrix_task(path, model), "text_key string, chunk int, matrix binary").withColumn("segment", F.floor(F.col("chunk") / SEGMENT).cast("int")))
+        products = m.groupBy("text_key", "segment").applyInPandas(_segment_product, "text_key string, segment int, matrix binary")
+        ends = products.groupBy("text_key").applyInPandas(_segment_states, "text_key string, segment int, entry int, leave int")
+        known = m.join(ends, ["text_key", "segment"]).groupBy("text_key", "segment").applyInPandas(_chunk_states, "text_key string, chunk int, entry int, leave int")
+        traced = chunks.join(known, ["text_key", "chunk"]).mapInArrow(_trace_task(path, model), "text_key string, chunk int, ids array<int>")
     whole = traced.groupBy("text_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
     back = whole.mapInArrow(_decode_task(path, model, ["text_key"]), "text_key string, text string").select("text_key", F.col("text").alias("again"))
     return long.join(whole, "text_key").join(back, "text_key").select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_tokens"), (F.col("again") == F.translate("text", "▁", " ")).alias("round_trip"), "ids")

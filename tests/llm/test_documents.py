@@ -288,6 +288,20 @@ def test_encoding_is_the_best_path_and_decodes(vocabulary, corpus, monkeypatch):
             assert score_of(scores, names, whole) == best_score(scores, max_plus.marked(t)) and max_plus.decode(v, np.array(whole)) == t.replace("▁", " ")
 
 
+def test_ids_are_those_of_the_library(spark, vocabulary, corpus, monkeypatch):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=vocabulary[1])
+    texts = ["The quick  brown\nfox", "漢字😀 Éeau über", "   a", "x ", "supercalifragilistic" * 9, "$$$$$ ####", "internationalisation of the unbelievable " * 40]
+    texts += [t[:400] for _, t, *_ in corpus if t and t.strip()][:20]
+    want = {i: lib.encode(t) for i, t in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in max_plus.encoded(df).collect()} == want
+    monkeypatch.setattr(max_plus, "GIANT", 100)
+    monkeypatch.setattr(max_plus, "CHUNK", 30)
+    assert {r["doc_id"]: r["ids"] for r in max_plus.encoded(df).collect()} == want
+
+
 def test_products_of_transfer_matrices_are_associative(vocabulary):
     v, _ = vocabulary
     parts = max_plus.cut(v, " the quick brown fox jumps " * 300)
