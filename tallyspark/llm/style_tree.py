@@ -4,23 +4,30 @@ The pages of a host are merged: block elements with the same path of styles (tag
 presentation is the sequence of its children's styles, its content the text blocks directly in it.
 
 - Importance of presentation: entropy of a node's presentations over its pages, as a part of the largest possible.
-- Importance of content: 1 less the mean, over the node's text blocks, of ln(pages with this text) / ln(pages with the node): 0 if
-  all pages have the same text, 1 if all texts differ.
-- Importance of a branch: (1 - g^l) times that of its presentation plus g^l times the mean over its content and its children,
-  where l is the number of presentations and g is GAMMA.
-
-Styles bound it: what marks itself as menu, header, footer, sidebar, notice, advert, form or reader comments has importance 0;
-`article`, `main` and what holds them has 1, but not the branches inside them. A branch below LOW goes, if its node is on MIN_PAGES
-pages or more. Marks on html, body and what holds a main element count for nothing; if all articles stand in something marked,
-marks on what holds them don't count either. If article or main elements have text, only this counts, unless they are several
-articles with less text than stands beside them; if nothing is left, all text without a bad mark does.
-
-Entropies are sums of counts that are aggregated before and after one shuffle; nodes are keyed by (host, path), so a hot host is
-dealt out by its nodes and texts. What is evaluated per host are its nodes, whose number depends on its templates, not its pages.
+- Importance of content: the mean, over the node's different texts, of 1 - ln(pages with this text) / ln(pages with the node): 0 if
+  all pages have the same text, 1 if all texts differ. A text counts once however many pages have it, so that an article of which
+  there are many copies doesn't make its node look like a menu.
+- Importance of a node: (1 - g^l) times that of its presentation plus g^l times that of its content, where l is the number of
+  presentations and g is GAMMA.
+
+The pages of all hosts are merged alike to one tree. A node that n pages of a host have gets n parts of its importance there and PRIOR
+parts of its importance in the tree of all hosts, so that hosts of few pages need no switch. Where this is below LOW, the node is low;
+a branch whose text stands in low nodes only is low, and goes from each page. Pages of a host with equal html are merged once, and in
+its texts the host's name counts as a blank.
+
+Marks decide what entropies leave open: what names itself as menu, header, footer, sidebar, notice, advert, form or reader comments
+goes too, and if there are article or main elements with text, only this counts, unless they are several articles with less text than
+stands beside them. A class or id word of several parts is a mark if each part is one or says nothing (`ad-slot`, not `share-price`).
+Marks on html, body and what holds a main element count for nothing; if all articles stand in something marked, marks on what holds
+them don't count either. If nothing is left, all text without a mark does. Without marks (marks=False) the tree alone decides.
+
+Importance is sums of counts that are aggregated before and after a shuffle by (host, node, text), so a hot host is dealt out by its
+nodes and texts; no group is held. A page gets its host's low nodes, whose number depends on templates and not on pages.
 
 Null html gives an empty text; a null url, or one without host, belongs to the host of no name. Broken markup is read leniently:
-unclosed elements end with their parent, an unfinished tag at the end is dropped. Repeated rows give equal results. Other columns
-are ignored.
+unclosed elements end with their parent, an unfinished tag at the end is dropped, an element of no text that is never closed hides
+nothing. Repeated rows give equal results; very long pages are read whole; an empty table gives an empty result. Texts with equal
+counts weigh alike, so there are no ties. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,17 +36,16 @@ import hashlib
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise
+from .common import BROADCAST_ROWS, fitting, materialise
 
-GAMMA, LOW, MIN_PAGES = 0.9, 0.1, 8
+GAMMA, LOW, PRIOR = 0.9, 0.8, 20
 
 # Elements of HTML and usual words in class and id attributes.
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address header footer nav aside form fieldset menu dialog details summary hr center".split())
@@ -49,7 +55,8 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search ale
 CHROME_WORDS = frozenset(
     "nav navbar navigation menu masthead footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended comment comments commentlist disqus respond reply replies breadcrumb breadcrumbs pagination pager widget toolbar skip".split()
 )
-WEAK_WORDS = frozenset("header form side top bottom".split())
+WEAK_WORDS = frozenset("header form".split())
+FILLER_WORDS = frozenset("site page main post posts entry article articles content global primary secondary top bottom left right box bar block list item items wrap wrapper container inner outer section area link links button buttons text title head row col column slot unit mobile desktop sticky fixed".split())
 MAIN_TAGS = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
@@ -59,6 +66,12 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""
 _SPLIT = re.compile(r"[^a-z]+")
 
 
+def _marked(name: str, words: frozenset[str]) -> bool:
+    """Whether a class or id word is a mark: all of its parts are, or say nothing."""
+    parts = {x for x in _SPLIT.split(name) if x}
+    return bool(parts & words) and parts <= words | FILLER_WORDS
+
+
 @lru_cache(100_000)
 def key(parent: int, label: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{parent} {label}".encode(), digest_size=8).digest(), "big", signed=True)
@@ -68,29 +81,34 @@ def key(parent: int, label: str) -> int:
 def style(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """Label, whether the style marks itself as no content (unless it holds the article), whether it is a weak mark."""
     words: set[str] = set()
-    bad = tag in CHROME_TAGS
+    bad, weak = tag in CHROME_TAGS, tag == "header"
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             words.update(_SPLIT.split(value))
+            bad |= any(_marked(x, CHROME_WORDS) for x in value.split())
+            weak |= any(_marked(x, WEAK_WORDS) for x in value.split())
         elif name == "role":
             bad |= value in CHROME_ROLES
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             bad = True
     words.discard("")
-    return f"{tag}.{'.'.join(sorted(words))}", bad or bool(words & CHROME_WORDS), tag == "header" or bool(words & WEAK_WORDS)
+    return f"{tag}.{'.'.join(sorted(words))}", bad, weak
 
 
 class Page:
     """Block elements of a page: parent, key, label, whether it or what holds it is marked bad, whether it is in an article or main
     element; and its text blocks with the element that each stands in."""
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, marks: bool = True) -> None:
         self.parent, self.key, self.label, self.tag = [-1], [0], [""], [""]
         self.marks = [(False, False)]
         self.blocks: list[tuple[int, str]] = []
         stack, tags, parts = [0], [""], []
         at, end, skip = 0, len(html), ""
+        inline, depth = "", 0  # a marked element inside a line, which hides its text
+        low = html.lower()
+        closed = {tag: low.rfind(f"</{tag}") for tag in DROPPED}
 
         def flush() -> None:
             if parts:
@@ -100,7 +118,7 @@ class Page:
                     self.blocks.append((stack[-1], text))
 
         for m in _TOKEN.finditer(html):
-            if m.start() > at and not skip:
+            if m.start() > at and not skip and not inline:
                 parts.append(entities.unescape(html[at : m.start()]))
             at = m.end()
             tag = m[2]
@@ -111,6 +129,13 @@ class Page:
                 if m[1] and tag == skip:
                     skip = ""
                 continue
+            if inline and tag in BLOCK:
+                inline = ""
+            if inline:
+                if tag == inline and not m[3].endswith("/"):
+                    depth += -1 if m[1] else 1
+                    inline = inline if depth else ""
+                continue
             if m[1]:
                 if tag in BLOCK and tag in tags:
                     flush()
@@ -120,12 +145,14 @@ class Page:
                             break
                 continue
             if tag in DROPPED:
-                skip = "" if m[3].endswith("/") else tag
+                skip = "" if m[3].endswith("/") or closed[tag] < m.end() else tag
                 continue
             if tag == "br":
                 parts.append(" ")
                 continue
             if tag not in BLOCK:
+                if marks and tag not in VOID and m[3] and not m[3].endswith("/") and style(tag, m[3])[1]:
+                    inline, depth = tag, 1
                 continue
             flush()
             if tag == "hr":
@@ -137,7 +164,7 @@ class Page:
             self.parent.append(up), self.label.append(label), self.key.append(key(self.key[up], label))
             self.tag.append(tag), self.marks.append((bad, weak))
             stack.append(len(self.parent) - 1), tags.append(tag)
-        if at < end and not skip:
+        if at < end and not skip and not inline:
             parts.append(entities.unescape(html[at:]))
         flush()
 
@@ -182,89 +209,80 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         count: Counter = Counter()
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page = Page(_raw_text(html or ""))
+            page = Page(_raw_text(html or ""), marks=False)
             children: dict[int, list[str]] = {}
             for i in range(1, len(page.parent)):
                 children.setdefault(page.parent[i], []).append(page.label[i])
             seen = {}
             for i, k in enumerate(page.key):
-                seen.setdefault(k, (page.key[page.parent[i]] if i else None, key(0, "|".join(children.get(i, ())))))
-            for k, (parent, feature) in seen.items():
-                count[host, k, parent, 0, feature] += 1
-            for k, text in {(page.key[i], text) for i, text in page.blocks}:
-                count[host, k, None, 1, key.__wrapped__(1, text)] += 1
-        columns = list(zip(*count, strict=True)) or [()] * 5
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array(list(count.values()), pa.int64())], ["host", "node", "parent", "kind", "feature", "n"])
-
-
-def _importance(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Nodes of one host to their branches' importance."""
-    rows = pdf.set_index("node").to_dict("index")
-    below: dict[int, list[int]] = {}
-    for k, r in rows.items():
-        below.setdefault(r["parent"], []).append(k)
-    out: dict[int, float] = {}
-    order = [0]
-    for k in order:
-        order.extend(below.get(k, ()))
-    for k in reversed(order):
-        if (r := rows.get(k)) is None:
-            continue
-        parts = [out[c] for c in below.get(k, ())] + ([] if pd.isna(r["content"]) else [r["content"]])
-        share = GAMMA ** r["presentations"]
-        out[k] = (1 - share) * r["presentation"] + share * (sum(parts) / len(parts) if parts else 1.0)
-    return pd.DataFrame({"host": pdf["host"].iloc[0], "node": list(out), "pages": [rows[k]["pages"] for k in out], "importance": list(out.values())})
+                seen.setdefault(k, key(0, "|".join(children.get(i, ()))))
+            for k, feature in seen.items():
+                count[host, k, 0, feature] += 1
+            for k, text in {(page.key[i], text.replace(host, "") if host else text) for i, text in page.blocks}:
+                count[host, k, 1, key.__wrapped__(1, text)] += 1
+        columns = list(zip(*count, strict=True)) or [()] * 4
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array(list(count.values()), pa.int64())], ["host", "node", "kind", "feature", "n"])
+
+
+def _scored(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Nodes with text, their pages and importance (as `name`), from counts per keys, kind and feature."""
+    shown, said = F.col("kind") == 0, F.col("kind") == 1
+    sums = counts.groupBy(*keys).agg(
+        F.sum(F.when(shown, F.col("n"))).alias("pages"), F.count_if(shown).alias("presentations"), F.sum(F.when(shown, F.col("n") * F.ln("n"))).alias("shown"),
+        F.count_if(said).alias("texts"), F.sum(F.when(said, F.ln("n"))).alias("said"),
+    ).where("texts > 0")
+    ln = F.ln("pages")
+    presentation = F.when(F.col("pages") > 1, (ln - F.col("shown") / F.col("pages")) / ln).otherwise(1.0)
+    content = F.when(F.col("pages") > 1, 1 - F.col("said") / F.col("texts") / ln).otherwise(1.0)
+    share = F.pow(F.lit(GAMMA), F.col("presentations"))
+    return sums.select(*keys, "pages", ((1 - share) * presentation + share * content).alias(name))
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of all nodes of all hosts' style trees. pages: (host, html)."""
-    counts = pages.select("host", "html").mapInArrow(_merged, "host string, node long, parent long, kind int, feature long, n long").groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.max("parent").alias("parent"))
-    sums = counts.groupBy("host", "node").agg(
-        F.max("parent").alias("parent"),
-        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
-        F.count_if(F.col("kind") == 0).alias("presentations"),
-        F.sum(F.when(F.col("kind") == 0, F.col("n") * F.ln("n"))).alias("shown"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("texts"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n") * F.ln("n"))).alias("said"),
-    )
-    ln = F.ln("pages")
-    scored = sums.select(
-        "host", "node", F.coalesce("parent", F.lit(-1)).alias("parent"), "pages", "presentations",
-        F.when(F.col("pages") > 1, (ln - F.col("shown") / F.col("pages")) / ln).otherwise(1.0).alias("presentation"),
-        F.when(F.col("texts").isNotNull(), F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("said") / F.col("texts") / ln)).otherwise(1.0)).alias("content"),
-    )
-    return scored.groupBy("host").applyInPandas(_importance, "host string, node long, pages long, importance double")
-
-
-def main_text(html: str, low: frozenset[int]) -> str:
-    page = Page(_raw_text(html))
-    tops = page.tops()
-    safe = page.above(tops).union(tops)
-    gone = [False] * len(page.parent)
-    for i in range(1, len(gone)):
-        gone[i] = gone[page.parent[i]] or i not in safe and page.key[i] in low
-    fine = [(i, t) for i, t in page.blocks if not page.bad[i]]
-    inside = [(i, t) for i, t in fine if page.main[i]]
-    size = lambda main: sum(len(t) for i, t in fine if page.main[i] == main and not gone[i])
-    cards = len(tops) > 1 and all(page.tag[i] == "article" for i in tops)
-    if inside and not (cards and size(False) > size(True)):
-        fine = inside
-    return " ".join([t for i, t in fine if not gone[i]] or [t for _, t in fine])
-
-
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(h or "", frozenset(n or ())) for h, n in zip(batch.column("html").to_pylist(), batch.column("nodes").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    """(host, node, pages, importance) of all nodes with text. pages: (host, html)."""
+    counts = materialise(pages.select("host", "html").mapInArrow(_merged, "host string, node long, kind int, feature long, n long").groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n")))
+    here = _scored(counts, ["host", "node"], "own")
+    everywhere = _scored(counts.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n")), ["node"], "common").select("node", "common")
+    both = here.join(everywhere, "node")
+    return both.select("host", "node", "pages", ((F.col("pages") * F.col("own") + PRIOR * F.col("common")) / (F.col("pages") + PRIOR)).alias("importance"))
+
+
+def once(pages: DataFrame) -> DataFrame:
+    """pages (page_id, host, html) without those whose host and html an earlier page has; only keys are shuffled."""
+    keyed = pages.withColumn("h", F.xxhash64("html"))
+    several = fitting(keyed.groupBy("host", "h").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last").select("host", "h", "first"))
+    return keyed.join(several, ["host", "h"], "left").where("first is null or page_id = first").select("host", "html")
+
+
+def main_text(html: str, low: frozenset[int], marks: bool = True) -> str:
+    page = Page(_raw_text(html), marks)
+    fine = [(i, t) for i, t in page.blocks if not (marks and page.bad[i])]
+    left = [(i, t) for i, t in fine if page.key[i] not in low]
+    if marks and any(page.main[i] for i, _ in left):
+        tops = page.tops()
+        size = lambda main: sum(len(t) for i, t in left if page.main[i] == main)
+        cards = len(tops) > 1 and all(page.tag[i] == "article" for i in tops)
+        if not (cards and size(False) > size(True)):
+            left = [(i, t) for i, t in left if page.main[i]]
+    return " ".join(t for _, t in left or fine)
+
+
+def _extractor(marks: bool) -> Callable:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(h or "", frozenset(n or ()), marks) for h, n in zip(batch.column("html").to_pylist(), batch.column("nodes").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return work
 
 
-def extracted(pages: DataFrame) -> DataFrame:
+def extracted(pages: DataFrame, marks: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) of every page (page_id, url, html)."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    low = materialise(importance(rows).where((F.col("importance") < LOW) & (F.col("pages") >= MIN_PAGES)).select("host", "node"))
+    low = materialise(importance(once(rows.select("page_id", "host", "html"))).where(F.col("importance") < LOW).select("host", "node"))
     lists = low.groupBy("host").agg(F.collect_list("node").alias("nodes"))
     if low.count() <= BROADCAST_ROWS:
         lists = F.broadcast(lists)
-    return rows.join(lists, "host", "left").select("page_id", "url", "html", "nodes").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return rows.join(lists, "host", "left").select("page_id", "url", "html", "nodes").mapInArrow(_extractor(marks), "page_id long, url string, text string, n_chars long")
