@@ -8,14 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine a temporary one where that is unset (tests)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tallyspark.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-tally-")
         spark.conf.set("spark.tallyspark.shared.dir", folder)
     return folder.rstrip("/")
@@ -25,19 +27,29 @@ def materialise(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again: lineage ends there, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/tally-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
-def components(edges: DataFrame) -> DataFrame:
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later job reads. What is a part of a returned result stays."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def components(edges: DataFrame, node: str = "node", component: str = "component") -> DataFrame:
     """(node, component) of an undirected graph given as (a, b) longs; component: its smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014). Minima are aggregated before the shuffle and
     brought back by a join, so that a node with very many neighbours is pre-aggregated and its join can be split.
-    Self-loops and repeated edges are allowed. An empty table gives an empty result.
+    Self-loops and repeated edges are allowed. An empty table gives an empty result. edges is computed once.
     """
-    loops = edges.where("a = b").select(F.col("a").alias("node"))
-    e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    given = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e, before = given.where("u <> v"), None
+    held = []
     while True:
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -46,13 +58,17 @@ def components(edges: DataFrame) -> DataFrame:
         hung = large.join(least, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m")).distinct()
         e = materialise(small)
+        release(*held)
+        held = [e]
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
         before = tuple(now)
     found = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
-    alone = loops.distinct().join(found, "node", "left_anti")
-    return found.union(alone.select("node", "node"))
+    alone = given.where("u = v").select(F.col("u").alias("node")).join(found, "node", "left_anti")
+    out = materialise(found.union(alone.select("node", "node")).toDF(node, component))
+    release(e, given)
+    return out
 
 
 def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
