@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, materialise, shared_dir
+from ..operators.graph import components, materialise, release, shared_dir
 
-__all__ = ["Forest", "components", "fitting", "materialise", "matrix", "shared_dir", "table", "whole_groups"]
+__all__ = ["Forest", "bounded_batches", "components", "fitting", "fresh", "materialise", "matrix", "release", "shared_dir", "spread", "table", "whole_groups"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,30 @@ def fitting(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like this that no column of df has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
+#: Bytes of an Arrow batch between Spark and Python, where the session leaves it open: rows can be long texts or pages.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Batches for Python are bounded by bytes, not only by rows; a bound that the session sets stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, BATCH_BYTES)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys to as many partitions as shuffles have. They aren't merged by their bytes, which say little about the
+    work that is done for a row in Python."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables that hold only whole groups, from batches whose equal keys stand together. A group is bounded by its maker."""
     held: pa.Table | None = None
