@@ -6,7 +6,9 @@
    similarity of plausible pairs is computed, again in blocks and but for pairs that are joined already.
 3. The components of the verified forest are the classes.
 
-A larger bucket or cluster is dealt to more blocks; every pair of its members meets in exactly one of them.
+A larger bucket or cluster is dealt to more blocks; every pair of its members meets in exactly one of them. A side of a block
+holds about BLOCK members, and about BLOCK_BYTES of text where members are texts, so that a task's memory follows the longest
+text and not the cluster.
 """
 
 from __future__ import annotations
@@ -18,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, materialise, matrix, whole_groups
+from .common import Forest, components, matrix, release, spread, whole_groups
 
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 1 << 20
 
 
-def dealt(df: DataFrame, key: str, item: str = "item") -> DataFrame:
-    """df with `block` (long) and `side`: rows of one key meet in one block if they are few, else in the blocks of a
-    triangle over its parts. Keys with a single row are left out."""
-    size = df.groupBy(key).agg(F.count("*").alias("size")).where("size > 1")
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
+def dealt(df: DataFrame, key: str, item: str = "item", text: str | None = None) -> DataFrame:
+    """df with `block` (long) and `side`: rows of one key meet in one block if they are few (and their texts short), else in the
+    blocks of a triangle over its parts. Keys with a single row are left out."""
+    size = df.groupBy(key).agg(F.count("*").alias("size"), F.sum(F.octet_length(text) if text else F.lit(0)).alias("bytes")).where("size > 1")
+    n = F.least("size", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))).cast("int")
     return (
         df.join(size, key)
         .withColumn("parts", n)
@@ -35,7 +37,7 @@ def dealt(df: DataFrame, key: str, item: str = "item") -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("block", F.xxhash64(F.col(key), F.least("side", "other"), F.greatest("side", "other")))
         .withColumn("alone", F.col("side") == F.col("other"))
-        .drop("size", "parts", "other")
+        .drop("size", "bytes", "parts", "other")
     )
 
 
@@ -61,7 +63,7 @@ def _may_meet(side: np.ndarray, alone: np.ndarray) -> np.ndarray:
 
 
 def _blocks(df: DataFrame, columns: list[str], work: Callable, schema: str) -> DataFrame:
-    return df.select("block", "side", "alone", *columns).repartition("block").sortWithinPartitions("block").mapInArrow(work, schema)
+    return spread(df.select("block", "side", "alone", *columns), "block").sortWithinPartitions("block").mapInArrow(work, schema)
 
 
 def _edges(a: list, b: list) -> pa.RecordBatch:
@@ -93,7 +95,7 @@ def plausible(bands: DataFrame, sigs: DataFrame, hashes: int, agree: int) -> Dat
                             break
             yield _edges(a, b)
 
-    return components(_blocks(dealt(bands, "key").join(sigs, "item"), ["item", "sig"], work, "a long, b long")).toDF("item", "cluster")
+    return components(_blocks(dealt(bands, "key").join(sigs, "item"), ["item", "sig"], work, "a long, b long"), "item", "cluster")
 
 
 def verified(clusters: DataFrame, payload: Callable, hashes: int, agree: int, least: float) -> DataFrame:
@@ -135,10 +137,12 @@ def verified(clusters: DataFrame, payload: Callable, hashes: int, agree: int, le
                         break
             yield _edges(a, b)
 
-    return components(_blocks(dealt(clusters, "cluster"), ["item", "sig", "text"], work, "a long, b long")).toDF("item", "class_id")
+    return components(_blocks(dealt(clusters, "cluster", text="text"), ["item", "sig", "text"], work, "a long, b long"), "item", "class_id")
 
 
 def near_classes(bands: DataFrame, sigs: DataFrame, texts: Callable, payload: Callable, hashes: int, agree: int, least: float) -> DataFrame:
     """(item, class_id) of all items that have a near-duplicate. texts: from a table of plausible items to (item, text)."""
-    clusters = materialise(plausible(bands, sigs, hashes, agree))
-    return verified(clusters.join(sigs, "item").join(texts(clusters.select("item")), "item"), payload, hashes, agree, least)
+    clusters = plausible(bands, sigs, hashes, agree)
+    out = verified(clusters.join(sigs, "item").join(texts(clusters.select("item")), "item"), payload, hashes, agree, least)
+    release(clusters)
+    return out

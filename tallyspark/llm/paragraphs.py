@@ -14,8 +14,9 @@ selected; equal windows select equal seeds, so a repeated gram has a repeated se
 
 Of each class the occurrence with the smallest (doc_id, place) is kept, all others are to be removed. A kept passage can have in it
 a shorter one that itself stands earlier; that one has its own row. Of a passage that overlaps its own first occurrence only what
-lies beyond goes. Null texts and texts without words have no paragraphs. Rows that share a doc_id are taken as the same document.
-Columns other than doc_id and text are ignored. An empty table gives an empty result.
+lies beyond goes. Null texts and texts without words have no paragraphs. Rows that share a doc_id and are equal are one document;
+if their texts differ, their places can't be told apart, so they take no part. Very long texts are searched whole. Columns other than
+doc_id and text are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .common import fitting, materialise
+from .common import bounded_batches, fitting, fresh, materialise, release
 from .near import near_classes
 from .shingles import _BASE, _INVERSE, _power, byte_slices, distinct, mix, shingles, words
 from .weighted_minhash import band_keys
@@ -183,29 +184,34 @@ def _sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _first() -> list:
-    return [F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "end")).alias("first")]
+    place = F.struct("doc_id", "start", "end")
+    return [F.min(place).alias("first"), F.max(place).alias("last")]
 
 
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per occurrence of a repeated paragraph or passage: (doc_id, kind, start, n_chars, n_words, class_id, kept).
 
     start and n_chars count code points; class_id: the smallest doc_id that has the class's first occurrence; kept: this is it."""
+    bounded_batches(docs)
     own = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
+    unclear = fitting(own.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("doc_id"))
+    own = own.join(unclear, "doc_id", "left_anti")
     lines = materialise(own.mapInArrow(_cut, UNITS))
     items = materialise(lines.groupBy("key").agg(*_first(), F.first("sig").alias("sig")).withColumnRenamed("key", "item"))
     texts = lambda some: (
         own.join(fitting(some.join(items, "item").select("item", "first.*")), "doc_id").selectExpr("item", "substring(text, start + 1, end - start) as text").dropDuplicates(["item"])
     )
     sigs = items.select("item", "sig")
-    classes = materialise(near_classes(band_keys(sigs, BANDS, ROWS), sigs, texts, _sets, HASHES, AGREE, threshold))
-    known = items.join(classes, "item", "left").withColumn("class", F.coalesce("class_id", "item")).select("item", "class", "n", "first")
-    sizes = known.groupBy("class").agg(F.sum("n").alias("all"), F.min("first").alias("first")).where("all > 1")
+    classes = near_classes(band_keys(sigs, BANDS, ROWS), sigs, texts, _sets, HASHES, AGREE, threshold)
+    known = items.join(classes, "item", "left").withColumn("class", F.coalesce("class_id", "item")).select("item", "class", "first", "last")
+    sizes = known.groupBy("class").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last")
     member = known.select("item", "class").join(sizes, "class").select(F.col("item").alias("key"), "first")
     paragraph = materialise(
         lines.join(member, "key")
         .select("doc_id", F.lit("paragraph").alias("kind"), "start", F.expr("end - start").alias("n_chars"), "n_words", F.col("first.doc_id").alias("class_id"), F.expr("doc_id = first.doc_id and start = first.start").alias("kept"))
         .distinct()
     )
+    release(lines, items, classes)
 
     gone = fitting(paragraph.where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_chars")).alias("gone")))
     left = own.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
@@ -217,6 +223,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     if several.count() <= common.BROADCAST_ROWS:
         places = F.broadcast(places)
     grams = materialise(left.join(places, "doc_id").select("doc_id", "text", "gone", "seeds").mapInArrow(_grams, GRAMS))
+    release(seeds, several)
     firsts = (
         grams.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos", "end")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
         .where("first.doc_id <> last.doc_id or first.pos <> last.pos").select("a", "b", "first")
@@ -240,25 +247,29 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     return paragraph.union(passage.selectExpr("doc_id", "'passage' as kind", "start", "until - start as n_chars", "n_words", "class_id", "kept"))
 
 
-def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
-    """text without its spans; texts without spans are not touched."""
-
-    def one(t: str, gone: list) -> str:
-        out, at = [], 0
-        for a, n in sorted((x["start"], x["n_chars"]) for x in gone):
-            out.append(t[at : max(at, a)])
-            at = max(at, a + n)
-        return "".join([*out, t[at:]])
-
-    cut = pc.and_(spans.is_valid(), text.is_valid())
-    new = [one(t, g) for t, g in zip(text.filter(cut).to_pylist(), spans.filter(cut).to_pylist(), strict=True)]
-    return pc.replace_with_mask(text, cut, pa.array(new, text.type))
+def _without(text: str, spans: list[dict]) -> str:
+    out, at = [], 0
+    for a, n in sorted((x["start"], x["n_chars"]) for x in spans):
+        out.append(text[at : max(at, a)])
+        at = max(at, a + n)
+    return "".join([*out, text[at:]])
 
 
 def cleaned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the repeated passages that aren't kept, n_chars set anew; a document with nothing left but white space goes."""
-    gone = repeated_passages(docs, threshold).where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_chars")).alias("__spans"))
-    both = docs.join(gone, "doc_id", "left").withColumn("text", F.arrow_udf(_without, "string").asNondeterministic()("text", "__spans"))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return both.where(F.col("__spans").isNull() | F.col("text").rlike(r"\S")).select(docs.columns)
+    """docs without the repeated passages that aren't kept, n_chars set anew; a document with nothing left but white space goes.
+
+    Documents without such passages, null texts and rows without doc_id stay as they are; rows that share a doc_id are all cut alike."""
+    names, spans = docs.columns, fresh(docs, "spans")
+    gone = repeated_passages(docs, threshold).where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_chars")).alias(spans))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            has = pc.and_(column(spans).is_valid(), column("text").is_valid())
+            new = [_without(t, g) for t, g in zip(column("text").filter(has).to_pylist(), column(spans).filter(has).to_pylist(), strict=True)]
+            values = {"text": new, "n_chars": [len(t) for t in new]}
+            columns = [pc.replace_with_mask(column(c), has, pa.array(values[c], column(c).type)) if c in values else column(c) for c in names]
+            left = pc.replace_with_mask(pa.array([True] * batch.num_rows), has, pa.array([bool(t.strip()) for t in new], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names).filter(left)
+
+    return docs.join(gone, "doc_id", "left").select(*names, spans).mapInArrow(cut, docs.schema)

@@ -5,8 +5,10 @@ frequencies are counted over all documents in a hashed table of WORD_BUCKETS cou
 (words that share a counter share a frequency). HASHES consistent samples per text are banded, and what collides is verified
 by exact weighted Jaccard similarity, THRESHOLD or more. Identical texts are collapsed beforehand.
 
-Null texts and texts without words match nothing. Rows that share a doc_id count as one document. Columns other than doc_id
-and text are ignored. An empty table gives an empty result.
+Null texts and texts without words match nothing. Rows that share a doc_id count as one document: if their texts differ, it belongs
+to the class of each of them. Texts are told apart by 128 bits of hash, and are nodes of the graph by 64 bits (with n texts, two share
+a node with a probability of n^2 / 2^65). Ties (equal weights of samples) go to the smaller code, so results don't depend on the run. Very
+long texts count whole. Columns other than doc_id and text are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fitting, materialise
+from .common import bounded_batches, components, fitting, fresh, materialise, release
 from .near import near_classes
 from .shingles import SHINGLE, bounds, byte_slices, distinct, mix, shingles, words
 
@@ -103,7 +106,7 @@ def signatures(ids: np.ndarray, weight: np.ndarray, group: np.ndarray, n: int) -
 
 
 def sign(idf: np.ndarray) -> Callable:
-    """Task: (doc_id, text) to (doc_id, copy_of: 128 bits of the exact text, sig or null if there are no words)."""
+    """Task: (doc_id, text, item) to (doc_id, item, copy_of: 128 bits of the exact text, sig or null if there are no words)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +116,7 @@ def sign(idf: np.ndarray) -> Callable:
                 for row, i in enumerate(full.tolist()):
                     sigs[i] = raw[row * 4 * HASHES : (row + 1) * 4 * HASHES]
                 same = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(same, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "copy_of", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(same, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "item", "copy_of", "sig"])
 
     return work
 
@@ -127,23 +130,39 @@ def band_keys(sigs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFram
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_copies, kept): class_id is the smallest doc_id that near-duplicate or equal texts lead to; n_copies
     counts the documents with exactly this text; kept is true for the one document of each class that stays."""
+    bounded_batches(docs)
     counts, n = word_frequencies(docs)
     idf = inverse_frequencies(counts, n)
-    signed = materialise(docs.where("text is not null").select("doc_id", "text").mapInArrow(sign(idf), "doc_id long, copy_of binary, sig binary"))
-    texts = materialise(signed.groupBy("copy_of").agg(F.min("doc_id").alias("item"), F.first("sig").alias("sig"), F.count_distinct("doc_id").alias("n_copies")))
-    sigs = texts.where("sig is not null").groupBy("item").agg(F.first("sig").alias("sig"))
-    own = docs.where("text is not null").select(F.col("doc_id").alias("item"), "text")
-    found = near_classes(band_keys(sigs), sigs, lambda some: own.join(fitting(some), "item", "left_semi").dropDuplicates(["item"]), lambda t: weighted(t, idf), HASHES, AGREE, threshold)
-    classes = texts.join(found, "item", "left").select("copy_of", "n_copies", F.when(F.col("sig").isNull(), None).otherwise(F.coalesce("class_id", "item")).alias("class_id"))
+    own = docs.where("text is not null and doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("item"))
+    signed = materialise(own.mapInArrow(sign(idf), "doc_id long, item long, copy_of binary, sig binary"))
+    texts = materialise(signed.groupBy("copy_of").agg(F.first("item").alias("item"), F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.count_distinct("doc_id").alias("n_copies")))
+    sigs = materialise(texts.where("sig is not null").groupBy("item").agg(F.min("sig").alias("sig")))
+    found = near_classes(band_keys(sigs), sigs, lambda some: own.join(fitting(some), "item", "left_semi").groupBy("item").agg(F.min("text").alias("text")), lambda t: weighted(t, idf), HASHES, AGREE, threshold)
+    several = materialise(signed.where("sig is not null").groupBy("doc_id").agg(F.min("item").alias("a"), F.max("item").alias("z")).where("a <> z").select("doc_id"))
+    if not several.isEmpty():  # texts of one doc_id belong together
+        ties = signed.where("sig is not null").join(several, "doc_id").select("doc_id", "item")
+        ties = ties.join(ties.groupBy("doc_id").agg(F.min("item").alias("b")), "doc_id").select(F.col("item").alias("a"), "b")
+        found = components(found.toDF("a", "b").union(ties), "item", "class_id")
+    least = texts.join(found, "item").groupBy("class_id").agg(F.min("doc_id").alias("first"))
+    named = found.join(least, "class_id").select("item", F.col("first").alias("class_id"))
+    classes = texts.join(named, "item", "left").select("copy_of", "n_copies", F.when(F.col("sig").isNull(), None).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"))
     per_doc = signed.select("doc_id", "copy_of").join(classes, "copy_of").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_copies").alias("n_copies"))
+    release(sigs, several)
     return (
         docs.select("doc_id").distinct().join(per_doc, "doc_id", "left")
         .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
-        .withColumn("kept", F.col("doc_id") == F.col("class_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
     )
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each class, once; rows without doc_id stay."""
-    kept = near_duplicates(docs.where("doc_id is not null"), threshold).where("kept").select("doc_id")
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id is null"))
+    """docs with one document of each class, once; rows without doc_id stay.
+
+    Of rows that share a doc_id the first by a hash of the whole row stays; only such rows are shuffled."""
+    known = docs.where("doc_id is not null")
+    kept = near_duplicates(known, threshold).where("kept").select("doc_id")
+    left = known.join(kept, "doc_id", "left_semi").select(docs.columns)
+    several = fitting(known.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    nth = fresh(docs, "nth")
+    first = left.join(several, "doc_id", "left_semi").withColumn(nth, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))).where(F.col(nth) == 1).select(docs.columns)
+    return left.join(several, "doc_id", "left_anti").select(docs.columns).union(first).union(docs.where("doc_id is null"))
