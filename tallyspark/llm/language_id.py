@@ -7,8 +7,9 @@ languages. A text's score for a language is the mean of its windows' probabiliti
 The network is trained in numpy on the driver, on windows of at most SAMPLE_DOCS labelled texts, an equal share per language;
 the texts are chosen by a hash of doc_id, so that the sample is the same on every run. Everything else covers all rows.
 
-Null texts and texts without letters are `und` with a score of 0, as is everything where no labelled text was given. Repeated
-rows get equal results. Other columns than those named are ignored.
+Null texts and texts without letters (Unicode's categories L; numerals are none) are `und` with a score of 0, as is everything where
+no labelled text was given, as in an empty table. Of languages with equal scores the first by name is returned. Repeated rows get
+equal results. Very long texts are read whole, a slice at a time. Other columns than those named are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .shingles import byte_slices
 
 WINDOW = 256
@@ -32,6 +34,10 @@ TOGETHER = 32
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All windows of texts: bytes, index of the text, how many bytes are the text's."""
     size = np.array([len(t) for t in texts], dtype=np.int64)
@@ -128,8 +134,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], Network | None]:
-    """The languages and the trained network, from documents (doc_id, text, lang) of which null texts and langs are left out."""
-    known = docs.where("text is not null and lang is not null and doc_id is not null and length(text) >= 20")
+    """The languages and the trained network, from documents (doc_id, text, lang) of which null and empty texts and null langs are left out."""
+    bounded_batches(docs)
+    known = docs.where("text <> '' and lang is not null and doc_id is not null")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
@@ -149,7 +156,7 @@ def predict(texts: pa.Array, langs: list[str], net: Network | None) -> tuple[lis
     """lang_pred and score of each text."""
     names, scores = ["und"] * len(texts), np.zeros(len(texts))
     for a, b, raw in byte_slices(texts) if net else ():
-        raw = [t if _LETTER.search(t.decode()) else b"" for t in raw]
+        raw = [t if has_letter(t.decode()) else b"" for t in raw]
         x, of, n = windows(raw)
         p = net.probabilities(x).astype(np.float64) * n[:, None]
         at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
@@ -188,8 +195,10 @@ def recognised(docs: DataFrame, least: float = 0.4) -> DataFrame:
     if net is None:
         return docs.where("false")
 
-    def score(text: pa.Array) -> pa.Array:
-        names, scores = predict(text, langs, net)
-        return pa.array(np.where(np.array(names, dtype=str) == "und", -1.0, scores), pa.float64())
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = predict(batch.column(batch.schema.get_field_index("text")), langs, net)
+            yield batch.filter(pa.array((np.array(names, dtype=str) != "und") & (scores >= least)))
 
-    return docs.where(F.arrow_udf(score, "double")("text") >= least)
+    # whole rows pass through the task: beside a function of one column, Spark would hold the other columns in a queue
+    return docs.mapInArrow(kept, docs.schema)
