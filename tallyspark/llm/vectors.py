@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import matrix
 
@@ -15,8 +17,20 @@ from .common import matrix
 SAMPLE = 20_000
 
 
-def usable(dim: int, keep: list[str], unit: bool = False) -> Callable:
-    """Task: keep columns and `v`, the doubles, of vectors of dim finite components that aren't all zero; unit: scaled to length 1."""
+def stored(vectors: DataFrame) -> type:
+    """The numpy type that holds the components as given."""
+    return np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, without negative zeros, so that equal directions have equal bytes."""
+    x = x / np.abs(x).max(axis=1, initial=0)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None] + 0.0
+
+
+def usable(dim: int, keep: list[str], kind: type, directions: bool = False) -> Callable:
+    """Task: keep columns and `v`, the components as bytes of kind, of vectors of dim finite components that aren't all zero; directions:
+    also `dir`, 128 bits of hash of the unit vector."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -32,12 +46,9 @@ def usable(dim: int, keep: list[str], unit: bool = False) -> Callable:
                 top = np.abs(x).max(axis=1, initial=0)
                 fine = np.isfinite(x).all(axis=1) & (top > 0)
             x, rows = x[fine], rows[fine]
-            if unit:
-                x = x / top[fine][:, None]
-                x = x / np.sqrt((x * x).sum(axis=1))[:, None]
-                x = x + 0.0  # no negative zeros: equal vectors have equal bytes
             some = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array([r.tobytes() for r in x], pa.binary())], [*keep, "v"])
+            more = [pa.array([hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in unit(x)], pa.binary())] if directions else []
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), *more], [*keep, "v", *(["dir"] if directions else [])])
 
     return work
 
@@ -48,11 +59,11 @@ def dimension(vectors: DataFrame) -> int:
     return rows[0]["d"] if rows else 0
 
 
-def sample(vectors: DataFrame, n: int, dim: int, most: int = SAMPLE) -> np.ndarray:
-    """At most about `most` of n vectors (vec_id, v), in the order of vec_id."""
-    drawn = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1_000_000)) < min(1.0, most / max(n, 1)) * 1_000_000).select("vec_id", "v").limit(2 * most)
-    rows = drawn.toPandas().sort_values("vec_id")
-    return matrix(pa.array(rows["v"], pa.binary()), np.float64, dim) if len(rows) else np.zeros((0, dim))
+def sample(vectors: DataFrame, n: int, dim: int, kind: type, key: str = "vec_id", most: int = SAMPLE) -> np.ndarray:
+    """At most about `most` of n vectors (key, v), in the order of their keys."""
+    drawn = vectors.where(F.pmod(F.xxhash64(key, F.lit(2)), F.lit(1_000_000)) < min(1.0, most / max(n, 1)) * 1_000_000).select(key, "v").limit(2 * most)
+    rows = drawn.toPandas().sort_values([key, "v"])
+    return matrix(pa.array(rows["v"], pa.binary()), kind, dim).astype(np.float64) if len(rows) else np.zeros((0, dim))
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
