@@ -2,21 +2,23 @@
 
 A host is turned round (label by label) to a canonical key, so that a host and its subdomains form one interval of keys. Keys of
 URLs and intervals of rules are dealt to ranges of keys; a rule goes to every range that its interval meets. In a range both
-are sorted, and a sweep keeps a stack of the rules whose interval holds the current key: intervals nest, so the stack's top
-leaves first. Of the stack's rules, those whose path is a prefix of the URL's path fit, and the longest wins (by the length of
-host and path together, then of the host, then the greater text).
+are sorted, and a sweep keeps a stack of the hosts with rules whose interval holds the current key: intervals nest, so the stack's top
+leaves first. A host's paths stand in a table by length, so that a URL looks up one prefix of its path per length. Of the rules that
+fit the longest wins (by the length of host and path together, then of the host; two can't tie in both).
 
 There is a range for every RANGE_ROWS rows, RANGES at most; rows of a range stream through the sweep. Limits come from about SAMPLE
 keys, chosen by a hash. A host that a third of the URLs have fills several ranges by its paths; a single key that would, is dealt to
 all of them by a hash of the row.
 
-Null URLs, and URLs without `://`, have an empty host and path; no rule fits them unless its host is empty too. Rules with a null host
-or path are ignored; of rules equal in host and path the one with the smallest verdict counts. Rows without a fitting rule get
-the default. Repeated rows are judged each. Columns other than page_id and url are ignored.
+Null URLs, and URLs without `://`, have an empty host and path; no rule fits them unless its host is empty too. An empty host has no
+subdomains. Rules with a null host or path are ignored; of rules equal in host and path the one with the smallest verdict counts. Rows
+without a fitting rule get the default. Repeated rows are judged each; very long URLs are read whole; an empty table gives an empty
+result, an empty rule table the default. Columns other than page_id and url are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: The rules of the registered query: host, path, verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 DEFAULT = "allow"
 SAMPLE, RANGE_ROWS, RANGES = 20_000, 25_000, 4_000
-END = "\U0010ffff"
+END, NOWHERE = "\U0010ffff", "\x01"
 
 
 def split_url(urls: DataFrame) -> DataFrame:
@@ -40,8 +44,8 @@ def split_url(urls: DataFrame) -> DataFrame:
 
 
 def turned(host: str = "host") -> F.Column:
-    """a.example.org: org,example,a, (each label closed by a comma)."""
-    return F.when(F.col(host) == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(F.col(host), r"\.")), ","), F.lit(",")))
+    """a.example.org: org,example,a, (each label closed by a comma). An empty host stands apart from all others."""
+    return F.when(F.col(host) == "", NOWHERE).otherwise(F.concat(F.array_join(F.reverse(F.split(F.col(host), r"\.")), ","), F.lit(",")))
 
 
 def _dealt(limits: list[str]) -> Callable:
@@ -60,7 +64,7 @@ def _dealt(limits: list[str]) -> Callable:
 
 def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of ranges: rules before URLs of an equal key, wide rules before those inside them. Only the stack is held."""
-    stack: list[tuple[str, str, str, str]] = []
+    stack: list[tuple[str, str, dict[str, str], list[int]]] = []
     at = None
     for t in batches:
         ranges, kind, keys, ends = (t.column(c).to_pylist() for c in ("range", "kind", "key", "until"))
@@ -71,12 +75,21 @@ def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, stack = r, []
             while stack and stack[-1][0] <= keys[i]:
                 stack.pop()
+            host, path = hosts[i], paths[i]
             if kind[i] == 0:
-                stack.append((ends[i], hosts[i], paths[i], verdicts[i]))
+                if not stack or stack[-1][1] != host:
+                    stack.append((ends[i], host, {}, []))
+                stack[-1][2][path] = verdicts[i]
+                if len(path) not in stack[-1][3]:
+                    bisect.insort(stack[-1][3], len(path))
                 continue
-            fits = [(len(h) + len(p), len(h), h + p, v) for _, h, p, v in stack if paths[i].startswith(p) and (hosts[i] == h or hosts[i].endswith("." + h))]
-            best = max(fits, default=(0, 0, None, None))
-            for c, x in zip(out, (ids[i], hosts[i], paths[i], best[2], best[3]), strict=True):
+            best = (-1, -1, None, None)
+            for _, h, known, lengths in stack:
+                if host == h or h and host.endswith("." + h):
+                    n = next((n for n in reversed(lengths) if path[:n] in known), None)
+                    if n is not None:
+                        best = max(best, (len(h) + n, len(h), h + path[:n], known[path[:n]]))
+            for c, x in zip(out, (ids[i], host, path, best[2], best[3]), strict=True):
                 out[c].append(x)
         kinds = {"page_id": pa.int64()}
         yield pa.RecordBatch.from_arrays([pa.array(x, kinds.get(c, pa.string())) for c, x in out.items()], list(out))
@@ -94,7 +107,7 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     dealt = keyed.mapInArrow(_dealt(limits), "page_id long, host string, path string, key string, range long")
     spans = (
         rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-        .withColumn("key", turned()).withColumn("until", F.when(F.col("host") == "", F.lit(",")).otherwise(F.concat("key", F.lit(END))))
+        .withColumn("key", turned()).withColumn("until", F.concat("key", F.lit(END)))
     )
     # the ranges that an interval meets, from the sorted limits
     below = lambda c, other: F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: (x < F.col(c)) if other else (x <= F.col(c)))) if limits else F.lit(0)
@@ -102,7 +115,7 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     both = dealt.select("range", "key", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("until"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict")).unionByName(
         spread.select("range", "key", F.lit(0).alias("kind"), "until", F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
     )
-    swept = both.repartition("range").sortWithinPartitions("range", "key", "kind", F.desc("until")).mapInArrow(_swept, "page_id long, host string, path string, rule string, verdict string")
+    swept = spread(both, "range").sortWithinPartitions("range", "key", "kind", F.desc("until")).mapInArrow(_swept, "page_id long, host string, path string, rule string, verdict string")
     return swept.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
