@@ -10,15 +10,18 @@ matrix: entry [a, b] is the best score of the chunk if the piece before reaches
 reaches b points beyond it. Matrices combine associatively: chunks to segments, segments to the text. From the values at the
 boundaries each segment, then each chunk learns its states, and every chunk is backtraced on its own.
 
-A character in no piece becomes the byte pieces of its UTF-8 form. A small fixed amount per piece tells most segmentations of
-equal score apart; pieces in another order can still tie, and either order may then be returned.
+A character in no piece becomes the byte pieces of its UTF-8 form. Scores are fixed-point numbers (SCALE parts of 1). A small fixed
+amount per piece tells most segmentations of equal score apart; what still ties goes to the longest last piece in words, and to the
+smaller state at the boundaries of chunks, so results don't depend on the run.
 
 That is the encoding of unigram models. A model that was trained for merges (BPE) also has scores, but its encoding applies merges
 greedily, which no sum of scores reproduces: its words are encoded by their merges, and giant texts are dealt out in chunks that are
 cut at word marks.
 
 The path to a SentencePiece model is a parameter. Space is the word mark U+2581, which the model can't tell from a space:
-decoding gives a space for either. Null texts have null ids, empty texts none. Repeated rows get equal results.
+decoding gives a space for either. Null texts have null ids, empty texts none. Repeated rows get equal results; an empty table gives an
+empty result; other columns are ignored, whatever their names. Models with user-defined pieces, which stand outside of all scores and
+merges, are refused.
 """
 
 from __future__ import annotations
@@ -34,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, materialise, spread
+
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 GIANT, CHUNK, SEGMENT = 65_536, 2_048, 256
 #: Distinct words that a worker remembers, the first it meets; longer words than LONG points take the chunked form inside their task.
 REMEMBER, LONG = 100_000, 48
-SCALE = 1 << 20
+SCALE = 1 << 28
 #: No score is below FLOOR; a character without a piece costs UNKNOWN.
 FLOOR, UNKNOWN = -100_000, -200_000
 NEVER = np.int64(-(1 << 61))
@@ -67,6 +72,8 @@ class Pieces:
             elif p.type == 1:
                 text.append((p.piece.replace("▁", " "), p.score, i))
                 self.bytes.append(text[-1][0].encode())
+            elif p.type == 4:
+                raise ValueError(f"user-defined piece {p.piece!r}: such models are not supported")
             else:
                 self.bytes.append(b"")
         #: Score of each piece, for models of merges only.
@@ -74,7 +81,7 @@ class Pieces:
         self.id_of = {t: i for t, _, i in text}
         self.longest = max(len(t) for t, _, _ in text)
         assert not any(" " in t.lstrip(" ") for t, _, _ in text), "a piece has a word mark behind another character"
-        keys = np.array([hash_points(np.array([ord(c) for c in t], dtype=_U)) for t, _, _ in text], dtype=_U)
+        keys = np.array([hash_points(np.array([ord(c) + 1 for c in t], dtype=_U)) for t, _, _ in text], dtype=_U)
         order = np.argsort(keys)
         self.keys = keys[order]
         buckets = (self.keys >> _BUCKET).astype(np.int64)
@@ -83,8 +90,8 @@ class Pieces:
         self.keys = np.r_[self.keys, np.zeros(self.probes, dtype=_U)]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(keys >> _SIEVE).astype(np.int64)] = True
-        spread = (keys * _U(0xD6E8FEB86659FD93) >> _U(46)).astype(np.int64)
-        scores = np.array([max(FLOOR, round(s)) for _, s, _ in text], dtype=np.int64) * SCALE - spread
+        apart = (keys * _U(0xD6E8FEB86659FD93) >> _U(54)).astype(np.int64)
+        scores = np.array([round(max(FLOOR, s) * SCALE) for _, s, _ in text], dtype=np.int64) - apart
         self.scores = np.r_[scores[order], np.full(self.probes, NEVER)]
         self.ids = np.r_[np.array([i for _, _, i in text], dtype=np.int32)[order], np.zeros(self.probes, dtype=np.int32)]
 
@@ -109,7 +116,7 @@ def hash_points(points: np.ndarray) -> np.uint64:
 
 def spread_point(p: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (p + _U(1)) * _U(0xBF58476D1CE4E5B9)
+        return p * _U(0xBF58476D1CE4E5B9)
 
 
 def finish(x: np.ndarray) -> np.ndarray:
@@ -128,7 +135,7 @@ def pieces(path: str, model: bytes) -> Pieces:
 
 def arcs(v: Pieces, points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Of the columns' substrings that are pieces, by end: begin, end, which rows, scores, indexes of pieces; index -2 - point for
-    a character that is no piece. points: rows of code points, 0 where a row has ended."""
+    a character that is no piece. points: rows of code points plus 1, 0 where a row has ended."""
     n, width = points.shape
     points = np.ascontiguousarray(points.T)
     p = spread_point(points.astype(_U))
@@ -147,7 +154,7 @@ def arcs(v: Pieces, points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray,
                     at = v.find(key[rows])
                     lone = at < 0
                     score = np.where(lone, np.int64(UNKNOWN * SCALE), v.scores[at])
-                    at[lone] = -2 - points[begin][rows[lone]].astype(np.int64)
+                    at[lone] = -1 - points[begin][rows[lone]].astype(np.int64)
                 else:
                     rows = np.flatnonzero(maybe & real)
                     at = v.find(key[rows])
@@ -160,7 +167,7 @@ def arcs(v: Pieces, points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray,
 
 def _better(best: np.ndarray, came: np.ndarray, which: np.ndarray, begin: int, end: int, rows: np.ndarray, score: np.ndarray, at: np.ndarray) -> None:
     value = best[begin, rows] + score
-    better = value > best[end, rows]
+    better = value >= best[end, rows]  # arcs come from the shortest to the longest: of equal ones the longest stays, as in the library
     rows = rows[better]
     best[end, rows], came[end, rows], which[end, rows] = value[better], begin, at[better]
 
@@ -172,7 +179,7 @@ def _emit(v: Pieces, index: int) -> list[int]:
 def _codes(texts: list[str], width: int) -> np.ndarray:
     out = np.zeros((len(texts), width), dtype=np.uint32)
     sizes = np.array([len(t) for t in texts])
-    out[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) + np.uint32(1)
     return out
 
 
@@ -434,8 +441,10 @@ def _segment_product(pdf: pd.DataFrame) -> pd.DataFrame:
     total = None
     for raw in pdf.sort_values("chunk")["matrix"]:
         total = _square(raw) if total is None else times(total, _square(raw))
-    top = total[total > NEVER // 2].max(initial=0)
-    return pdf.head(1)[["text_key", "segment"]].assign(matrix=[np.where(total > NEVER // 2, total - top, NEVER).tobytes()])
+        # only differences count: values stay near 0 however long the text
+        top = total[total > NEVER // 2].max(initial=NEVER)
+        total = np.where(total > NEVER // 2, total - top, NEVER)
+    return pdf.head(1)[["text_key", "segment"]].assign(matrix=[total.tobytes()])
 
 
 def _segment_states(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -486,6 +495,7 @@ def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     """(doc_id, n_chars, n_tokens, round_trip, ids): round_trip tells that decoding the ids gives the text again."""
     with open(model_path, "rb") as f:
         model = f.read()
+    bounded_batches(docs)
     rows = docs.select("doc_id", "text")
     giant = F.coalesce(F.length("text") > GIANT, F.lit(False))
     schema = "doc_id long, n_chars long, ids array<int>, n_tokens long, round_trip boolean"
@@ -496,26 +506,23 @@ def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
 
 
 def _giants(long: DataFrame, path: str, model: bytes) -> DataFrame:
-    from .common import materialise
-
     v = pieces(path, model)
     k = v.longest
     mark = long.select("text_key", F.concat(F.lit(" "), F.translate("text", "▁", " ")).alias("whole")).dropDuplicates(["text_key"])
     if v.merges is not None:
-        parts = materialise(mark.mapInArrow(_split_task(CHUNK), "text_key string, chunk int, part string").repartition("text_key", "chunk"))
-        traced = parts.mapInArrow(_merge_task(path, model), "text_key string, chunk int, ids array<int>")
+        parts = materialise(mark.mapInArrow(_split_task(CHUNK), "text_key string, chunk int, part string"))
+        traced = spread(parts, "text_key", "chunk").mapInArrow(_merge_task(path, model), "text_key string, chunk int, ids array<int>")
     else:
         at = F.sequence(F.lit(0), F.floor((F.length("whole") - 1) / CHUNK).cast("int"))
         chunks = materialise(
             mark.select("text_key", "whole", F.explode(at).alias("chunk"))
             .selectExpr("text_key", "chunk", f"substring(whole, chunk * {CHUNK} + 1, {CHUNK + k - 1}) as part", f"least({CHUNK}, length(whole) - chunk * {CHUNK}) as size")
-            .repartition("text_key", "chunk")
         )
-        m = materialise(chunks.mapInArrow(_matrix_task(path, model), "text_key string, chunk int, matrix binary").withColumn("segment", F.floor(F.col("chunk") / SEGMENT).cast("int")))
+        m = materialise(spread(chunks, "text_key", "chunk").mapInArrow(_matrix_task(path, model), "text_key string, chunk int, matrix binary").withColumn("segment", F.floor(F.col("chunk") / SEGMENT).cast("int")))
         products = m.groupBy("text_key", "segment").applyInPandas(_segment_product, "text_key string, segment int, matrix binary")
         ends = products.groupBy("text_key").applyInPandas(_segment_states, "text_key string, segment int, entry int, leave int")
         known = m.join(ends, ["text_key", "segment"]).groupBy("text_key", "segment").applyInPandas(_chunk_states, "text_key string, chunk int, entry int, leave int")
         traced = chunks.join(known, ["text_key", "chunk"]).mapInArrow(_trace_task(path, model), "text_key string, chunk int, ids array<int>")
-    whole = traced.groupBy("text_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
+    whole = materialise(traced.groupBy("text_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids")))
     back = whole.mapInArrow(_decode_task(path, model, ["text_key"]), "text_key string, text string").select("text_key", F.col("text").alias("again"))
     return long.join(whole, "text_key").join(back, "text_key").select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_tokens"), (F.col("again") == F.translate("text", "▁", " ")).alias("round_trip"), "ids")

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fitting, materialise
+from .common import BROADCAST_ROWS, bounded_batches, fitting, materialise
 
 GAMMA, LOW, PRIOR = 0.9, 0.8, 20
 
@@ -279,6 +279,7 @@ def _extractor(marks: bool) -> Callable:
 
 def extracted(pages: DataFrame, marks: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) of every page (page_id, url, html)."""
+    bounded_batches(pages)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     low = materialise(importance(once(rows.select("page_id", "host", "html"))).where(F.col("importance") < LOW).select("host", "node"))
