@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sinks, state
-from .operators import stats
-from .pipeline import consolidate, ingest
-from .sources.accounts import accounts
+from .operators import problems, stats
+from .pipeline import batches, consolidate, ingest
+from .sources.accounts import accounts, load_config
 from .sources.files import scan
 
 
@@ -23,6 +23,9 @@ def parser() -> argparse.ArgumentParser:
     process.add_argument("folders", nargs="+")
     process.add_argument("-o", "--out", default="data")
     process.add_argument("--accounts", default="config/accounts.yaml")
+    process.add_argument("--config", help="JSON or YAML: date formats, headers, institution names")
+    process.add_argument("--batch", type=int, default=0, help="files per batch; the state is saved after each")
+    process.add_argument("--errors", help="folder for the error rows")
     process.add_argument("--force", action="store_true")
     process.add_argument("--no-recursive", action="store_true")
     for name, about in (("import", "consolidate canonical files"), ("report", "HTML report of months")):
@@ -54,10 +57,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     spark = spark or SparkSession.builder.appName("tallyspark").getOrCreate()
     now, known = dt.datetime.now(), state.load(spark, a.state)
     if a.command == "process":
-        got = ingest(spark, a.folders, now, accounts(spark, a.accounts)[1], known, force=a.force, recursive=not a.no_recursive)
-        sinks.write_canonical(got.transactions, a.out)
-        state.save(state.upserted(known, got.results), a.state)
-        out = stats.batch_summary(got.results)
+        config, wrong = load_config(a.config)
+        for problem in wrong:
+            print(f"configuration: {problem}; the defaults hold")
+        done, errors = None, None
+        for some in batches(spark, a.folders, a.batch, not a.no_recursive) if a.batch else [a.folders]:
+            got = ingest(spark, some, now, accounts(spark, a.accounts)[1], known, force=a.force, recursive=not a.no_recursive, config=config, outputs=sinks.written(spark, a.out))
+            if got is None:
+                continue
+            sinks.write_canonical(got.transactions, a.out)
+            state.save(state.upserted(known, got.results), a.state)
+            known = state.load(spark, a.state)
+            done = got.results if done is None else done.unionByName(got.results)
+            errors = got.errors if errors is None else errors.unionByName(got.errors)
+        if done is None:
+            print("no files to process")
+            return None
+        if a.errors:
+            sinks.write_json(errors, f"{a.errors}/rows")
+            sinks.write_json(problems.report(errors), f"{a.errors}/report")
+        out = stats.batch_summary(done)
     elif a.command == "import":
         sinks.write_consolidated(out := consolidate(spark, a.data), a.out)
     elif a.command == "report":

@@ -114,6 +114,22 @@ def matches(a: str, b: str, days: int = GAP_DAYS) -> Column:
     return F.when(ids, x("transaction_id") == y("transaction_id")).otherwise(near)
 
 
+def matching_pairs(txns: DataFrame, days: int = GAP_DAYS) -> DataFrame:
+    """(seq_a, seq_b) of all rows, in input order, that `matches`: those of equal ids meet by id; others by account, cents and days, the earlier
+    row in its own bucket of cents and days and the neighbours."""
+    rows = txns.select("txn_seq", "transaction_id", "date", "amount", "account", "description")
+    has_id = F.coalesce("transaction_id", F.lit("")) != ""
+    by_id = rows.where(has_id)
+    pairs = by_id.alias("a").join(by_id.alias("b"), F.col("a.transaction_id") == F.col("b.transaction_id")).where("a.txn_seq < b.txn_seq").where(matches("a", "b", days))
+    keyed = rows.select("*", F.floor(F.datediff("date", F.lit("1970-01-01")) / (days + 1)).alias("d"), F.round(F.col("amount") * 100).cast("long").alias("cents"))
+    around = keyed.withColumn("d", F.explode(F.array(F.col("d") - 1, F.col("d"), F.col("d") + 1))).withColumn("cents", F.explode(F.array(F.col("cents") - 1, F.col("cents"), F.col("cents") + 1)))
+    a, b = around.alias("a"), keyed.alias("b")
+    met = (F.col("a.account") == F.col("b.account")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.cents") == F.col("b.cents")) & (F.col("a.txn_seq") < F.col("b.txn_seq"))
+    both_ids = (F.coalesce("a.transaction_id", F.lit("")) != "") & (F.coalesce("b.transaction_id", F.lit("")) != "")
+    near = a.join(b, met).where(~both_ids).where(matches("a", "b", days))
+    return pairs.select(F.col("a.txn_seq").alias("seq_a"), F.col("b.txn_seq").alias("seq_b")).union(near.select("a.txn_seq", "b.txn_seq"))
+
+
 def import_merged(txns: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
     """The importer's removal: fuzzy, then account names: a merged row takes the first enrichment of its institution and account in
     input order, others keep their own; the account and `debit` where there is none."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.categories import category
@@ -23,7 +24,7 @@ def _entries(txns: DataFrame) -> DataFrame:
     return classified(txns).select("month", bucket.alias("bucket"), "amount", "txn_seq", F.lit(False).alias("is_pair"))
 
 
-def _rolled(entries: DataFrame) -> DataFrame:
+def rolled(entries: DataFrame) -> DataFrame:
     sums = {b: F.coalesce(F.sum(F.when(F.col("bucket") == b, F.col("amount"))), F.lit(0)).cast("decimal(18,2)").alias(b) for b in BUCKETS}
     out = entries.withColumn("year", F.substring("month", 1, 4)).rollup("year", "month").agg(*sums.values(), F.grouping_id().cast("int").alias("level"))
     net = sum((F.col(b) for b in BUCKETS if b not in ("internal_transfer", "income")), F.col("income"))
@@ -32,7 +33,7 @@ def _rolled(entries: DataFrame) -> DataFrame:
 
 def category_rollup(txns: DataFrame) -> DataFrame:
     """Sums of each month (level 0), year (1) and in total (3); net is without internal transfers."""
-    return _rolled(_entries(txns))
+    return rolled(_entries(txns))
 
 
 def net_of_pairs(txns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +47,18 @@ def net_of_pairs(txns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def report(txns: DataFrame) -> DataFrame:
     """category_rollup with paired transfers taken together."""
     rows, pairs = net_of_pairs(txns)
-    return _rolled(rows.union(pairs))
+    return rolled(rows.union(pairs))
+
+
+def drill_rows(txns: DataFrame) -> DataFrame:
+    """What the report adds up, flat: (month, bucket, nth, txn_seq, date, amount, description, account_name, institution, is_pair). Rows that
+    are in no pair, and one flagged row per pair, with the sent row's date and texts. nth: the place in the cell, by date, then the larger
+    amount. A cell's rows are sorted and spilled by Spark, never held in one row."""
+    rows, pairs = net_of_pairs(txns)
+    about = txns.select("txn_seq", "date", "description", "account_name", "institution")
+    flat = rows.union(pairs).join(about, "txn_seq")
+    nth = F.row_number().over(W.partitionBy("month", "bucket").orderBy("date", F.desc(F.abs("amount")), "txn_seq"))
+    return flat.select("month", "bucket", nth.alias("nth"), "txn_seq", "date", "amount", "description", "account_name", "institution", "is_pair")
 
 
 def drill_down(txns: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def internal_transfer_pairs(txns: DataFrame, most: int = 3) -> DataFrame:
         sent.join(received.withColumn("bucket", bucket("received")), ["abs_amount", "bucket"]).where((F.col("sent.account") != F.col("received.account")) & (days <= most))
         .select(F.col("sent.txn_seq").alias("a"), F.col("received.txn_seq").alias("b"), days.alias("days"), "abs_amount", "sent", "received")
     )
-    return greedy_matching(edges, ["a", "days", "b"], part="abs_amount").select("sent", "received", "days")
+    return greedy_matching(edges, ["a", "days", "b"], part="abs_amount", span=("least(sent.date, received.date)", "greatest(sent.date, received.date)")).select("sent", "received", "days")
 
 
 def transfer_rows(txns: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def timing_pairs(txns: DataFrame, most: int = 3, card: DataFrame | None = None)
     apart = (F.col("a.institution") != F.col("b.institution")) | (F.col("a.account") != F.col("b.account"))
     edges = _lagged(rows, most).where(apart).withColumnsRenamed({"a": "x", "b": "y"})
     edges = edges.select(F.col("x.txn_seq").alias("a"), F.col("y.txn_seq").alias("b"), "abs_amount", "lag", "x", "y")
-    found = greedy_matching(edges, ["a", "b"], part="abs_amount")
+    found = greedy_matching(edges, ["a", "b"], part="abs_amount", span=("least(x.date, y.date)", "greatest(x.date, y.date)"))
     return _ends(found.select("abs_amount", F.col("x").alias("a"), F.col("y").alias("b"), "lag"))
 
 

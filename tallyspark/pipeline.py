@@ -10,11 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import state as states
+from .functions import paths
+from .functions.paths import extension
 from .model import ACCOUNT
-from .operators import dedup, enrich, signs, validate
+from .operators import dedup, enrich, problems, signs, validate
 from .operators.graph import materialise
 from .plugins import Registry, built_in
+from .sinks import output_path
 from .sources import canonical
+from .sources.accounts import Config
 from .sources.files import scan, supported
 
 
@@ -30,28 +34,35 @@ class Ingested:
     transactions: DataFrame
     rejected: DataFrame
     results: DataFrame
+    errors: DataFrame
 
 
-def ingest(spark: SparkSession, folders: list[str], as_of: dt.datetime, accounts: DataFrame | None = None, state: DataFrame | None = None, registry: Registry | None = None, force: bool = False, recursive: bool = True) -> Ingested:
+def ingest(spark: SparkSession, folders: list[str], as_of: dt.datetime, accounts: DataFrame | None = None, state: DataFrame | None = None, registry: Registry | None = None, force: bool = False, recursive: bool = True, config: Config | None = None, outputs: DataFrame | None = None) -> Ingested | None:
     """Parse new and changed files, set signs by file, validate (any message rejects), remove exact duplicates per file, enrich.
 
-    results has a row of FILE_STATE per file; a file without a surviving row has failed and is tried again."""
-    registry = registry or built_in(as_of.year)
-    files = supported(scan(spark, folders, recursive))
+    Each file is read by the one parser that the registry chooses for its path and institution. config: date formats, headers and
+    institution names. outputs (output_file): what is written already; a file whose output is gone is processed again. results has a row of
+    FILE_STATE per file; a file without a surviving row has failed and is tried again. errors has a row of ERROR per problem. None if there is nothing to
+    process."""
+    config = config or Config()
+    registry = registry or built_in(as_of.year, config.date_formats, config.column_overrides)
+    files = scan(spark, folders, recursive).where((extension(F.col("path")).isin([e.lower() for e in registry.formats()])) & (F.col("length") > 0))
     hashed = states.hashed(files)
-    todo = states.to_process(hashed, state, force=force) if state is not None else hashed
-    chosen = files.join(todo.select(F.col("file_path").alias("path")), "path", "left_semi")
+    todo = states.to_process(hashed, state, outputs, force or config.force_reprocess or not config.skip_processed) if state is not None else hashed
+    todo = materialise(todo)
+    institution = paths.institution(F.col("path"), config.institution_mappings)
+    chosen = materialise(registry.chosen(files.select("path").join(todo.select(F.col("file_path").alias("path")), "path", "left_semi"), institution))
     parts = []
-    for parser in registry.parsers.values():
-        mine = chosen.where(F.lower("path").rlike("(" + "|".join(e.lower().replace(".", r"\.") for e in parser.extensions) + ")$"))
-        if mine.limit(1).count():
-            parts.append(parser.read(spark, mine))
+    for (name,) in chosen.where("parser is not null").select("parser").distinct().orderBy("parser").collect():
+        parts.append(registry.parsers[name].read(spark, files.join(chosen.where(F.col("parser") == name).select("path"), "path", "left_semi")))
     names = ["source_file", "line_no", "date", "amount", "description", "account", "institution", "transaction_id", "category", "balance", "problem"]
     if not parts:
-        raise ValueError("no files to process")
+        return None
     parsed = parts[0].select(names)
     for p in parts[1:]:
         parsed = parsed.unionByName(p.select(names))
+    if config.institution_mappings:
+        parsed = parsed.withColumn("institution", paths.institution(F.col("source_file"), config.institution_mappings))
     parsed = materialise(sequenced(parsed))
     good = signs.corrected(parsed.where("problem is null"))
     valid, invalid = validate.split_valid(good, as_of.year)
@@ -60,10 +71,16 @@ def ingest(spark: SparkSession, folders: list[str], as_of: dt.datetime, accounts
     rejected = invalid.select("source_file", "line_no", F.array_join("errors", "; ").alias("problem")).union(parsed.where("problem is not null").select("source_file", "line_no", "problem"))
     counts = rows.groupBy(F.col("source_file").alias("file_path")).agg(F.count("*").alias("transaction_count"), F.first("institution").alias("institution"))
     results = todo.join(counts, "file_path", "left").select(
-        "file_path", "file_hash", F.lit(as_of).alias("last_processed"), F.concat("file_path", F.lit(".csv")).alias("output_file"), F.coalesce("transaction_count", F.lit(0)).alias("transaction_count"),
+        "file_path", "file_hash", F.lit(as_of).alias("last_processed"), output_path(F.col("file_path"), F.coalesce("institution", F.lit("Unknown"))).alias("output_file"), F.coalesce("transaction_count", F.lit(0)).alias("transaction_count"),
         (F.coalesce("transaction_count", F.lit(0)) > 0).alias("success"), F.lit(None).cast("double").alias("processing_time"), "file_size", F.coalesce("institution", F.lit("Unknown")).alias("institution"),
     )
-    return Ingested(rows, rejected, results)
+    return Ingested(rows, rejected, results, problems.rows(rejected, results))
+
+
+def batches(spark: SparkSession, folders: list[str], size: int, recursive: bool = True) -> list[list[str]]:
+    """Paths of the supported files, by name, in lists of `size`, for runs that save their state between batches."""
+    found = [r["path"] for r in supported(scan(spark, folders, recursive)).select("path").orderBy("path").collect()]
+    return [found[i : i + size] for i in range(0, len(found), size)]
 
 
 def consolidate(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, paths, text
 from ..functions.categories import category
-from .. import state
-from ..operators import dedup, duplicates, enrich, monthly, signs, stats, transfers, validate
+from .. import sinks, state
+from ..operators import dedup, duplicates, enrich, monthly, problems, signs, stats, transfers, validate
+from ..operators.graph import shared_dir
+from ..sources import canonical, csv_files, ofx, pdf_lines
 from ..sources import files as file_sources
-from ..sources import ofx, pdf_lines
 from . import oracles
 from .views import events, orders, read, strings
 
@@ -413,9 +415,7 @@ def top5_errors(spark, sf_dir):
 
 @query
 def transactions_match(spark, sf_dir):
-    rows = events(spark, sf_dir).select("txn_seq", "transaction_id", "date", "amount", "account", "description")
-    a, b = rows.alias("a"), rows.alias("b")
-    return a.join(b, (F.col("a.account") == F.col("b.account")) & (F.col("a.date") == F.col("b.date")) & (F.col("a.txn_seq") < F.col("b.txn_seq"))).where(dedup.matches("a", "b")).select(F.col("a.txn_seq").alias("seq_a"), F.col("b.txn_seq").alias("seq_b"))
+    return dedup.matching_pairs(events(spark, sf_dir))
 
 
 @query
@@ -461,3 +461,81 @@ def pdf_line_parse(spark, sf_dir):
 def pdf_pattern_hits(spark, sf_dir):
     lines = spark.sql(oracles.PDF_LINES, orders=read(spark, sf_dir, "orders"))
     return pdf_lines.pattern_hits(lines).select("path", "line_no", F.size("dates").cast("long").alias("dates"), F.size("amounts").cast("long").alias("amounts"))
+
+
+@query
+def pdf_table_rows(spark, sf_dir):
+    rows = spark.sql(oracles.PDF_TABLES, orders=read(spark, sf_dir, "orders"))
+    return pdf_lines.table_transactions(rows).select("source_file", "line_no", _day(), "amount", "description", "balance", "account", "institution", "problem")
+
+
+@query
+def drilldown_net_cells(spark, sf_dir):
+    flat = monthly.drill_rows(events(spark, sf_dir))
+    return flat.groupBy("month", "bucket").agg(
+        F.count("*").alias("n"), F.sum("amount").cast("decimal(18,2)").alias("total"), F.count_if("is_pair").alias("pairs"), F.max(F.when(F.col("nth") == 1, F.col("txn_seq"))).alias("first_seq")
+    )
+
+
+def _problems(spark, sf_dir):
+    return problems.rows(spark.sql(oracles.REJECTED, events=read(spark, sf_dir, "events")), _files(spark, sf_dir))
+
+
+@query
+def error_rows(spark, sf_dir):
+    return _problems(spark, sf_dir).select("code", "severity", "category", "message", "file_path", "line")
+
+
+@query
+def error_report(spark, sf_dir):
+    at = lambda c, k: F.coalesce(F.try_element_at(c, F.lit(k)), F.lit(0)).alias(k)
+    kinds = ["data_parsing", "data_validation"]
+    return problems.report(_problems(spark, sf_dir)).select("errors", "warnings", "files_with_errors", at("errors_by_category", "file_format"), *[at("warnings_by_category", k) for k in kinds], F.col("most_common")[0]["code"].alias("first_code"))
+
+
+@query
+def duplicate_prevention(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    known = files.where("file_size % 4 <> 0").withColumn("file_hash", F.when(F.col("file_size") % 7 == 0, "old").otherwise(F.col("file_hash")))
+    got = state.prevention(files, known, files.where("file_size % 3 = 0").select("output_file"))
+    return got.select("file_path", "previous_success", "previous_transaction_count", "previous_output_file", "file_changed", "output_file_exists", "should_reprocess")
+
+
+def _scratch(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def canonical_roundtrip(spark, sf_dir):
+    """Canonical files of all transactions, written, some of them replaced by a second run, and read strictly again."""
+    folder, rows = _scratch(spark, "canonical"), events(spark, sf_dir)
+    sinks.write_canonical(rows.withColumn("amount", F.when(F.col("source_file").like("data/b/%"), F.lit(0).cast("decimal(18,2)")).otherwise(F.col("amount"))), folder)
+    sinks.write_canonical(rows.where("source_file like 'data/b/%'"), folder)
+    back = canonical.read_strict(spark, canonical.discovered(spark, folder))
+    return back.select(_day(), "amount", "description", "account", "account_name", "account_type", "institution", "transaction_id", "category", "balance")
+
+
+@query
+def csv_layouts(spark, sf_dir):
+    """Bank exports in three layouts of header, read as one table."""
+    folder, rows = _scratch(spark, "raw"), strings(spark, sf_dir)
+    amount, day = F.col("value").cast("string"), F.expr("mm || '/' || dd || '/' || yyyy")
+    id_ = F.concat(F.lit("T"), F.col("txn_seq").cast("string"))
+    layouts = {
+        "a": rows.where("form < 3").select(day.alias("Transaction Date"), amount.alias("Amount ($)"), F.concat(F.lit("POS DEBIT, "), F.col("path")).alias("Memo"), id_.alias("Reference Number")),
+        "b": rows.where("form between 3 and 5").select(F.col("day").cast("string").alias("date"), F.when(F.col("form") == 3, amount).alias("Debit"), F.when(F.col("form") != 3, amount).alias("Credit"), F.lit("PAYEE").alias("payee"), id_.alias("id"), amount.alias("Balance")),
+        "c": rows.where("form > 5").select(F.lit("n/a").alias("Date"), F.concat(F.lit("("), amount, F.lit(")")).alias("amount"), F.lit("").alias("description"), F.lit("card_charge").alias("type"), id_.alias("Confirmation")),
+    }
+    for name, df in layouts.items():
+        df.write.option("header", True).csv(f"{folder}/raw/first_tech/acct_5000{ord(name)}/{name}")
+    got = csv_files.read(spark, file_sources.scan(spark, [f"{folder}/raw"], ending="csv"))
+    return got.select("transaction_id", _day(), "amount", "description", "balance", "institution", "problem")
+
+
+@query
+def total_files(spark, sf_dir):
+    """The total as a file with its source, read again by column name."""
+    folder = _scratch(spark, "total")
+    sinks.write_total(duplicates.total_builder(events(spark, sf_dir)), folder)
+    back = canonical.combined(spark, f"{folder}/all_transactions")
+    return back.groupBy("institution").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(18,2)").alias("total"), F.count("balance").alias("balances"))

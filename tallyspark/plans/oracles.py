@@ -40,6 +40,22 @@ select 'raw/chase/statements-8147-' || cast(f as string) || '.pdf' as path, 1 as
       when 2 then 'Page ' || cast(o_orderkey as string) || ' of the statement' else 'Total on 01/15/1996 is unknown' end as line
   from {orders}) as x
 """
+#: Rows of tables in statements, in two layouts and one that is no layout; for Spark and DuckDB.
+PDF_TABLES = """
+select 'raw/chase/statements-8147-' || cast(o_orderkey % 50 as string) || '.pdf' as path, cast(1 + o_orderkey % 5 as int) as page, cast(o_orderkey % 3 as int) as table_no, cast(o_orderkey % 900 as int) as row_no, o_orderkey as k,
+  cast(o_orderdate as date) as day, cast(o_orderkey % 700 + 1 as decimal(18,2)) as value,
+  split(case o_orderkey % 3 when 0 then 'Trans Date,Description,Amount,Balance' when 1 then 'Details,Credit,Posting Date' else 'Date,Note' end, ',') as header,
+  split(case o_orderkey % 3 when 0 then written || ',STORE ' || cast(o_orderkey as string) || ',$' || cast(o_orderkey % 700 + 1 as string) || '.00,' || cast(o_orderkey as string)
+    when 1 then 'PAYMENT ' || cast(o_orderkey as string) || ',' || cast(o_orderkey % 700 + 1 as string) || '.00,' || written else 'x,y' end, ',') as cells
+from (select *, case when o_orderkey % 11 = 4 then '' when o_orderkey % 7 = 5 then 'soon' else lpad(cast(month(o_orderdate) as string), 2, '0') || '/' || lpad(cast(day(o_orderdate) as string), 2, '0') || '/' || cast(year(o_orderdate) as string) end as written from {orders}) as o
+"""
+#: Lines that an ingest has rejected, from events; for Spark and DuckDB.
+REJECTED = """
+select 'in/' || cast(event_id % 200 as string) || '.csv' as source_file, cast(event_id as int) as line_no,
+  case event_id % 5 when 0 then 'bad date' when 1 then 'bad amount' when 2 then 'missing columns: date' when 3 then 'date in the future' else 'description is empty' end as problem
+from {events} where event_id % 4 = 0
+"""
+_KIND = "case when problem like 'missing columns%' then {0} when problem like 'bad %' then {1} when problem = 'no transactions' then {2} else {3} end"
 #: Expressions over the view of written strings, for Spark and DuckDB.
 WRITTEN_DATE = """case form when 0 then mm || '/' || dd || '/' || yyyy when 1 then yyyy || '-' || mm || '-' || dd when 2 then mm || '/' || dd || '/' || substr(yyyy, 3, 2) when 3 then yyyy || '/' || mm || '/' || dd
   when 4 then yyyy || mm || dd when 5 then yyyy || '-' || mm || '-' || dd || 'T10:00:00' when 6 then mm || '-' || dd || '-' || yyyy else 'unknown' end"""
@@ -194,6 +210,10 @@ SQL = {
             select a, strftime(date, '%Y-%m'), 'internal_transfer', 0 from own join t on a = t.txn_seq) {_rollup("e")}""",
     "classify_category": f"{_T} select txn_seq, strftime(date, '%Y-%m') as month, {_category} as category from t",
     "category_of_statement_lines": f"{_O} select txn_seq, {_category} as category from t",
+    "drilldown_net_cells": f"""{_T}, {_card}, {_own}, used as (select a as txn_seq from card union select b from card union select a from own union select b from own),
+      e as (select txn_seq, month, bucket, amount, false as is_pair from ({_entries}) where txn_seq not in (select txn_seq from used) union all
+        select txn_seq, strftime(t.date, '%Y-%m'), 'internal_transfer', t.amount, true from card join t on t.txn_seq = card.b union all select txn_seq, strftime(t.date, '%Y-%m'), 'internal_transfer', 0, true from own join t on t.txn_seq = own.a)
+      select month, bucket, count(*) as n, cast(sum(e.amount) as decimal(18,2)) as total, count(*) filter (is_pair) as pairs, arg_min(txn_seq, [datediff('day', date '1970-01-01', t.date)::double, -abs(e.amount)::double, txn_seq::double]) as first_seq from e join t using (txn_seq) group by month, bucket""",
     "drilldown_cells": f"{_O}, e as ({_entries}) select month, bucket, count(*) as n, cast(sum(e.amount) as decimal(18,2)) as total, count(*) as listed, arg_min(txn_seq, [datediff('day', date '1970-01-01', t.date), -abs(t.amount), txn_seq]) as first_seq from e join t using (txn_seq) group by month, bucket",
     "parse_dates": f"{_S} select txn_seq, case when form <> 7 then cast(day as string) end as parsed from t",
     "parse_amounts": f"{_S} select txn_seq, cast(case when form in (0, 3, 4, 5) then cast(whole || '.' || cents as decimal(18,2)) when form in (1, 2) then -cast(whole || '.' || cents as decimal(18,2)) when form = 6 then cast(whole as decimal(18,2)) end as decimal(18,2)) as parsed from t",
@@ -263,8 +283,10 @@ SQL = {
     "institution_file_stats": f"with f as ({sql(FILES)}) select institution, count(*) as files, cast(sum(transaction_count) as bigint) as transactions, count(*) filter (not success) as failed, round(avg(processing_time), 6) as mean_time, count(distinct output_file) as output_files from f group by institution",
     "error_summary": f"with f as ({sql(ERRORS)}) select category, count(*) as errors, count(distinct file_path) as files from f group by category",
     "top5_errors": f"with f as ({sql(ERRORS)}) select code, count(*) as times from f group by code order by times desc, code limit 5",
-    "transactions_match": f"""{_T}, n as (select *, {_normal} as d from t) select a.txn_seq as seq_a, b.txn_seq as seq_b from n a join n b on a.account = b.account and a.date = b.date and a.txn_seq < b.txn_seq
-      where case when a.transaction_id <> '' and b.transaction_id <> '' then a.transaction_id = b.transaction_id else abs(a.amount - b.amount) <= 0.01 and (a.d = b.d or a.d = '' or b.d = '') end""",
+    "transactions_match": f"""{_T}, n as (select txn_seq, coalesce(transaction_id, '') as id, date, amount, account, {_normal} as d from t)
+      select a.txn_seq as seq_a, b.txn_seq as seq_b from n a join n b on a.id = b.id and a.txn_seq < b.txn_seq where a.id <> ''
+      union all select a.txn_seq, b.txn_seq from n a join n b on a.account = b.account and a.txn_seq < b.txn_seq and abs(datediff('day', a.date, b.date)) <= 3
+      where (a.id = '' or b.id = '') and abs(a.amount - b.amount) <= 0.01 and (a.d = b.d or a.d = '' or b.d = '')""",
     "incremental_skip": f"with f as ({sql(FILES)}) select file_path from f where file_size % 4 = 0 or file_size % 7 = 0 or not success",
     "latest_file_state": f"with f as ({sql(FILES)}) select output_file as file_path, 1::bigint as n, output_file as kept from f group by output_file",
     "ofx_roundtrip": """select 'T' || cast(o_orderkey as string) as transaction_id, cast(cast(o_orderdate as date) as string) as date, cast(-cast(o_totalprice as decimal(18,2)) as decimal(18,2)) as amount, o_orderpriority || ' STORE' as description,
@@ -276,4 +298,20 @@ SQL = {
       from o where o_orderkey % 4 in (0, 1)""",
     "pdf_pattern_hits": f"""with l as ({sql(PDF_LINES)}) select path, line_no, cast(case when line_no = 0 then 2 when (line_no - 1) % 4 in (1, 3) then 1 else 0 end as bigint) as dates, cast(case when line_no > 0 and (line_no - 1) % 4 in (0, 1) then 1 else 0 end as bigint) as amounts
       from l where line_no = 0 or (line_no - 1) % 4 <> 2""",
+    "pdf_table_rows": f"""with r as ({sql(PDF_TABLES)}) select path as source_file, cast(page * 100000 + table_no * 1000 + row_no as int) as line_no, case when k % 7 = 5 then null else strftime(day, '%Y-%m-%d') end as date,
+      cast(case when k % 3 = 0 then -value else value end as decimal(18,2)) as amount, case when k % 3 = 0 then 'STORE ' || k else 'PAYMENT ' || k end as description,
+      case when k % 3 = 0 then cast(k as decimal(18,2)) end as balance, '8147' as account, 'Chase' as institution, case when k % 7 = 5 then 'bad date' end as problem from r where k % 3 <> 2 and k % 11 <> 4""",
+    "error_rows": f"""with r as ({sql(REJECTED)}), f as ({sql(FILES)}), p as (select source_file, line_no, problem from r union all select file_path, null, 'no transactions' from f where not success)
+      select {_KIND.format("'F002'", "'D001'", "'F003'", "'V001'")} as code, {_KIND.format("'error'", "'warning'", "'error'", "'warning'")} as severity, {_KIND.format("'file_format'", "'data_parsing'", "'file_format'", "'data_validation'")} as category,
+        problem as message, source_file as file_path, cast(line_no as bigint) as line from p""",
+    "error_report": f"""with r as ({sql(REJECTED)}), f as ({sql(FILES)}), p as (select source_file, problem, {_KIND.format("'F002'", "'D001'", "'F003'", "'V001'")} as code from (select source_file, problem from r union all select file_path, 'no transactions' from f where not success))
+      select count(*) filter (code like 'F%') as errors, count(*) filter (code not like 'F%') as warnings, count(distinct source_file) filter (code like 'F%') as files_with_errors, count(*) filter (code like 'F%') as file_format,
+        count(*) filter (code = 'D001') as data_parsing, count(*) filter (code = 'V001') as data_validation, case when count(*) filter (code = 'F002') >= count(*) filter (code = 'F003') then 'F002' else 'F003' end as first_code from p""",
+    "duplicate_prevention": f"""with f as ({sql(FILES)}), o as (select distinct output_file from f where file_size % 3 = 0) select file_path, success as previous_success, transaction_count as previous_transaction_count, output_file as previous_output_file,
+      file_size % 7 = 0 as file_changed, output_file in (select output_file from o) as output_file_exists, file_size % 7 = 0 or output_file not in (select output_file from o) or not success as should_reprocess from f where file_size % 4 <> 0""",
+    "canonical_roundtrip": f"{_T} select cast(date as varchar) as date, amount, description, account, account_name, account_type, institution, transaction_id, category, balance from t",
+    "csv_layouts": f"""{_S} select 'T' || txn_seq as transaction_id, case when form > 5 then null else cast(day as varchar) end as date,
+      cast(case when form = 3 or form > 5 then -value else value end as decimal(18,2)) as amount, case when form < 3 then 'DEBIT, ' || path when form < 6 then 'PAYEE' else 'Card Charge' end as description,
+      case when form between 3 and 5 then value end as balance, 'First Tech' as institution, case when form > 5 then 'bad date' end as problem from t""",
 }
+SQL["total_files"] = f"select institution, count(*) as n, cast(sum(amount) as decimal(18,2)) as total, count(balance) as balances from (select txn_seq from ({SQL['total_builder']})) join ({sql(EVENTS)}) using (txn_seq) group by institution"

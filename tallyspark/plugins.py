@@ -7,7 +7,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BUILT_IN = -10
 #: From session and files (path, content) to transactions with `problem`.
@@ -45,6 +46,11 @@ class Registry:
         """The parser of the highest priority that handles the path; the first registered of equals."""
         return max((p for p in self.parsers.values() if p.can_handle(path, institution)), key=lambda p: p.priority, default=None)
 
+    def chosen(self, files: DataFrame, institution: Column) -> DataFrame:
+        """files (path, ...) with `parser`, the name of what `choose` gives for their path and institution; null where nothing does."""
+        names = F.udf(lambda path, inst: getattr(self.choose(path, inst), "name", None), "string")
+        return files.withColumn("parser", names("path", institution))
+
     def formats(self) -> list[str]:
         return sorted({e for p in self.parsers.values() for e in p.extensions})
 
@@ -62,11 +68,12 @@ class Registry:
         return n
 
 
-def built_in(this_year: int) -> Registry:
+def built_in(this_year: int, date_formats: list[str] | None = None, overrides: dict[str, str] | None = None) -> Registry:
+    """The parsers of the library. date_formats and overrides (field to header) are for CSV files."""
     from .sources import csv_files, ofx, pdf_lines
 
     out = Registry()
-    out.register(Parser("csv", csv_files.read, (".csv",), BUILT_IN))
+    out.register(Parser("csv", lambda spark, files: csv_files.read(spark, files, date_formats or None, overrides), (".csv",), BUILT_IN))
     out.register(Parser("qfx", lambda spark, files: ofx.read(files), (".qfx", ".ofx"), BUILT_IN))
     out.register(Parser("pdf", lambda spark, files: pdf_lines.transactions(pdf_lines.extracted(files), this_year), (".pdf",), BUILT_IN))
     return out

@@ -5,13 +5,14 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.amounts import money_text
 from .functions.paths import file_name
 from .model import STANDARD_COLUMNS
 from .operators import monthly, stats
+from .operators.graph import materialise
 
 
 def formatted(txns: DataFrame, more: list | None = None) -> DataFrame:
@@ -22,16 +23,32 @@ def formatted(txns: DataFrame, more: list | None = None) -> DataFrame:
     return full.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in STANDARD_COLUMNS], *(more or []))
 
 
+def _place(source_file: Column, institution: Column) -> dict[str, Column]:
+    """Folders of a source file's rows: the institution, and the file's name with a digest of its path (two folders may have an a.qfx)."""
+    return {"inst": F.replace(F.lower(institution), F.lit(" "), F.lit("_")), "file": F.concat(file_name(source_file), F.lit("."), F.substring(F.md5(source_file), 1, 8), F.lit(".csv"))}
+
+
 def output_path(source_file: Column, institution: Column) -> Column:
-    """<institution>/<file name>.csv: of a.qfx, a.qfx.csv."""
-    return F.concat(F.replace(F.lower(institution), F.lit(" "), F.lit("_")), F.lit("/"), file_name(source_file), F.lit(".csv"))
+    """Where write_canonical puts a file's rows, below its folder."""
+    return F.concat_ws("/", *[F.concat(F.lit(f"__{k}="), c) for k, c in _place(source_file, institution).items()])
+
+
+def write_canonical(txns: DataFrame, folder: str) -> None:
+    """One folder per institution and source file, rows in input order. A file's folder is replaced, others stay as they are."""
+    rows = formatted(txns, ["txn_seq", *[c.alias(f"__{k}") for k, c in _place(F.col("source_file"), F.col("institution")).items()]])
+    dealt = rows.repartition("__inst", "__file").sortWithinPartitions("__inst", "__file", "txn_seq").drop("txn_seq")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("__inst", "__file").csv(folder)
 
 
-def write_canonical(txns: DataFrame, folder: str, mode: str = "append") -> None:
-    """One folder per institution and source file, rows in input order."""
-    where = {"inst": F.replace(F.lower("institution"), F.lit(" "), F.lit("_")), "file": file_name(F.col("source_file"))}
-    rows = formatted(txns, ["txn_seq", *[c.alias(f"__{k}") for k, c in where.items()]])
-    rows.repartition("__inst", "__file").sortWithinPartitions("__inst", "__file", "txn_seq").drop("txn_seq").write.mode(mode).option("header", True).partitionBy("__inst", "__file").csv(folder)
+def written(spark: SparkSession, folder: str) -> DataFrame:
+    """(output_file) of the folders that write_canonical has filled; none if there is no such folder."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "output_file string")
+    return files.select(F.regexp_extract("path", r"(__inst=[^/]+/__file=[^/]+)/", 1).alias("output_file")).where("output_file <> ''").distinct()
 
 
 def write_consolidated(txns: DataFrame, path: str) -> None:
@@ -49,13 +66,17 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def html_report(txns: DataFrame, title: str = "Monthly summary", cells: int = 5_000, rows: int = 200) -> str:
-    """Years, months and a grand total, with the first rows of each cell to unfold. Months times categories are few; a page that has
-    more than `cells` of them, or more than `rows` rows in one, says so."""
-    table = monthly.report(txns).orderBy(F.desc_nulls_last("year"), F.desc_nulls_first("month"))
-    text = table.select("year", "month", "level", *[money_text(F.col(c)).alias(c) for c in [*monthly.BUCKETS, "net"]]).limit(cells).collect()
-    item = F.transform(F.slice("rows", 1, rows), lambda r: F.struct(r["date"].cast("string").alias("date"), r["amount"].cast("string").alias("amount"), r["description"].alias("description"), r["account_name"].alias("account_name"), r["institution"].alias("institution")))
-    cell = monthly.drill_down(txns).select("month", "bucket", "n", F.to_json(item).alias("rows")).limit(cells).collect()
+def html_report(txns: DataFrame, title: str = "Monthly summary", rows: int = 200, details: str | None = None) -> str:
+    """Years, months and a grand total of rows net of pairs, and below each cell the first of the rows that make it up (a pair is one
+    flagged row). The table has a row per month of the data, whatever their number; of a cell the page shows `rows` rows, how many there
+    are, and where all are: in details, a folder that is written with them if given."""
+    flat = materialise(monthly.drill_rows(txns))
+    if details:
+        flat.repartitionByRange("month", "bucket", "nth").sortWithinPartitions("month", "bucket", "nth").write.mode("overwrite").option("header", True).csv(details)
+    table = monthly.rolled(flat).orderBy(F.desc_nulls_last("year"), F.desc_nulls_first("month"))
+    text = table.select("year", "month", "level", *[money_text(F.col(c)).alias(c) for c in [*monthly.BUCKETS, "net"]]).collect()
+    item = F.struct("nth", F.col("date").cast("string").alias("date"), F.col("amount").cast("string").alias("amount"), "description", "account_name", "institution", "is_pair")
+    cell = flat.groupBy("month", "bucket").agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list(F.when(F.col("nth") <= rows, item)))).alias("rows")).collect()
     data = {f"{r['month']} {r['bucket']}": {"n": r["n"], "rows": json.loads(r["rows"])} for r in cell}
     names = [*monthly.BUCKETS, "net"]
     head = "".join(f"<th>{html.escape(n.replace('_', ' '))}</th>" for n in names)
@@ -63,6 +84,6 @@ def html_report(txns: DataFrame, title: str = "Monthly summary", cells: int = 5_
     body = "".join(
         f"<tr class={kinds[r['level']]}><th>{html.escape(r['month'] or r['year'] or 'Total')}</th>" + "".join(f"<td data-key='{html.escape(f'{r['month']} {n}')}'>{html.escape(r[n])}</td>" for n in names) + "</tr>" for r in text
     )
-    script = "document.querySelectorAll('td').forEach(t=>t.onclick=()=>{const d=DATA[t.dataset.key];if(d)document.getElementById('rows').textContent=d.n+' rows\\n'+d.rows.map(r=>[r.date,r.amount,r.description,r.account_name,r.institution].join(' | ')).join('\\n')})"
+    script = "document.querySelectorAll('td').forEach(t=>t.onclick=()=>{const d=DATA[t.dataset.key];if(d)document.getElementById('rows').textContent=d.n+' rows'+(d.n>d.rows.length?', the first '+d.rows.length+' of them; all: '+DETAILS:'')+'\\n'+d.rows.map(r=>[(r.is_pair?'pair ':'')+r.date,r.amount,r.description,r.account_name,r.institution].join(' | ')).join('\\n')})"
     embedded = json.dumps(data).replace("</", "<\\/")
-    return f"<!DOCTYPE html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr><th></th>{head}</tr>{body}</table><pre id=rows></pre><script>const DATA={embedded};{script}</script>"
+    return f"<!DOCTYPE html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr><th></th>{head}</tr>{body}</table><pre id=rows></pre><script>const DATA={embedded},DETAILS={json.dumps(details or "not written").replace("</", "<\\/")};{script}</script>"

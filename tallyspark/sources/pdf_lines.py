@@ -77,8 +77,6 @@ def transactions(lines: DataFrame, this_year: int) -> DataFrame:
 
 def table_columns(header: list[str | None]) -> dict[str, int] | None:
     """Field to column: the first header that fits; null without date and amount."""
-
-
     out: dict[str, int] = {}
     for i, h in enumerate(header):
         for field, patterns in TABLE_HEADERS.items():
@@ -87,6 +85,23 @@ def table_columns(header: list[str | None]) -> dict[str, int] | None:
     return out if {"date", "amount"} <= out.keys() else None
 
 
+def table_transactions(tables: DataFrame) -> DataFrame:
+    """Transactions of table rows (path, page, table_no, row_no, header array, cells array): of tables whose header names a date and an
+    amount, rows that have both. The header's layouts are few, so each is found once per distinct header, by a join."""
+    columns = F.udf(lambda header: table_columns(header or []), "map<string,int>")
+    layouts = tables.select("header").distinct().withColumn("at", columns("header")).where("at is not null")
+    rows = tables.join(layouts, "header")
+    cell = lambda name: F.get("cells", F.try_element_at("at", F.lit(name)))
+    raw = F.coalesce(cell("description"), F.lit(""))
+    amount = amounts.normalize_amount(F.trim(cell("amount")))
+    out = rows.where((F.coalesce(cell("date"), F.lit("")) != "") & (F.coalesce(cell("amount"), F.lit("")) != "")).select(
+        F.col("path").alias("source_file"), (F.col("page") * 100_000 + F.col("table_no") * 1_000 + F.col("row_no")).cast("int").alias("line_no"), dates.normalize_date(F.trim(cell("date"))).alias("date"),
+        statement_sign(amount, raw).cast("decimal(18,2)").alias("amount"), text.clean_description(raw).alias("description"), paths.account(F.col("path")).alias("account"), paths.institution(F.col("path")).alias("institution"),
+        F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("string").alias("category"), amounts.normalize_amount(F.nullif(F.trim(cell("balance")), F.lit(""))).alias("balance"),
+    )
+    return out.withColumn("problem", F.when(F.col("date").isNull(), "bad date").when(F.col("amount").isNull(), "bad amount"))
+
+
 def table_maps(tables: DataFrame) -> DataFrame:
     """Rows of tables (path, page, header array, cells array) as maps; rows of another width than their header are left out."""
     return tables.where(F.size("header") == F.size("cells")).select("path", "page", F.map_from_arrays("header", "cells").alias("row"))

@@ -48,6 +48,19 @@ def to_process(files: DataFrame, state: DataFrame, existing_outputs: DataFrame |
     return both.where(~F.coalesce(skip, F.lit(False))).select(*files.columns)
 
 
+def prevention(files: DataFrame, state: DataFrame, existing_outputs: DataFrame) -> DataFrame:
+    """What is known of files (file_path, file_hash) that were processed before: when, with what result, whether the file changed, whether
+    its output is there, and whether it would be processed again."""
+    there = existing_outputs.select("output_file", F.lit(True).alias("__there")).distinct()
+    old = state.select("file_path", F.col("file_hash").alias("__hash"), "last_processed", "success", "transaction_count", "output_file")
+    both = files.select("file_path", "file_hash").join(old, "file_path").join(there, "output_file", "left")
+    changed, exists = F.col("__hash") != F.col("file_hash"), F.coalesce("__there", F.lit(False))
+    return both.select(
+        "file_path", "last_processed", F.col("success").alias("previous_success"), F.col("transaction_count").alias("previous_transaction_count"), F.col("output_file").alias("previous_output_file"),
+        changed.alias("file_changed"), exists.alias("output_file_exists"), (changed | ~exists | ~F.col("success")).alias("should_reprocess"),
+    )
+
+
 def history(state: DataFrame, as_of: dt.datetime, days: int = 30, institution: str | None = None) -> DataFrame:
     """Files of the last days, latest first; institution is a part of the path."""
     out = state.where(F.col("last_processed") >= F.lit(as_of - dt.timedelta(days=days)))

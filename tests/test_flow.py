@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tallyspark import cli, sinks, state
 from tallyspark.model import ACCOUNT
 from tallyspark.pipeline import consolidate, ingest, sequenced
+from tallyspark.plugins import Parser, built_in
 from tallyspark.sources import canonical, csv_files, files, ofx, pdf_lines
+from tallyspark.sources.accounts import load_config
 from tallyspark.streaming import ingest as streaming
 
 NOW = dt.datetime(2024, 6, 1)
@@ -48,16 +50,83 @@ def test_ingest_consolidate_report(spark, raw):
     assert again.count() == 3 and again.where("success").count() == 3
     hashed = state.hashed(files.supported(files.scan(spark, [str(raw / "raw")])))
     assert state.to_process(hashed, again).count() == 0 and state.to_process(hashed, again, force=True).count() == 3
+    assert [(r["code"], r["category"], r["message"], r["line"]) for r in got.errors.collect()] == [("D001", "data_parsing", "bad date", 2)]
     sinks.write_canonical(got.transactions, str(raw / "data"))
+    assert {r["output_file"] for r in sinks.written(spark, str(raw / "data")).collect()} == {r["output_file"] for r in got.results.collect()}
     total = consolidate(spark, str(raw / "data"))
     assert total.count() == 6 and total.where("account_name = 'Main'").count() == 2
     sinks.write_consolidated(total, str(raw / "data/total"))
     assert canonical.combined(spark, str(raw / "data/total")).count() == 6
-    page = sinks.html_report(total.withColumn("description", F.lit("</script>")))
-    assert "2024-01" in page and page.count("</script>") == 1
+    page = sinks.html_report(total.withColumn("description", F.lit("</script>")), details=str(raw / "details"))
+    assert "2024-01" in page and page.count("</script>") == 1 and str(raw / "details") in page
+    assert spark.read.option("header", True).csv(str(raw / "details")).count() == 6
     assert state.history(again, NOW, 30, "chase").count() == 2 and state.cleaned(again, again.limit(0), NOW + dt.timedelta(100)).count() == 0
 
 
+def test_a_changed_file_replaces_its_output(spark, raw):
+    args = lambda *more: ["--state", str(raw / "s"), "process", str(raw / "raw"), "-o", str(raw / "data"), "--accounts", str(raw / "none.yaml"), *more]
+    total = lambda: sorted(str(r["amount"]) for r in consolidate(spark, str(raw / "data")).collect())
+    cli.main(args("--batch", "2", "--errors", str(raw / "errors")), spark)
+    first = total()
+    assert len(first) == 6 and spark.read.json(str(raw / "errors/report")).first()["warnings"] == 1
+    assert cli.main(args(), spark) is None and total() == first  # nothing has changed
+    (raw / "raw/chase/b.csv").write_text("Date,Debit,Credit,Description\n2024-01-01,,777.00,Deposit\n")
+    # a file of the same name in another folder has its own output
+    (raw / "raw/chase/more").mkdir()
+    (raw / "raw/chase/more/b.csv").write_text("Date,Amount,Description\n2024-02-01,-5.00,Other\n")
+    assert cli.main(args(), spark).first()["total_files"] == 2
+    assert total() == sorted([x for x in first if x not in ("100.50", "-25.00")] + ["-25.00", "777.00", "-5.00"])
+    # a file whose output is gone is processed again
+    gone = next(p for p in (raw / "data").rglob("__file=x.qfx*"))
+    for p in sorted(gone.rglob("*"), reverse=True):
+        p.unlink()
+    assert cli.main(args(), spark).first()["total_files"] == 1 and len(total()) == 6
+
+
+def test_one_parser_reads_a_file(spark, raw):
+    def fixed(spark, files):
+        rows = csv_files.read(spark, files.limit(0))
+        one = files.select(F.col("path").alias("source_file"), F.lit(1).alias("line_no"), F.lit("2024-03-03").cast("date").alias("date"), F.lit(1).cast("decimal(18,2)").alias("amount"), F.lit("FIXED").alias("description"), F.lit("9").alias("account"), F.lit("Chase").alias("institution"), *[F.lit(None).cast("string").alias(c) for c in ("transaction_id", "category")], F.lit(None).cast("decimal(18,2)").alias("balance"), F.lit(None).cast("string").alias("problem"))
+        return one.select(rows.columns)
+
+    registry = built_in(2024)
+    assert registry.register(Parser("special", fixed, (".csv",), 5, ("chase",), lambda path: path.endswith("/b.csv")))
+    assert not registry.register(Parser("special", fixed, (".csv",), 5))
+    got = ingest(spark, [str(raw / "raw")], NOW, registry=registry)
+    by = {}
+    for r in got.transactions.collect():
+        by.setdefault(r["source_file"].rsplit("/", 1)[1], []).append(r["description"])
+    assert sorted(by["b.csv"]) == ["FIXED"] and sorted(by["chase1234_a.csv"]) == ["Another", "Test, one"] and len(by["x.qfx"]) == 2
+
+
+def test_configuration_reaches_the_flow(spark, raw, tmp_path):
+    (raw / "raw/odd").mkdir()
+    (raw / "raw/odd/o.csv").write_text("When,Amount,note,Description\n01.02.2024,-3.00,Kept,Dropped\n")
+    (tmp_path / "c.json").write_text('{"date_formats": ["dd.MM.yyyy"], "column_overrides": {"date": "When", "description": "note"}, "institution_mappings": {"odd": "even bank"}}')
+    config, wrong = load_config(str(tmp_path / "c.json"))
+    assert wrong == []
+    got = ingest(spark, [str(raw / "raw/odd")], NOW, config=config)
+    assert [(str(r["date"]), r["description"], r["institution"]) for r in got.transactions.collect()] == [("2024-02-01", "Kept", "Even Bank")]
+    assert ingest(spark, [str(raw / "raw/odd")], NOW, state=got.results, config=config, outputs=got.results.select("output_file")) is None
+    config.skip_processed = False
+    assert ingest(spark, [str(raw / "raw/odd")], NOW, state=got.results, config=config).transactions.count() == 1
+
+
+def test_pdf_tables(spark):
+    rows = [
+        ("raw/chase/statements-8147-.pdf", 1, 0, 1, ["Date", "Description", "Amount", "Balance"], ["10/15/2024", "COFFEE SHOP", "$3.50", "100.00"]),
+        ("raw/chase/statements-8147-.pdf", 1, 0, 2, ["Date", "Description", "Amount", "Balance"], ["", "Carried over", "1.00", None]),
+        ("raw/chase/statements-8147-.pdf", 1, 1, 1, ["Item", "Value"], ["10/15/2024", "1.00"]),
+        ("raw/chase/statements-8147-.pdf", 2, 0, 1, ["Posting Date", "Payee", "Credit"], ["2024-10-16", "PAYMENT THANK YOU", "20.00"]),
+        ("raw/chase/statements-8147-.pdf", 2, 0, 2, ["Posting Date", "Payee", "Credit"], ["2024-10-16"]),
+        ("raw/chase/statements-8147-.pdf", 2, 0, 3, None, None),
+    ]
+    df = spark.createDataFrame(rows, "path string, page int, table_no int, row_no int, header array<string>, cells array<string>")
+    got = [(r["line_no"], str(r["date"]), str(r["amount"]), str(r["balance"]), r["account"]) for r in pdf_lines.table_transactions(df).orderBy("line_no").collect()]
+    assert got == [(100_001, "2024-10-15", "-3.50", "100.00", "8147"), (200_001, "2024-10-16", "20.00", "None", "8147")]
+    assert pdf_lines.table_transactions(df.limit(0)).count() == 0
+
+
 def test_strict_reader_names_the_row(spark, tmp_path):
     (tmp_path / "d/bank").mkdir(parents=True)
     (tmp_path / "d/bank/f.csv").write_text("date,amount,description,account,institution,transaction_id,category\n2024-01-01,1.00,a,1,b,,\n2024-01-02,x,a,1,b,,\n")
