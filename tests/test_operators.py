@@ -86,7 +86,9 @@ def test_large_parts_are_cut_at_gaps(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == want, most
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [10**6, 4])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "STAR_ROWS", most)
     edges = [(i, i + 1) for i in range(10, 40)] + [(5, 6), (7, 7), (100, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert {got[i] for i in range(10, 41)} == {10} and got[6] == got[100] == 5 and got[7] == 7
