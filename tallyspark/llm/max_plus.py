@@ -76,9 +76,15 @@ class Pieces:
                 raise ValueError(f"user-defined piece {p.piece!r}: such models are not supported")
             else:
                 self.bytes.append(b"")
+        #: What this worker remembers of words: their ids; of models of merges also those that don't decode to themselves.
+        self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+        self.byte_sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
         #: Score of each piece, for models of merges only.
         self.merges = {t: s for t, s, _ in text} if proto.trainer_spec.model_type == 2 else None
         self.id_of = {t: i for t, _, i in text}
+        if self.merges is not None:
+            self._pairs()
         self.longest = max(len(t) for t, _, _ in text)
         assert not any(" " in t.lstrip(" ") for t, _, _ in text), "a piece has a word mark behind another character"
         keys = np.array([hash_points(np.array([ord(c) + 1 for c in t], dtype=_U)) for t, _, _ in text], dtype=_U)
@@ -95,6 +101,19 @@ class Pieces:
         self.scores = np.r_[scores[order], np.full(self.probes, NEVER)]
         self.ids = np.r_[np.array([i for _, _, i in text], dtype=np.int32)[order], np.zeros(self.probes, dtype=np.int32)]
 
+    def _pairs(self) -> None:
+        """Which two neighbours make a piece: symbols (pieces, and characters of pieces) numbered, keys of pairs sorted, the places of their
+        pieces in the order of scores, and the symbols they make."""
+        self.symbol_of = {t: i for i, t in enumerate([*self.merges, *({c for t in self.merges for c in t} - self.merges.keys())])}
+        number = self.symbol_of
+        self.piece_of = np.array([self.id_of.get(t, -1) for t in number], dtype=np.int64)
+        place = {t: i for i, t in enumerate(sorted(self.merges, key=lambda t: -self.merges[t]))}
+        found = [(number[t[:k]] << 32 | number[t[k:]], place[t], number[t]) for t in self.merges for k in range(1, len(t)) if t[:k] in number and t[k:] in number]
+        found.sort()
+        key, rank, to = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        self.pair_keys = np.r_[key, np.int64(np.iinfo(np.int64).max)]
+        self.pair_rank, self.pair_to = np.r_[rank, 0].astype(np.int32), np.r_[to, -1]
+
     def find(self, key: np.ndarray) -> np.ndarray:
         """Index of each key, or -1."""
         at = self.first[(key >> _BUCKET).astype(np.int64)].astype(np.int64)
@@ -311,27 +330,55 @@ def merge_word(v: Pieces, word: str) -> bytes:
     return np.array(ids, dtype=np.int32).tobytes()
 
 
-_merged: dict[str, bytes] = {}
-
-
-def encode_marked(v: Pieces, text: str) -> bytes:
-    """Ids of a marked text, or of a chunk of one that was cut at a word mark, by merges."""
-    out = []
-    for w in _WORD.findall(text):
-        if (x := _merged.get(w)) is None:
-            x = merge_word(v, w)
-            if len(_merged) < REMEMBER and len(w) <= LONG:
-                _merged[w] = x
-        out.append(x)
-    return b"".join(out)
+_NONE = np.iinfo(np.int32).max
 
 
-def encode_as_trained(v: Pieces, texts: list[str]) -> list[bytes]:
-    """Ids of each text by the model's own method."""
-    return encode(v, texts) if v.merges is None else [encode_marked(v, marked(t)) for t in texts]
+def _ranked(v: Pieces, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in the order of merges, and index in the table, of pairs of symbols; _NONE where they make no piece."""
+    key = left << 32 | right
+    at = np.searchsorted(v.pair_keys, key)
+    hit = (v.pair_keys[at] == key) & (left >= 0) & (right >= 0)
+    return np.where(hit, v.pair_rank[at], _NONE), at
 
 
-_words: dict[str, bytes] = {}
+def merge_words(v: Pieces, some: list[str]) -> list[bytes]:
+    """merge_word for many words at once: a step merges the best pair of each, for all words in numpy."""
+    out: dict[str, bytes] = {w: merge_word(v, w) for w in some if len(w) > LONG}
+    by_size = sorted((w for w in some if len(w) <= LONG), key=len)
+    for i in range(0, len(by_size), 8192):
+        part = by_size[i : i + 8192]
+        width = len(part[-1]) + 1
+        points = _codes(part, width)
+        known, of = np.unique(points, return_inverse=True)
+        # 0 ends a word; a character in no piece is below -1
+        symbols = np.array([-1 if p == 0 else v.symbol_of.get(chr(p - 1), -1 - int(p)) for p in known.tolist()], dtype=np.int64)[of].reshape(points.shape)
+        done = np.full(points.shape, -1, dtype=np.int64)
+        rank, at = _ranked(v, symbols[:, :-1], symbols[:, 1:])
+        rows, places = np.arange(len(part)), np.arange(width)
+        while len(rows):
+            j = rank.argmin(axis=1)
+            open_ = rank[np.arange(len(rows)), j] < _NONE
+            done[rows[~open_]] = symbols[~open_]
+            rows, symbols, rank, at, j = rows[open_], symbols[open_], rank[open_], at[open_], j[open_]
+            if not len(rows):
+                break
+            n = np.arange(len(rows))
+            made = v.pair_to[at[n, j]]
+            move = np.minimum(places[None, :] + (places[None, :] > j[:, None]), width - 1)
+            symbols = np.take_along_axis(symbols, move, axis=1)
+            rank, at = (np.take_along_axis(x, np.minimum(move[:, :-1], width - 2), axis=1) for x in (rank, at))
+            symbols[n, j] = made
+            rank[:, -1] = _NONE
+            for k in (j - 1, j):
+                ok = (k >= 0) & (k < width - 1)
+                rank[n[ok], k[ok]], at[n[ok], k[ok]] = _ranked(v, symbols[n[ok], k[ok]], symbols[n[ok], k[ok] + 1])
+        used = done != -1
+        ids = np.where(done >= 0, v.piece_of[np.maximum(done, 0)], -1)
+        raw, ends = ids[used].astype(np.int32).tobytes(), (4 * np.cumsum(used.sum(axis=1))).tolist()
+        out.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        for r in np.flatnonzero((used & (ids < 0)).any(axis=1)).tolist():  # characters in no piece, or that are none themselves
+            out[part[r]] = merge_word(v, part[r])
+    return [out[w] for w in some]
 
 
 def marked(text: str) -> str:
@@ -339,17 +386,58 @@ def marked(text: str) -> str:
     return " " + text.replace("▁", " ") if text else ""
 
 
+def parts_of(text: str) -> list[str]:
+    """The words of a marked text, each without its first mark."""
+    parts = text[1:].split(" ") if text else []
+    return [w[1:] for w in _WORD.findall(text)] if "" in parts else parts
+
+
+def undecoded(v: Pieces, found: dict[str, bytes]) -> set[str]:
+    """Words that their ids don't decode to. All are decoded at once: they are right if the bytes are, and begin where the words do."""
+    every = np.frombuffer(b"".join(found.values()), dtype=np.int32)
+    words = [(" " + p).encode() for p in found]
+    sizes = np.array([len(x) // 4 for x in found.values()], dtype=np.int64)
+    ends = np.r_[0, np.cumsum(v.byte_sizes[every])][np.cumsum(sizes)]
+    if b"".join(map(v.bytes.__getitem__, every.tolist())) == b"".join(words) and np.array_equal(ends, np.cumsum([len(w) for w in words])):
+        return set()
+    return {p for p, x in found.items() if decode(v, np.frombuffer(x, dtype=np.int32)) != p}
+
+
+def encode_marked(v: Pieces, texts: list[str]) -> list[tuple[bytes, bool]]:
+    """Ids of marked texts, or of chunks that were cut at word marks, by merges; and whether they decode to them. A word is merged and
+    decoded once, which is enough: what words decode to is strung together."""
+    split = [parts_of(t) for t in texts]
+    new = list({p for parts in split for p in parts}.difference(v.known))
+    found = dict(zip(new, merge_words(v, [" " + p for p in new]), strict=True))
+    odd = v.odd | undecoded(v, found)
+    room = REMEMBER - len(v.known)
+    kept = [p for p in new if len(p) <= LONG][: max(0, room)]
+    v.known.update((p, found[p]) for p in kept)
+    v.odd |= odd.intersection(kept)
+    known = v.known if len(kept) == len(new) else v.known | found
+    return [(b"".join([known[p] for p in parts]) if known is not v.known else b"".join(map(v.known.__getitem__, parts)), not odd or odd.isdisjoint(parts)) for parts in split]
+
+
+def encode_as_trained(v: Pieces, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+    """Ids of each text by the model's own method, and whether they decode to the text."""
+    if v.merges is not None:
+        found = encode_marked(v, [marked(t) for t in texts])
+        return [x for x, _ in found], [same for _, same in found]
+    ids = encode(v, texts)
+    return ids, [decode(v, np.frombuffer(x, dtype=np.int32)) == t.replace("▁", " ") for x, t in zip(ids, texts, strict=True)]
+
+
 def encode(v: Pieces, texts: list[str]) -> list[bytes]:
     """Ids of each text, as the bytes of int32."""
     split = [_WORD.findall(marked(t)) for t in texts]
-    new = {w for ws in split for w in ws}.difference(_words)
+    new = {w for ws in split for w in ws}.difference(v.known)
     short = [w for w in new if len(w) <= LONG]
     known = dict(zip(short, encode_words(v, short), strict=True)) | {w: encode_long(v, w) for w in new if len(w) > LONG}
-    if len(_words) + len(known) <= REMEMBER:
-        _words.update(known)
-        known = _words
+    if len(v.known) + len(known) <= REMEMBER:
+        v.known.update(known)
+        known = v.known
     else:
-        known |= _words
+        known |= v.known
     return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
@@ -381,10 +469,9 @@ def _encode_task(path: str, model: bytes, keep: list[str]) -> Callable:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in _groups(texts):
-                some = [t for t in texts[a:b] if t is not None]
-                found = iter(encode_as_trained(v, some))
-                each = [None if t is None else next(found) for t in texts[a:b]]
-                same = [None if x is None else decode(v, np.frombuffer(x, dtype=np.int32)) == t.replace("▁", " ") for x, t in zip(each, texts[a:b], strict=True)]
+                ids, fine = map(iter, encode_as_trained(v, [t for t in texts[a:b] if t is not None]))
+                each = [None if t is None else next(ids) for t in texts[a:b]]
+                same = [None if t is None else next(fine) for t in texts[a:b]]
                 counts = pa.array([None if x is None else len(x) // 4 for x in each], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in keep), _arrays(each), counts, pa.array(same, pa.bool_())], [*keep, "ids", "n_tokens", "round_trip"])
 
@@ -426,7 +513,7 @@ def _merge_task(path: str, model: bytes) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(path, model)
         for batch in batches:
-            ids = [encode_marked(v, t) for t in batch.column("part").to_pylist()]
+            ids = [x for x, _ in encode_marked(v, batch.column("part").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), batch.column("chunk"), _arrays(ids)], ["text_key", "chunk", "ids"])
 
     return work

@@ -42,6 +42,32 @@ def test_pipeline(spark, tmp_path):
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens").collect()} == {tuple(r) for r in docs.select("doc_id", "n_tokens").collect()}
 
 
+def _through(spark, docs, folder):
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(folder / str(k)))
+        docs = spark.read.parquet(str(folder / str(k)))
+        yield docs
+
+
+def test_pipeline_on_odd_rows(spark, docs, corpus, tmp_path):
+    text = {i: t for i, t, *_ in corpus}
+    after = list(_through(spark, docs, tmp_path))
+    assert all(df.columns == docs.columns for df in after[:-1])
+    ids = [sorted(r["doc_id"] for r in df.select("doc_id").collect()) for df in after]
+    # null, empty and letterless texts have no language; every other row stays, repeated ones too
+    assert ids[0] == sorted(i for i, t, *_ in corpus if t and any(c.isalpha() for c in t))
+    # one row of each class of equal and near-equal texts, the smallest id, the giant text whole
+    assert len(set(ids[1])) == len(ids[1]) and not {i for i in ids[1] if 100 <= i < 300} and 405 in ids[1] and 3 in ids[1]
+    assert ids[2] == ids[1]
+    cut = {r["doc_id"]: r["text"] for r in after[2].select("doc_id", "text").collect()}
+    assert all(cut[i] == text[i] for i in cut if not 301 <= i < 305) and all(len(cut[i]) < len(text[i]) for i in range(301, 305))
+    assert after[-1].where("not round_trip").count() == 0
+
+
+def test_pipeline_on_an_empty_table(spark, docs, tmp_path):
+    assert [df.count() for df in _through(spark, docs.limit(0), tmp_path)] == [0] * 5
+
+
 def test_the_rest_works_without_this_folder(tmp_path):
     root = Path(__file__).parents[2]
     for p in root.rglob("*.py"):

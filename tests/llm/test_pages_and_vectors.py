@@ -213,7 +213,7 @@ def test_nearest_neighbours(spark, vectors, monkeypatch):
     good = usable(rows)
     ids, x = np.array([i for i, *_ in good]), np.stack([v for _, v, _ in good])
     for share, block, together in ((1.0, 16_384, 256), (multi_index.SHARE, 64, 7)):
-        monkeypatch.setattr(multi_index, "BLOCK", block)
+        monkeypatch.setattr(multi_index, "BLOCKS", (min(block, 2_048), block))
         monkeypatch.setattr(multi_index, "TOGETHER", together)
         got = multi_index.neighbours(df, "vec_id % 20 = 0", share=share).collect()
         by = {}
