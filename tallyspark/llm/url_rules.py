@@ -111,9 +111,9 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     )
     # the ranges that an interval meets, from the sorted limits
     below = lambda c, other: F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: (x < F.col(c)) if other else (x <= F.col(c)))) if limits else F.lit(0)
-    spread = spans.withColumn("range", F.explode(F.sequence(below("key", True).cast("long"), below("until", False).cast("long"))))
+    placed = spans.withColumn("range", F.explode(F.sequence(below("key", True).cast("long"), below("until", False).cast("long"))))
     both = dealt.select("range", "key", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("until"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict")).unionByName(
-        spread.select("range", "key", F.lit(0).alias("kind"), "until", F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
+        placed.select("range", "key", F.lit(0).alias("kind"), "until", F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
     )
     swept = spread(both, "range").sortWithinPartitions("range", "key", "kind", F.desc("until")).mapInArrow(_swept, "page_id long, host string, path string, rule string, verdict string")
     return swept.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
