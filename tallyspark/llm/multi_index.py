@@ -8,7 +8,7 @@ vectors, and k at least. What the cells hold is reranked by the inner product in
 SHARE is set for vectors without any structure, whose neighbours lie in many cells (recall at 20: see README); where vectors are
 clustered, much less does. There is no size below which the index is left out.
 
-Neighbouring cells are packed to blocks (of n / partitions vectors, BLOCK at most); larger cells are split. A block meets at most
+Neighbouring cells are packed to blocks (of n / partitions vectors, within BLOCKS); larger cells are split. A block meets at most
 QUERIES queries at a time, and scores TOGETHER of them at once, so a task's memory is bounded whatever cell is hot. Only the best of
 each block leave a task. With queries a fixed part of all rows the work is quadratic.
 
@@ -34,7 +34,7 @@ from .vectors import dimension, k_means, nearest, sample, stored, usable
 
 K, SHARE = 160, 0.35
 NEAREST, QUERY_STEP = 20, 20
-BLOCK, QUERIES, TOGETHER = 16_384, 4_096, 256
+BLOCKS, QUERIES, TOGETHER = (2_048, 16_384), 4_096, 256
 
 
 def visited(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
@@ -143,7 +143,7 @@ def neighbours(vectors: DataFrame, queries: str, k: int = NEAREST, share: float
         counts[r["cell"]] = r["count"]
     # cells in order fill blocks; one that is larger than a block has blocks of its own
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = min(BLOCK, max(k, -(-n // partitions)))
+    block = min(BLOCKS[1], max(BLOCKS[0], -(-n // partitions)))
     blocks, parts, at, held = np.zeros(len(counts), dtype=np.int64), np.ones(len(counts), dtype=np.int64), 0, 0
     for cell, count in enumerate(counts):
         if count and held and held + count > block:
