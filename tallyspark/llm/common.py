@@ -24,8 +24,12 @@ BROADCAST_ROWS = 500_000
 
 def fitting(df: DataFrame) -> DataFrame:
     """df, broadcast where it has been counted to have no more than BROADCAST_ROWS rows; else joins shuffle both sides."""
-    df = materialise(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    table = materialise(df)
+    if table.count() > BROADCAST_ROWS:
+        return table
+    out = F.broadcast(table)
+    out.scratch_path = table.scratch_path
+    return out
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -213,18 +213,22 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     )
     release(lines, items, classes)
 
-    gone = fitting(paragraph.where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_chars")).alias("gone")))
+    removed = paragraph.where("not kept")
+    gone = removed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_chars")).alias("gone"))
+    if removed.count() <= common.BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     left = own.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
     seeds = materialise(left.mapInArrow(_seeds, SEEDS))
-    # only keys and counts move for the many seeds that stand alone
-    twice = seeds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # only keys and counts move for the many seeds that stand alone; as tables of their own, keys of very many rows are split by the joins
+    twice = fitting(seeds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     several = materialise(seeds.join(twice, "key").select("doc_id", "pos"))
+    release(seeds, twice)
     places = several.groupBy("doc_id").agg(F.collect_list("pos").alias("seeds"))
     if several.count() <= common.BROADCAST_ROWS:
         places = F.broadcast(places)
     grams = materialise(left.join(places, "doc_id").select("doc_id", "text", "gone", "seeds").mapInArrow(_grams, GRAMS))
-    release(seeds, several)
-    firsts = (
+    release(several)
+    firsts = materialise(
         grams.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos", "end")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
         .where("first.doc_id <> last.doc_id or first.pos <> last.pos").select("a", "b", "first")
     )
