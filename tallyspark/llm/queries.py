@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, max_plus, mixing, multi_index, paragraphs, product_quantisation, style_tree, url_rules, warc_zip, weighted_minhash
+from . import anchors, byte_bpe, language_id, max_plus, mixing, multi_index, paragraphs, product_quantisation, style_tree, url_rules, warc_zip, weighted_minhash
 from .common import table
 
 
@@ -50,9 +50,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_plus.encoded(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(byte_bpe.decoded(byte_bpe.encoded(table(spark, sf_dir, "documents"))))
+
+
+def op12_anchor_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.with_label_errors(*anchors.compressed(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_zip": warc_zip.ORACLE_SQL, "op9_url_rules": url_rules.ORACLE_SQL}
+    return {"op12_anchor_codes": anchors.oracle_sql(), "op7_warc_zip": warc_zip.ORACLE_SQL, "op9_url_rules": url_rules.ORACLE_SQL}
