@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, byte_bpe, language_id, max_plus, mixing, multi_index, paragraphs, product_quantisation, style_tree, url_rules, warc_zip, weighted_minhash
+from . import anchors, byte_bpe, language_id, max_plus, mixing, multi_index, paragraphs, periodic_runs, product_quantisation, style_tree, url_rules, warc_zip, weighted_minhash
 from .common import table
 
 
@@ -58,9 +58,18 @@ def op12_anchor_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.with_label_errors(*anchors.compressed(table(spark, sf_dir, "embeddings")))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.searched(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_anchor_codes": anchors.oracle_sql(), "op7_warc_zip": warc_zip.ORACLE_SQL, "op9_url_rules": url_rules.ORACLE_SQL}
+    return {
+        "op7_warc_zip": warc_zip.ORACLE_SQL,
+        "op9_url_rules": url_rules.ORACLE_SQL,
+        "op12_anchor_codes": anchors.oracle_sql(),
+        "op13_periodic_runs": periodic_runs.ORACLE_SQL,
+    }

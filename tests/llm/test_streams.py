@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from tallyspark.llm import anchors, byte_bpe
+from tallyspark.llm import anchors, byte_bpe, periodic_runs
 
 
 @pytest.fixture(scope="module")
@@ -163,3 +165,97 @@ def test_balls_strike_candidates_and_own_entries():
     finally:
         anchors.np.nonzero = np_nonzero
     assert sum(compared) < 0.1 * 8 * 3000 * 16
+
+
+def _plain_runs(x, least=12):
+    """(start, length, period) of runs by all periods."""
+    n, out = len(x), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and x[j] == x[j + q]:
+                j += 1
+            if j - i >= q:
+                out.setdefault((i, j + q - i), q)
+            i = j + 1
+    return sorted(((s, n, q) for (s, n), q in out.items() if n >= max(least, 2 * q)), key=lambda r: (r[0], r[2]))
+
+
+def test_runs_are_those_of_all_periods():
+    rng = random.Random(9)
+    for _ in range(1500):
+        n = rng.randrange(rng.choice([30, 80, 250]))
+        x = [rng.randrange(rng.choice([1, 2, 3, 5, 30])) for _ in range(n)]
+        if n > 20 and rng.random() < 0.6:
+            a, p = rng.randrange(n - 10), rng.randrange(1, 14)
+            for i in range(a + p, n):
+                x[i] = x[i - p]
+            x[rng.randrange(n)] = rng.choice([0, 99])
+        assert periodic_runs.runs(np.array(x, dtype=np.int64)) == _plain_runs(x), x
+    fibonacci = ["0", "01"]
+    while len(fibonacci[-1]) < 1500:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    x = [int(c) for c in fibonacci[-1]]
+    assert periodic_runs.runs(np.array(x)) == _plain_runs(x)
+
+
+def test_few_segments_are_crossed():
+    """A path's segments stay few: about the logarithm of the length in the mean, also on words whose links are deep."""
+    rng = random.Random(10)
+    for x in ([0] * 3000, [i % 7 for i in range(3000)], [rng.randrange(2) for _ in range(3000)]):
+        automaton = periodic_runs.Automaton()
+        assert sum(len(automaton.append(w, i)) for i, w in enumerate(x)) < 8 * 3000
+
+
+def test_last_occurrences():
+    """Colours are the ends of last occurrences, and lengths those of the strings that have them."""
+    rng = random.Random(11)
+    x = [rng.randrange(3) for _ in range(120)]
+    automaton = periodic_runs.Automaton()
+    for i, w in enumerate(x):
+        found, low = {}, 0
+        for hi, end in reversed(automaton.append(w, i)):
+            found |= dict.fromkeys(range(low + 1, hi + 1), end)
+            low = hi
+        for m in range(1, i + 2):
+            before = [e for e in range(m - 1, i) if x[e - m + 1 : e + 1] == x[i - m + 1 : i + 1]]
+            assert found.get(m, -1) == (max(before) if before else -1)
+
+
+def _plain_text(words, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def test_odd_texts_collapse(spark, docs, corpus):
+    extra = [(500, "a b " * 400), (501, "x y " * 30), (502, "é\x0bé\x0cé " * 9), (503, " ".join(["q w e r t y"] * 2) + " q"), (504, "one two three four five six " * 2), (None, "z " * 20), (505, "same " * 11)]
+    given = [(i, t) for i, t, *_ in corpus] + extra
+    df = spark.createDataFrame(given, "doc_id long, text string").selectExpr("*", "'x' as words", "1 as h", "2 as n", "3 as runs", "4 as best").repartition(3)
+    want, digest = [], []
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for plant in (False, True):
+        for i, t in given:
+            words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+            h, n = zlib.crc32(str(i).encode()), len(words)
+            if plant and i is not None and h % 10 == 0 and n:
+                a = h // 10 % n
+                p = 1 + (n - a) // (3 + h // 10 % 8)
+                words = [words[k] if k < a else words[a + (k - a) % p] for k in range(n)]
+            runs = _plain_runs(words) if n < 5000 else []
+            text = _plain_text(words, runs)
+            if not plant:
+                want.append((i, runs, text))
+            else:
+                best = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else (None,) * 3
+                digest.append((i, len(runs), *best, 1000 * best[1] // best[2] if runs else None, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(text)))
+    found = [(r["doc_id"], [tuple(x) for x in r["runs"]], r["text"]) for r in periodic_runs.searched(df).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str) and sum(bool(r) for _, r, _ in want) >= 5
+    planted = [tuple(r) for r in periodic_runs.digests(periodic_runs.searched(periodic_runs.planted(df))).collect()]
+    assert sorted(planted, key=str) == sorted(digest, key=str) and sum(d[1] > 0 for d in digest) > 8
+    assert periodic_runs.digests(periodic_runs.searched(periodic_runs.planted(df.limit(0)))).count() == 0
+
+
+def test_a_giant_periodic_text():
+    x = np.tile(np.arange(1000), 60)
+    assert periodic_runs.runs(x) == [(0, 60_000, 1000)]
