@@ -26,8 +26,11 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import re
+import struct
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +41,16 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 # The pattern of byte-level BPE, as published with the vocabulary.
+# ASCII has the same words by the same pattern with its own classes, which is quicker.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
 #: Code points of a slice, bytes of a window (more where the lookahead asks for it), ids that are decoded at a time.
 SLICE, WINDOW, IDS = 1 << 16, 1 << 12, 1 << 14
-#: Words that a worker remembers with their ids, and the bytes of the longest of them. The rest is merged again.
-REMEMBER, LONG = 200_000, 64
+#: Words that a worker remembers with their ids, twice (the latest, and those before them), and the bytes of the longest.
+REMEMBER, LONG = 100_000, 64
+#: More than any rank; less than any id.
+NEVER, GONE = 1 << 62, -2
 
 
 def tokenizer_path() -> str:
@@ -60,17 +67,19 @@ def byte_of_character() -> dict[str, int]:
 
 
 class Merges:
-    """A vocabulary of bytes and its list of merges, as pairs of ids: rank and made id."""
+    """A vocabulary of bytes and its list of merges: ranks of pairs of ids, and the id that each makes."""
 
     def __init__(self, ids: dict[bytes, int], pairs: list[tuple[bytes, bytes]]) -> None:
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         self.of_byte = [ids.get(bytes([b]), -1) for b in range(256)]
         made = {bytes([b]) for b in range(256)}
         for i, (x, y) in enumerate(pairs):
             if x not in made or y not in made:
                 raise ValueError(f"merge {i} uses a piece that no earlier merge makes")
             made.add(x + y)
-            self.rank.setdefault((ids[x], ids[y]), (i, ids[x + y]))
+            self.rank.setdefault((ids[x], ids[y]), i)
+            self.made.append(ids[x + y])
         self.lookahead = sufficient_lookahead(pairs)
         self.window = max(WINDOW, 2 * (self.lookahead + max((len(x + y) for x, y in pairs), default=1)))
         self.size = {i: len(t) for t, i in ids.items()}
@@ -78,36 +87,39 @@ class Merges:
     def merged(self, data: bytes) -> list[int]:
         """Ids of data by merges in the list's order, equal ones from the left."""
         out = [self.of_byte[b] for b in data]
-        if len(data) > 32:
+        if len(out) > 64:
             return self._by_heap(out)
-        rank = self.rank
-        while len(out) > 1:
-            found = [(rank[pair], k) for k, pair in enumerate(zip(out, out[1:])) if pair in rank]
-            if not found:
-                break
-            (_, made), k = min(found)
-            out[k : k + 2] = [made]
+        get, made = self.rank.get, self.made
+        ranks = [get(pair, NEVER) for pair in zip(out, out[1:])]
+        while ranks and (best := min(ranks)) != NEVER:
+            k = ranks.index(best)
+            out[k : k + 2] = [made[best]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = get((out[k], out[k + 1]), NEVER)
+            if k:
+                ranks[k - 1] = get((out[k - 1], out[k]), NEVER)
         return out
 
     def _by_heap(self, out: list[int]) -> list[int]:
-        n, rank = len(out), self.rank
+        n, rank, made = len(out), self.rank, self.made
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank[p][0], k, p) for k, p in enumerate(zip(out, out[1:])) if p in rank]
+        heap = [(rank[p], k, p) for k, p in enumerate(zip(out, out[1:])) if p in rank]
         heapq.heapify(heap)
         while heap:
-            _, k, pair = heapq.heappop(heap)
+            best, k, pair = heapq.heappop(heap)
             b = after[k]
             if b >= n or out[k] != pair[0] or out[b] != pair[1]:
                 continue
-            out[k], out[b] = rank[pair][1], -2
+            out[k], out[b] = made[best], GONE
             after[k] = c = after[b]
             if c < n:
                 before[c] = k
                 if (p := (out[k], out[c])) in rank:
-                    heapq.heappush(heap, (rank[p][0], k, p))
+                    heapq.heappush(heap, (rank[p], k, p))
             if (a := before[k]) >= 0 and (p := (out[a], out[k])) in rank:
-                heapq.heappush(heap, (rank[p][0], a, p))
-        return [t for t in out if t != -2]
+                heapq.heappush(heap, (rank[p], a, p))
+        return [t for t in out if t != GONE]
 
     def stream(self, data: bytes) -> Iterator[list[int]]:
         """Ids of data, each as soon as nothing that follows can change it."""
@@ -148,6 +160,10 @@ def sufficient_lookahead(pairs: list[tuple[bytes, bytes]]) -> int:
     return most
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Tokenizer:
     """Encoder and decoder of a tokenizer's file."""
 
@@ -164,10 +180,30 @@ class Tokenizer:
         ids = {raw(t): i for t, i in model["vocab"].items() if t not in self.special}
         self.merges = Merges(ids, [(raw(a), raw(b)) for a, b in pairs])
         self.bytes = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.words = regex.compile(PATTERN).findall
+        self.in_unicode, self.in_ascii = regex.compile(PATTERN).findall, re.compile(ASCII).findall
         self.edge = regex.compile(r"\S(?=\s)").search
         self.marks = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.known: dict[str, bytes] = {}
+        self.latest: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def words(self, text: str) -> list[str]:
+        return self.in_ascii(text) if text.isascii() else self.in_unicode(text)
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of a word, remembered if it is short."""
+        ids = self.latest.get(word)
+        if ids is not None:
+            return ids
+        ids = self.before.get(word)
+        if ids is None:
+            data = word.encode()
+            if len(data) > LONG:
+                return b"".join(map(_packed, self.merges.stream(data)))
+            ids = _packed(self.merges.merged(data))
+        if len(self.latest) >= REMEMBER:
+            self.latest, self.before = {}, self.latest
+        self.latest[word] = ids
+        return ids
 
     def _slices(self, text: str) -> Iterator[str | int]:
         """Parts of text that are encoded on their own, in order, and ids of the special tokens between them. A space behind another
@@ -187,21 +223,16 @@ class Tokenizer:
 
     def stream(self, text: str) -> Iterator[bytes]:
         """Ids of text as little-endian unsigned 32-bit integers, slice by slice."""
-        known = self.known
         for part in self._slices(text):
             if isinstance(part, int):
                 yield part.to_bytes(4, "little")
                 continue
-            out = []
-            for word in self.words(part):
-                ids = known.get(word)
-                if ids is None:
-                    data = word.encode()
-                    ids = b"".join(np.array(i, dtype="<u4").tobytes() for i in self.merges.stream(data))
-                    if len(known) < REMEMBER and len(data) <= LONG:
-                        known[word] = ids
-                out.append(ids)
-            yield b"".join(out)
+            get = self.latest.get
+            words = self.words(part)
+            found = list(map(get, words))
+            if None in found:
+                found = [ids or self._ids(word) for ids, word in zip(found, words, strict=True)]
+            yield b"".join(found)
 
     def text_of(self, ids: np.ndarray) -> Iterator[str]:
         """Text of ids as far as it is settled, some thousand ids at a time."""
@@ -211,13 +242,19 @@ class Tokenizer:
         yield state.decode(b"", final=True)
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> Tokenizer:
+    """One per worker, with what it remembers."""
+    return Tokenizer(path)
+
+
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers)."""
     path = path or tokenizer_path()
     bounded_batches(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(path)
+        tokenizer = _tokenizer(path)
         for b in batches:
             ids = [b"".join(tokenizer.stream(t or "")) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -231,7 +268,7 @@ def decoded(codes: DataFrame, path: str | None = None) -> DataFrame:
     bounded_batches(codes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(path)
+        tokenizer = _tokenizer(path)
         for b in batches:
             texts = ["".join(tokenizer.text_of(np.frombuffer(i or b"", dtype="<u4"))) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
