@@ -80,7 +80,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     elif a.command == "import":
         sinks.write_consolidated(out := consolidate(spark, a.data), a.out)
     elif a.command == "report":
-        html = sinks.html_report(consolidate(spark, a.data))
+        html = sinks.html_report(consolidate(spark, a.data), details=f"{a.out.rstrip('/')}-rows")
         spark.createDataFrame([(html,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(a.out)
         return None
     elif a.command == "status":

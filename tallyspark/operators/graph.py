@@ -1,22 +1,16 @@
-"""Components of a graph and greedy matchings, as Spark jobs."""
+"""Components of a graph as Spark jobs, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 #: Minima that a round of `components` broadcasts at most.
 STAR_ROWS = 500_000
-#: Edges of a part that stream through one task.
-PART_EDGES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -91,68 +85,3 @@ def components(edges: DataFrame, node: str = "node", component: str = "component
     out = materialise(found.union(alone.select("node", "node")).toDF(node, component))
     release(given, *held)
     return out
-
-
-def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, used = None, set()
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (p, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b")), strict=True)):
-            if p != part:
-                part, used = p, set()
-            if a not in used and b not in used:
-                used.update((a, b))
-                keep[i] = True
-        yield batch.filter(pa.array(keep))
-
-
-def _runs(edges: DataFrame, span: tuple[str, str]) -> DataFrame:
-    """edges with parts cut where no edge's interval of dates reaches over: edges that share an end overlap. The window is over the distinct
-    intervals of a part, which are as few as the days."""
-    low, high = span
-    by = W.partitionBy("part").orderBy("__low", "__high")
-    seen = edges.select("part", F.expr(low).alias("__low"), F.expr(high).alias("__high")).distinct()
-    gap = F.coalesce(F.col("__low") > F.max("__high").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
-    runs = seen.withColumn("__gap", gap.cast("int")).withColumn("__run", F.sum("__gap").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("__gap")
-    both = edges.withColumn("__low", F.expr(low)).withColumn("__high", F.expr(high)).join(runs, ["part", "__low", "__high"])
-    return both.withColumn("part", F.xxhash64("part", "__run")).select(edges.columns)
-
-
-def _mutual(edges: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The edges that come first at both of their ends, which the loop takes whatever else it does; and the edges left without their ends."""
-    keyed = edges.withColumn("__o", F.struct(*order, "a", "b"))
-    ends = keyed.select(F.col("a").alias("node"), "__o").union(keyed.select(F.col("b").alias("node"), "__o"))
-    best = ends.groupBy("node").agg(F.min("__o").alias("best"))
-    side = lambda c: best.select(F.col("node").alias(c), F.col("best").alias(f"__{c}"))
-    taken = materialise(keyed.join(side("a"), "a").join(side("b"), "b").where("__o = __a and __o = __b").select(edges.columns))
-    used = materialise(taken.select(F.col("a").alias("node")).union(taken.select("b")))
-    left = edges.join(used.withColumnRenamed("node", "a"), "a", "left_anti").join(used.withColumnRenamed("node", "b"), "b", "left_anti")
-    return taken, materialise(left.select(edges.columns))
-
-
-def greedy_matching(edges: DataFrame, order: list[str], part: str | None = None, span: tuple[str, str] | None = None) -> DataFrame:
-    """The edges (a, b, ...) that a loop over them in the given order takes, if it takes each edge whose ends are both still free.
-
-    "Each row in turn takes its best free partner" is this loop with the row's place first in the order. It is sequential only
-    within a part of the graph: a column that separates it (such as an equal amount), or else its components. A part of up to PART_EDGES
-    edges streams through one task in order; only the ends used so far are held. Larger parts are cut at gaps of time (span: SQL of
-    the dates between which an edge lies), and while one is still larger, all edges of such parts that come first at both ends are
-    taken in parallel."""
-    if part:
-        parted = edges.withColumn("part", F.xxhash64(part))
-    else:
-        parted = edges.join(components(edges).select(F.col("node").alias("a"), F.col("component").alias("part")), "a")
-    left = materialise(parted.select("part", *edges.columns))
-    sizes = lambda df: df.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > PART_EDGES)
-    large = materialise(sizes(left))
-    small, taken = left, None
-    if not large.isEmpty():
-        small, big = left.join(large, "part", "left_anti"), left.join(large, "part", "left_semi")
-        big = materialise(_runs(big, span) if span else big)
-        while not (still := materialise(sizes(big).select("part"))).isEmpty():
-            small = small.unionByName(big.join(still, "part", "left_anti"))
-            more, big = _mutual(big.join(still, "part", "left_semi"), order)
-            taken = more if taken is None else taken.unionByName(more)
-        small = small.unionByName(big)
-    out = small.repartition("part").sortWithinPartitions("part", *order).mapInArrow(_accept, left.schema)
-    return (out if taken is None else out.unionByName(taken)).drop("part")

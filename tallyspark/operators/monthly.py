@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.categories import category
 from ..functions.dates import month_key
 from .graph import materialise
+from .ranks import placed
 from .transfers import card_payment_pairs, internal_transfer_pairs
 
 BUCKETS = ["income", "internal_transfer", "external_transfer", "credits", "spending"]
@@ -38,10 +38,12 @@ def category_rollup(txns: DataFrame) -> DataFrame:
 
 def net_of_pairs(txns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that are in no pair, as entries; and one entry per pair: the sent amount of a card payment, 0 of an internal transfer."""
-    card, own = materialise(card_payment_pairs(txns)), materialise(internal_transfer_pairs(txns))
-    used = card.select("sent", "received").union(own.select("sent", "received")).select(F.explode(F.array("sent.txn_seq", "received.txn_seq")).alias("txn_seq")).distinct()
-    entry = lambda df, amount: df.select(month_key(F.col("sent.date")).alias("month"), F.lit("internal_transfer").alias("bucket"), amount.cast("decimal(18,2)").alias("amount"), F.col("sent.txn_seq").alias("txn_seq"), F.lit(True).alias("is_pair"))
-    return _entries(txns.join(used, "txn_seq", "left_anti")), entry(card, F.col("sent.amount")).union(entry(own, F.lit(0)))
+    ends = [F.col("sent.txn_seq").alias("txn_seq"), F.col("received.txn_seq").alias("received"), month_key(F.col("sent.date")).alias("month")]
+    card = card_payment_pairs(txns).select(*ends, F.col("sent.amount").alias("amount"))
+    pairs = materialise(card.union(internal_transfer_pairs(txns).select(*ends, F.lit(0).cast("decimal(18,2)"))))
+    used = pairs.select(F.explode(F.array("txn_seq", "received")).alias("txn_seq")).distinct()
+    entries = pairs.select("month", F.lit("internal_transfer").alias("bucket"), "amount", "txn_seq", F.lit(True).alias("is_pair"))
+    return _entries(txns.join(used, "txn_seq", "left_anti")), entries
 
 
 def report(txns: DataFrame) -> DataFrame:
@@ -50,19 +52,23 @@ def report(txns: DataFrame) -> DataFrame:
     return rolled(rows.union(pairs))
 
 
+DRILL = ["txn_seq", "date", "amount", "description", "account_name", "institution"]
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows with nth: the place in their month and bucket, by date, then the larger amount. Cells of any size are ranged over all tasks."""
+    return placed(rows, ["month", "bucket"], [F.col("date"), F.desc(F.abs("amount")), F.col("txn_seq"), F.col("is_pair")], "nth")
+
+
 def drill_rows(txns: DataFrame) -> DataFrame:
     """What the report adds up, flat: (month, bucket, nth, txn_seq, date, amount, description, account_name, institution, is_pair). Rows that
-    are in no pair, and one flagged row per pair, with the sent row's date and texts. nth: the place in the cell, by date, then the larger
-    amount. A cell's rows are sorted and spilled by Spark, never held in one row."""
+    are in no pair, and one flagged row per pair, with the sent row's date and texts. nth: the place in the cell."""
     rows, pairs = net_of_pairs(txns)
     about = txns.select("txn_seq", "date", "description", "account_name", "institution")
-    flat = rows.union(pairs).join(about, "txn_seq")
-    nth = F.row_number().over(W.partitionBy("month", "bucket").orderBy("date", F.desc(F.abs("amount")), "txn_seq"))
-    return flat.select("month", "bucket", nth.alias("nth"), "txn_seq", "date", "amount", "description", "account_name", "institution", "is_pair")
+    return _placed(rows.union(pairs).join(about, "txn_seq")).select("month", "bucket", "nth", *DRILL, "is_pair")
 
 
 def drill_down(txns: DataFrame) -> DataFrame:
-    """Rows of each month and bucket, by date, then the larger amount. A cell's list is for display; its size is that of a month."""
-    each = classified(txns).withColumn("bucket", F.when(F.col("category_class") == "refund", "credits").otherwise(F.col("category_class")))
-    item = F.struct("date", (-F.abs("amount")).alias("minus"), "txn_seq", "amount", "description", "account_name", "institution")
-    return each.groupBy("month", "bucket").agg(F.sort_array(F.collect_list(item)).alias("rows"), F.count("*").alias("n"), F.sum("amount").cast("decimal(18,2)").alias("total"))
+    """Rows of each month and bucket, pairs apart, flat: (month, bucket, nth, txn_seq, date, amount, description, account_name, institution)."""
+    bucket = F.when(F.col("category_class") == "refund", "credits").otherwise(F.col("category_class"))
+    return _placed(classified(txns).select("month", bucket.alias("bucket"), *DRILL, F.lit(False).alias("is_pair"))).select("month", "bucket", "nth", *DRILL)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.amounts import tolerance_score
 from ..functions.dates import business_days, days_apart, month_key
 from ..functions.text import has_any, literal
-from .graph import greedy_matching, materialise
+from .graph import materialise
+from .matching import EqualParts, NearAmounts, matched, ranked_days
+from .ranks import placed
 
 # Parts of institutions and descriptions on both sides of a card payment, and of internal transfers.
 CARD_RECEIVED = [("chase", "payment thank you"), ("gemini", "payment transaction"), ("apple", "deposit internet transfer fr")]
@@ -60,8 +62,12 @@ def potential_transfers(txns: DataFrame, most: int = 3) -> DataFrame:
 
 
 def pairs_by_day(pairs: DataFrame) -> DataFrame:
-    """Rows of pairs regrouped by the earlier date and the amount."""
-    return pairs.groupBy(F.least("source.date", "dest.date").alias("date"), "abs_amount").agg(F.flatten(F.collect_list(F.array("source", "dest"))).alias("rows"))
+    """The rows of pairs by the earlier date and the amount, flat: (date, abs_amount, nth, side, and the row's fields), by number, sources first."""
+    day = F.least("source.date", "dest.date")
+    each = pairs.select(day.alias("day"), "abs_amount", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(side).alias("row"), F.col("dest.txn_seq").alias("other")) for k, side in enumerate(("source", "dest"))])).alias("x"))
+    flat = each.select("day", "abs_amount", "x.side", "x.row", F.col("x.other").alias("other"))
+    found = placed(flat, ["day", "abs_amount"], [F.col("row.txn_seq"), F.col("side"), F.col("other")], "nth")
+    return found.select(F.col("day").alias("date"), "abs_amount", "nth", F.when(F.col("side") == 0, "source").otherwise("dest").alias("side"), "row")
 
 
 def _any_side(rules: list[tuple[str, str]]) -> Column:
@@ -72,41 +78,39 @@ def _any_side(rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+def _sides(asking: DataFrame, partners: DataFrame, by_amount: bool, owner: Column) -> DataFrame:
+    """Rows for `matched` from two sets of transactions; rows without date or amount can't be in a pair."""
+    cents = F.abs(F.col("amount") * 100).cast("long")
+    part = cents if by_amount else F.lit(0).cast("long")
+    row = lambda df, asks: df.where("date is not null and amount is not null").select(
+        part.alias("part"), F.lit(asks).alias("asks"), F.col("txn_seq").alias("seq"), F.datediff("date", F.lit("1970-01-01")).alias("day"), cents.alias("cents"), owner.alias("owner")
+    )
+    return row(asking, True).union(row(partners, False))
+
+
+def _with_rows(pairs: DataFrame, asking: DataFrame, partners: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """pairs (a, b) of numbers with their rows as structs."""
+    a, b = (df.select(F.col("txn_seq").alias(k), _row().alias(name)) for df, k, name in ((asking, "a", names[0]), (partners, "b", names[1])))
+    return pairs.join(a, "a").join(b, "b").select(*names)
+
+
 def card_payment_pairs(txns: DataFrame, most: int = 7) -> DataFrame:
     """(sent, received, days): every received payment, in input order, takes the free sent one with the lowest score (days apart, more
-    for amounts that differ by up to 10 %; the earlier of equals).
-
-    Candidates come from buckets of days and of logarithms of amounts, each with its neighbours."""
-    step = 0.1
-    side = lambda rules, sign: (
-        txns.where(_any_side(rules) & sign).select(_row().alias("t"), F.floor(F.datediff("date", F.lit("1970-01-01")) / (most + 1)).alias("d"), F.floor(F.ln(F.abs("amount").cast("double")) / step).alias("m"))
-    )
-    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    # amounts within 10 % of the larger differ by less than 0.1054 in logarithm: two steps of 0.1 away at most
-    received = side(CARD_RECEIVED, F.col("amount") > 0).withColumnRenamed("t", "r").withColumn("d", around("d")).withColumn("m", F.explode(F.sequence(F.col("m") - 2, F.col("m") + 2)))
-    sent = side(CARD_SENT, F.col("amount") < 0).withColumnRenamed("t", "s")
-    days = days_apart(F.col("r.date"), F.col("s.date"))
-    edges = (
-        received.join(sent, ["d", "m"]).withColumn("days", days).where(F.col("days") <= most)
-        .withColumn("score", tolerance_score(F.col("days"), F.col("r.amount"), F.col("s.amount"))).where("score is not null")
-        .select(F.col("r.txn_seq").alias("a"), F.col("s.txn_seq").alias("b"), F.col("score").cast("int").alias("score"), "days", F.col("s").alias("sent"), F.col("r").alias("received"))
-    )
-    return greedy_matching(materialise(edges), ["a", "score", "b"]).select("sent", "received", "days")
+    for amounts that differ by up to 10 %; the earlier of equals)."""
+    received = txns.where(_any_side(CARD_RECEIVED) & (F.col("amount") > 0))
+    sent = txns.where(_any_side(CARD_SENT) & (F.col("amount") < 0))
+    pairs = matched(_sides(received, sent, False, F.lit("")), most, lambda *rows: NearAmounts(*rows, most=most))
+    return _with_rows(pairs, received, sent, ("received", "sent")).select("sent", "received", days_apart(F.col("received.date"), F.col("sent.date")).alias("days"))
 
 
 def internal_transfer_pairs(txns: DataFrame, most: int = 3) -> DataFrame:
     """(sent, received, days): every withdrawal, in input order, takes the nearest free deposit of the same amount in another account
     (the earlier of equals)."""
-    sent = txns.where(has_any(F.lower("description"), TRANSFER_SENT) & (F.col("amount") < 0)).select(F.abs("amount").alias("abs_amount"), _row().alias("sent"))
-    received = txns.where(has_any(F.lower("description"), TRANSFER_RECEIVED) & (F.col("amount") > 0)).select(F.abs("amount").alias("abs_amount"), _row().alias("received"))
-    bucket = lambda c: F.floor(F.datediff(F.col(f"{c}.date"), F.lit("1970-01-01")) / (most + 1))
-    sent = sent.withColumn("bucket", F.explode(F.array(bucket("sent") - 1, bucket("sent"), bucket("sent") + 1)))
-    days = days_apart(F.col("sent.date"), F.col("received.date"))
-    edges = (
-        sent.join(received.withColumn("bucket", bucket("received")), ["abs_amount", "bucket"]).where((F.col("sent.account") != F.col("received.account")) & (days <= most))
-        .select(F.col("sent.txn_seq").alias("a"), F.col("received.txn_seq").alias("b"), days.alias("days"), "abs_amount", "sent", "received")
-    )
-    return greedy_matching(edges, ["a", "days", "b"], part="abs_amount", span=("least(sent.date, received.date)", "greatest(sent.date, received.date)")).select("sent", "received", "days")
+    sent = txns.where(has_any(F.lower("description"), TRANSFER_SENT) & (F.col("amount") < 0))
+    received = txns.where(has_any(F.lower("description"), TRANSFER_RECEIVED) & (F.col("amount") > 0))
+    account = F.coalesce("account", F.lit(""))
+    pairs = matched(_sides(sent, received, True, account), most, lambda *rows: EqualParts(*rows, days=ranked_days(most, lambda d, e: abs(d - e))))
+    return _with_rows(pairs, sent, received, ("sent", "received")).select("sent", "received", days_apart(F.col("sent.date"), F.col("received.date")).alias("days"))
 
 
 def transfer_rows(txns: DataFrame) -> DataFrame:
@@ -118,16 +122,25 @@ def _without(txns: DataFrame, pairs: DataFrame, ends: tuple[str, str]) -> DataFr
     return txns.join(used, "txn_seq", "left_anti")
 
 
+def _lag(d: int, e: int) -> int:
+    """Business days between two days since 1970 (a Thursday), both included."""
+    until = lambda n: (n - 4) // 7 * 5 + min((n - 4) % 7 + 1, 5)
+    return until(max(d, e)) - until(min(d, e) - 1)
+
+
 def timing_pairs(txns: DataFrame, most: int = 3, card: DataFrame | None = None) -> DataFrame:
     """(abs_amount, source, dest, lag): among transfer rows that are in no card payment, every free row in input order takes the first
-    later free one of the same amount, opposite sign and another account within `most` business days."""
+    later free one of the same amount, opposite sign and another account within `most` business days.
+
+    That is a matching of withdrawals with deposits in which both sides prefer rows by input order."""
     card = card_payment_pairs(txns) if card is None else card
     rows = _without(transfer_rows(txns), card, ("sent", "received"))
-    apart = (F.col("a.institution") != F.col("b.institution")) | (F.col("a.account") != F.col("b.account"))
-    edges = _lagged(rows, most).where(apart).withColumnsRenamed({"a": "x", "b": "y"})
-    edges = edges.select(F.col("x.txn_seq").alias("a"), F.col("y.txn_seq").alias("b"), "abs_amount", "lag", "x", "y")
-    found = greedy_matching(edges, ["a", "b"], part="abs_amount", span=("least(x.date, y.date)", "greatest(x.date, y.date)"))
-    return _ends(found.select("abs_amount", F.col("x").alias("a"), F.col("y").alias("b"), "lag"))
+    out, into = rows.where("amount < 0"), rows.where("amount > 0")
+    owner = F.to_json(F.array(F.coalesce("institution", F.lit("")), F.coalesce("account", F.lit(""))))
+    span = most + 2 * (most // 5 + 1)  # a lag of n business days spans at most so many calendar days
+    pairs = matched(_sides(out, into, True, owner), span, lambda *sides: EqualParts(*sides, days=ranked_days(span, lambda d, e: 0 if _lag(d, e) <= most else None)))
+    found = _with_rows(pairs, out, into, ("source", "dest"))
+    return found.select(F.abs("source.amount").cast("decimal(18,2)").alias("abs_amount"), "source", "dest", business_days(F.col("source.date"), F.col("dest.date")).alias("lag"))
 
 
 def unmatched_transfers(txns: DataFrame, most: int = 3) -> DataFrame:

@@ -6,7 +6,6 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import state as states
@@ -15,6 +14,7 @@ from .functions.paths import extension
 from .model import ACCOUNT
 from .operators import dedup, enrich, problems, signs, validate
 from .operators.graph import materialise
+from .operators.ranks import summed_before
 from .plugins import Registry, built_in
 from .sinks import output_path
 from .sources import canonical
@@ -23,10 +23,10 @@ from .sources.files import scan, supported
 
 
 def sequenced(rows: DataFrame) -> DataFrame:
-    """With txn_seq from source_file and line_no: files in order of path, lines within. Only counts per file meet in one task."""
+    """With txn_seq from source_file and line_no: files in order of path, lines within. Files are ranged by path over all tasks."""
     sizes = rows.groupBy("source_file").agg(F.max("line_no").cast("long").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("source_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return rows.join(before, "source_file").withColumn("txn_seq", F.col("__before") + F.col("line_no")).drop("__before")
+    before = summed_before(sizes, [F.col("source_file")], "__n", "__offset").drop("__n")
+    return rows.join(before, "source_file").withColumn("txn_seq", F.col("__offset") + F.col("line_no")).drop("__offset")
 
 
 @dataclass

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, paths, text
@@ -13,9 +14,9 @@ from ..functions.categories import category
 from .. import sinks, state
 from ..operators import dedup, duplicates, enrich, monthly, problems, signs, stats, transfers, validate
 from ..operators.graph import shared_dir
-from ..sources import canonical, csv_files, ofx, pdf_lines
+from ..sources import canonical, csv_files, ofx, pdf, pdf_lines
 from ..sources import files as file_sources
-from . import oracles
+from . import oracles, statements
 from .views import events, orders, read, strings
 
 AS_OF_YEAR = 2026
@@ -62,7 +63,8 @@ def classify_category(spark, sf_dir):
 
 @query
 def drilldown_cells(spark, sf_dir):
-    return monthly.drill_down(orders(spark, sf_dir)).select("month", "bucket", "n", "total", F.size("rows").cast("long").alias("listed"), F.col("rows")[0]["txn_seq"].alias("first_seq"))
+    flat = monthly.drill_down(orders(spark, sf_dir))
+    return flat.groupBy("month", "bucket").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(18,2)").alias("total"), F.max("nth").cast("long").alias("listed"), F.max(F.when(F.col("nth") == 1, F.col("txn_seq"))).alias("first_seq"))
 
 
 @query
@@ -209,7 +211,8 @@ def potential_transfers(spark, sf_dir):
 
 @query
 def transfer_pairs_by_day(spark, sf_dir):
-    return transfers.pairs_by_day(transfers.transfer_pairs(events(spark, sf_dir))).select(_day(), "abs_amount", F.size("rows").cast("long").alias("rows"))
+    flat = transfers.pairs_by_day(transfers.transfer_pairs(events(spark, sf_dir)))
+    return flat.groupBy("date", "abs_amount").agg(F.max("nth").cast("long").alias("rows")).select(_day(), "abs_amount", "rows")
 
 
 @query
@@ -453,7 +456,7 @@ def file_formats(spark, sf_dir):
 
 @query
 def pdf_line_parse(spark, sf_dir):
-    lines = spark.sql(oracles.PDF_LINES, orders=read(spark, sf_dir, "orders"))
+    lines = spark.sql(oracles.PDF_LINES, orders=read(spark, sf_dir, "orders")).withColumn("line_no", F.col("page") * 100_000 + F.col("line_no"))
     return pdf_lines.transactions(lines, AS_OF_YEAR).select("source_file", "line_no", F.col("date").cast("string").alias("date"), "amount", "description", "account", "institution")
 
 
@@ -465,10 +468,30 @@ def pdf_pattern_hits(spark, sf_dir):
 
 @query
 def pdf_table_rows(spark, sf_dir):
-    rows = spark.sql(oracles.PDF_TABLES, orders=read(spark, sf_dir, "orders"))
+    rows = spark.sql(oracles.PDF_TABLES, orders=read(spark, sf_dir, "orders")).withColumn("line_no", F.col("page") * 100_000 + F.col("table_no") * 1_000 + F.col("row_no"))
     return pdf_lines.table_transactions(rows).select("source_file", "line_no", _day(), "amount", "description", "balance", "account", "institution", "problem")
 
 
+def _statements(spark, sf_dir):
+    """A PDF statement per customer with 12 rows a page: ruled tables, lines, or both in turn; half of the files packed."""
+    return statements.written(spark.sql(oracles.STATEMENTS, orders=read(spark, sf_dir, "orders")))
+
+
+@query
+def pdf_statements(spark, sf_dir):
+    """Transactions of PDF files: tables before lines, page by page."""
+    rows = pdf_lines.statements(_statements(spark, sf_dir), AS_OF_YEAR)
+    nth = F.row_number().over(W.partitionBy("source_file").orderBy("line_no")).cast("long")
+    return rows.select("source_file", nth.alias("nth"), _day(), "amount", "description", "account", "institution", "problem")
+
+
+@query
+def pdf_table_maps(spark, sf_dir):
+    """All rows of all tables of PDF files as maps."""
+    found = pdf.read(_statements(spark, sf_dir)).where("kind = 'row'")
+    return pdf_lines.table_maps(found).select("path", "page", F.col("row")["Trans Date"].alias("date"), F.col("row")["Description"].alias("description"), F.col("row")["Amount"].alias("amount"))
+
+
 @query
 def drilldown_net_cells(spark, sf_dir):
     flat = monthly.drill_rows(events(spark, sf_dir))

@@ -49,6 +49,20 @@ select 'raw/chase/statements-8147-' || cast(o_orderkey % 50 as string) || '.pdf'
     when 1 then 'PAYMENT ' || cast(o_orderkey as string) || ',' || cast(o_orderkey % 700 + 1 as string) || '.00,' || written else 'x,y' end, ',') as cells
 from (select *, case when o_orderkey % 11 = 4 then '' when o_orderkey % 7 = 5 then 'soon' else lpad(cast(month(o_orderdate) as string), 2, '0') || '/' || lpad(cast(day(o_orderdate) as string), 2, '0') || '/' || cast(year(o_orderdate) as string) end as written from {orders}) as o
 """
+#: Rows of PDF statements, a header first on each page; for Spark and DuckDB. A third of the customers have tables, a third lines, a third both in turn.
+_STATEMENT_ROWS = """
+select *, case when o_custkey % 3 = 0 or o_custkey % 3 = 2 and page % 2 = 0 then true else false end as ruled from (
+  select o_custkey, o_orderkey, cast(o_orderdate as date) as day, cast(row_number() over (partition by o_custkey order by o_orderkey) as int) as nth,
+    cast(1 + floor((row_number() over (partition by o_custkey order by o_orderkey) - 1) / 12) as int) as page,
+    case o_orderkey % 4 when 0 then 'GROCERY ' || o_orderpriority when 1 then 'Refund from store' else 'STORE ' || cast(o_orderkey as string) || ' (A)' end as description,
+    cast(o_orderkey % 700 + 1 as decimal(18,2)) as value
+  from {orders}) as x"""
+STATEMENTS = f"""with r as ({_STATEMENT_ROWS}), c as (
+  select *, array(lpad(cast(month(day) as string), 2, '0') || '/' || lpad(cast(day(day) as string), 2, '0') || '/' || cast(year(day) as string), description, '$' || cast(value as string)) as cells from r)
+select 'raw/chase/statements-8147-' || cast(o_custkey as string) || '.pdf' as path, page, ruled, o_custkey % 2 = 1 as packed, nth, 'Statement of page ' || cast(page as string) as title, cells from c
+union all
+select distinct 'raw/chase/statements-8147-' || cast(o_custkey as string) || '.pdf', page, ruled, o_custkey % 2 = 1, 0, 'Statement of page ' || cast(page as string), array('Trans Date', 'Description', 'Amount') from c
+"""
 #: Lines that an ingest has rejected, from events; for Spark and DuckDB.
 REJECTED = """
 select 'in/' || cast(event_id % 200 as string) || '.csv' as source_file, cast(event_id as int) as line_no,
@@ -301,6 +315,9 @@ SQL = {
     "pdf_table_rows": f"""with r as ({sql(PDF_TABLES)}) select path as source_file, cast(page * 100000 + table_no * 1000 + row_no as int) as line_no, case when k % 7 = 5 then null else strftime(day, '%Y-%m-%d') end as date,
       cast(case when k % 3 = 0 then -value else value end as decimal(18,2)) as amount, case when k % 3 = 0 then 'STORE ' || k else 'PAYMENT ' || k end as description,
       case when k % 3 = 0 then cast(k as decimal(18,2)) end as balance, '8147' as account, 'Chase' as institution, case when k % 7 = 5 then 'bad date' end as problem from r where k % 3 <> 2 and k % 11 <> 4""",
+    "pdf_statements": f"""with r as ({sql(_STATEMENT_ROWS)}) select 'raw/chase/statements-8147-' || o_custkey || '.pdf' as source_file, cast(nth as bigint) as nth, strftime(day, '%Y-%m-%d') as date,
+      cast(case when o_orderkey % 4 = 1 then value else -value end as decimal(18,2)) as amount, description, '8147' as account, 'Chase' as institution, cast(null as varchar) as problem from r""",
+    "pdf_table_maps": f"""with r as ({sql(_STATEMENT_ROWS)}) select 'raw/chase/statements-8147-' || o_custkey || '.pdf' as path, page, strftime(day, '%m/%d/%Y') as date, description, '$' || value as amount from r where ruled""",
     "error_rows": f"""with r as ({sql(REJECTED)}), f as ({sql(FILES)}), p as (select source_file, line_no, problem from r union all select file_path, null, 'no transactions' from f where not success)
       select {_KIND.format("'F002'", "'D001'", "'F003'", "'V001'")} as code, {_KIND.format("'error'", "'warning'", "'error'", "'warning'")} as severity, {_KIND.format("'file_format'", "'data_parsing'", "'file_format'", "'data_validation'")} as category,
         problem as message, source_file as file_path, cast(line_no as bigint) as line from p""",

@@ -75,5 +75,5 @@ def built_in(this_year: int, date_formats: list[str] | None = None, overrides: d
     out = Registry()
     out.register(Parser("csv", lambda spark, files: csv_files.read(spark, files, date_formats or None, overrides), (".csv",), BUILT_IN))
     out.register(Parser("qfx", lambda spark, files: ofx.read(files), (".qfx", ".ofx"), BUILT_IN))
-    out.register(Parser("pdf", lambda spark, files: pdf_lines.transactions(pdf_lines.extracted(files), this_year), (".pdf",), BUILT_IN))
+    out.register(Parser("pdf", lambda spark, files: pdf_lines.statements(files, this_year), (".pdf",), BUILT_IN))
     return out

@@ -1,25 +1,26 @@
 """Transactions from the text lines and tables of PDF statements.
 
-Text extraction is a plug-in (see `extracted`): everything behind it takes lines (path, page, line_no, line) or cells."""
+`pdf.read` gives lines (path, page, line_no, line) and table rows (path, page, line_no, header, cells); line_no is unique in a file."""
 
 from __future__ import annotations
 
-import io
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, paths, text
+from ..operators.graph import materialise
 from ..operators.signs import statement_sign
+from . import pdf
 
 # Written dates and amounts, statement periods, and headers of tables, in the order in which they are tried.
 DATES = [r"\b\d{1,2}/\d{1,2}/\d{4}\b", r"\b\d{1,2}-\d{1,2}-\d{4}\b", r"\b\d{4}-\d{1,2}-\d{1,2}\b"]
 AMOUNTS = [r"\$?\s*\d{1,3}(?:,\d{3})*\.\d{2}", r"\(\$?\s*\d{1,3}(?:,\d{3})*\.\d{2}\)"]
 _day = r"(\d{1,2}/\d{1,2}/\d{2,4})"
 PERIODS = [rf"Opening/Closing Date\s+{_day}\s*[-–]\s*{_day}", rf"Statement Period[:\s]+{_day}\s*[-–]\s*{_day}", rf"Statement Date[:\s]+{_day}", rf"Closing Date\s+{_day}"]
+#: Characters that the first page must have.
+LEAST_TEXT = 10
 SHORT_LINE = r"^(\d{1,2}/\d{1,2})\s+(.+?)\s+([-]?\d+\.\d{2})$"
 TABLE_HEADERS = {
     "date": ["date", "trans.*date", "posting.*date", "effective.*date"],
@@ -52,11 +53,11 @@ def year_of(month: Column, start: Column, end: Column, this_year: int) -> Column
     return F.coalesce(F.when(spans, F.when(month >= F.month(start), F.year(start)).otherwise(F.year(end))).otherwise(F.year(end)), F.lit(this_year))
 
 
-def transactions(lines: DataFrame, this_year: int) -> DataFrame:
-    """Transactions of lines (path, page, line_no, line)."""
+def transactions(lines: DataFrame, this_year: int, among: DataFrame | None = None) -> DataFrame:
+    """Transactions of lines (path, page, line_no, line), or of those of them in `among`; the period is in the lines of the first page."""
     one = lines.where("page = 1").groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("first_page"))
     periods = one.select("path", period(F.col("first_page"), F.col("path")).alias("period"))
-    rows = lines.where(is_transaction_line(F.col("line"))).join(periods, "path", "left")
+    rows = (lines if among is None else among).where(is_transaction_line(F.col("line"))).join(periods, "path", "left")
     line = F.trim("line")
     short = line.rlike(SHORT_LINE)
     part = lambda i: F.regexp_extract(line, SHORT_LINE, i)
@@ -68,7 +69,7 @@ def transactions(lines: DataFrame, this_year: int) -> DataFrame:
     # the short form's sign words are sought in the raw description, the general form's in the cleaned one
     signed = statement_sign(amount, F.when(short, part(2)).otherwise(rest))
     out = rows.select(
-        F.col("path").alias("source_file"), (F.col("page") * 100_000 + F.col("line_no")).cast("int").alias("line_no"), F.when(short, short_date).otherwise(dates.normalize_date(found_date)).alias("date"),
+        F.col("path").alias("source_file"), "line_no", F.when(short, short_date).otherwise(dates.normalize_date(found_date)).alias("date"),
         signed.cast("decimal(18,2)").alias("amount"), F.when(short, text.clean_description(part(2))).otherwise(rest).alias("description"),
         paths.account(F.col("path")).alias("account"), paths.institution(F.col("path")).alias("institution"), F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("decimal(18,2)").alias("balance"),
     )
@@ -86,7 +87,7 @@ def table_columns(header: list[str | None]) -> dict[str, int] | None:
 
 
 def table_transactions(tables: DataFrame) -> DataFrame:
-    """Transactions of table rows (path, page, table_no, row_no, header array, cells array): of tables whose header names a date and an
+    """Transactions of table rows (path, page, line_no, header array, cells array), with page: of tables whose header names a date and an
     amount, rows that have both. The header's layouts are few, so each is found once per distinct header, by a join."""
     columns = F.udf(lambda header: table_columns(header or []), "map<string,int>")
     layouts = tables.select("header").distinct().withColumn("at", columns("header")).where("at is not null")
@@ -95,7 +96,7 @@ def table_transactions(tables: DataFrame) -> DataFrame:
     raw = F.coalesce(cell("description"), F.lit(""))
     amount = amounts.normalize_amount(F.trim(cell("amount")))
     out = rows.where((F.coalesce(cell("date"), F.lit("")) != "") & (F.coalesce(cell("amount"), F.lit("")) != "")).select(
-        F.col("path").alias("source_file"), (F.col("page") * 100_000 + F.col("table_no") * 1_000 + F.col("row_no")).cast("int").alias("line_no"), dates.normalize_date(F.trim(cell("date"))).alias("date"),
+        F.col("path").alias("source_file"), "page", "line_no", dates.normalize_date(F.trim(cell("date"))).alias("date"),
         statement_sign(amount, raw).cast("decimal(18,2)").alias("amount"), text.clean_description(raw).alias("description"), paths.account(F.col("path")).alias("account"), paths.institution(F.col("path")).alias("institution"),
         F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("string").alias("category"), amounts.normalize_amount(F.nullif(F.trim(cell("balance")), F.lit(""))).alias("balance"),
     )
@@ -113,17 +114,20 @@ def pattern_hits(lines: DataFrame) -> DataFrame:
     return lines.select("path", "page", "line_no", every(DATES).alias("dates"), every(AMOUNTS).alias("amounts")).where("size(dates) + size(amounts) > 0")
 
 
-def extracted(files: DataFrame) -> DataFrame:
-    """Lines (path, page, line_no, line) of PDF files (path, content). Needs the optional package pdfplumber on the executors."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pdfplumber
-
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with pdfplumber.open(io.BytesIO(content)) as pdf:
-                    for page in pdf.pages:
-                        lines = (page.extract_text() or "").split("\n")
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines)), pa.array([page.page_number] * len(lines), pa.int32()), pa.array(range(len(lines)), pa.int32()), pa.array(lines)], ["path", "page", "line_no", "line"])
-
-    return files.select("path", "content").mapInArrow(work, "path string, page int, line_no int, line string")
+def statements(files: DataFrame, this_year: int) -> DataFrame:
+    """Transactions and problems of PDF files (path, content): of each page those of its tables, and of its lines only if no table gives any.
+
+    A file that can't be read, or has less than LEAST_TEXT characters on its first page, gives one bad row. Files are read once, to a table."""
+    found = materialise(pdf.read(files))
+    lines = found.where("kind = 'line'").select("path", "page", "line_no", "line")
+    rows = materialise(table_transactions(found.where("kind = 'row'")))
+    good = rows.where("problem is null").select(F.col("source_file").alias("path"), "page").distinct()
+    from_tables = rows.join(good.withColumnRenamed("path", "source_file"), ["source_file", "page"], "left_semi").drop("page")
+    from_lines = transactions(lines, this_year, lines.join(good, ["path", "page"], "left_anti"))
+    text = F.sum(F.when((F.col("page") == 1) & (F.col("kind") == "line"), F.length("line") + 1))
+    about = found.groupBy("path").agg(F.max(F.when(F.col("kind") == "error", F.col("line"))).alias("error"), text.alias("text"))
+    bad = about.select("path", F.coalesce("error", F.when(F.coalesce("text", F.lit(0)) - 1 < LEAST_TEXT, "no readable text")).alias("problem")).where("problem is not null")
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("date", "date"), ("amount", "decimal(18,2)"), *[(c, "string") for c in ("description", "account", "institution", "transaction_id", "category")], ("balance", "decimal(18,2)"))]
+    unread = bad.select(F.col("path").alias("source_file"), F.lit(0).alias("line_no"), *nothing, "problem")
+    given = from_tables.unionByName(from_lines).join(bad.select(F.col("path").alias("source_file")), "source_file", "left_anti")
+    return given.unionByName(unread)

@@ -121,9 +121,10 @@ def test_pdf_tables(spark):
         ("raw/chase/statements-8147-.pdf", 2, 0, 2, ["Posting Date", "Payee", "Credit"], ["2024-10-16"]),
         ("raw/chase/statements-8147-.pdf", 2, 0, 3, None, None),
     ]
-    df = spark.createDataFrame(rows, "path string, page int, table_no int, row_no int, header array<string>, cells array<string>")
+    rows = [(path, page, n, header, cells) for n, (path, page, _, _, header, cells) in enumerate(rows, 1)]
+    df = spark.createDataFrame(rows, "path string, page int, line_no int, header array<string>, cells array<string>")
     got = [(r["line_no"], str(r["date"]), str(r["amount"]), str(r["balance"]), r["account"]) for r in pdf_lines.table_transactions(df).orderBy("line_no").collect()]
-    assert got == [(100_001, "2024-10-15", "-3.50", "100.00", "8147"), (200_001, "2024-10-16", "20.00", "None", "8147")]
+    assert got == [(1, "2024-10-15", "-3.50", "100.00", "8147"), (4, "2024-10-16", "20.00", "None", "8147")]
     assert pdf_lines.table_transactions(df.limit(0)).count() == 0
 
 
@@ -146,7 +147,7 @@ def test_formats_and_ofx(spark, raw):
 
 
 def test_pdf_lines(spark):
-    lines = [(1, 0, "Opening/Closing Date 12/19/23 - 01/18/24"), (1, 1, "12/20 Amazon.com Amzn.com/bill WA -3.86"), (1, 2, "01/02 AMAZON MKTPL*X 52.20"), (1, 3, "This is just regular text"), (2, 1, "2024-01-05 Purchase at store $25.99")]
+    lines = [(1, 0, "Opening/Closing Date 12/19/23 - 01/18/24"), (1, 1, "12/20 Amazon.com Amzn.com/bill WA -3.86"), (1, 2, "01/02 AMAZON MKTPL*X 52.20"), (1, 3, "This is just regular text"), (2, 4, "2024-01-05 Purchase at store $25.99")]
     df = spark.createDataFrame([("raw/chase/statements-8147-.pdf", *x) for x in lines], "path string, page int, line_no int, line string")
     got = [(str(r["date"]), str(r["amount"]), r["account"], r["institution"]) for r in pdf_lines.transactions(df, 2030).orderBy("line_no").collect()]
     assert got == [("2023-12-20", "3.86", "8147", "Chase"), ("2024-01-02", "-52.20", "8147", "Chase"), ("2024-01-05", "-25.99", "8147", "Chase")]

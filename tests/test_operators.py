@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.model import TRANSACTION
 from tallyspark.operators import dedup, duplicates, monthly, signs, stats, transfers, validate
 from tallyspark.operators import graph
-from tallyspark.operators.graph import components, greedy_matching
+from tallyspark.operators.graph import components
 from tallyspark.plugins import Parser, Registry
 from tallyspark.sources.accounts import Config, load_config, parse_accounts
 
@@ -53,39 +53,6 @@ def test_internal_pairs_are_greedy(spark):
     assert [(r["sent"]["txn_seq"], r["received"]["txn_seq"], r["days"]) for r in transfers.internal_transfer_pairs(df).collect()] == [(1, 3, 1)]
 
 
-@pytest.mark.parametrize("most", [10**6, 3])
-def test_greedy_matching_is_the_loop(spark, monkeypatch, most):
-    monkeypatch.setattr(graph, "PART_EDGES", most)
-    rng = random.Random(3)
-    for trial in range(4 if most > 3 else 2):
-        edges = [(a, 100 + b, rng.randrange(5)) for a in range(12) for b in range(12) if rng.random() < 0.3]
-        used, want = set(), []
-        for a, b, s in sorted(edges, key=lambda e: (e[0], e[2], e[1])):
-            if a not in used and b not in used:
-                used |= {a, b}
-                want.append((a, b))
-        df = spark.createDataFrame(edges, "a long, b long, score int").repartition(3)
-        got = greedy_matching(df, ["a", "score", "b"]).select("a", "b")
-        assert sorted(map(tuple, got.collect())) == sorted(want), trial
-
-
-def test_large_parts_are_cut_at_gaps(spark, monkeypatch):
-    rng = random.Random(5)
-    day = lambda x: D(2024, 1, 1) + dt.timedelta(int(x))
-    nodes = [(i, rng.choice([0, 1, 2, 20, 21, 22, 40])) for i in range(60)]
-    edges = [(a, b, day(x), day(y)) for a, x in nodes for b, y in nodes if a < b and (a + b) % 2 and abs(x - y) <= 3]
-    used, want = set(), []
-    for a, b, *_ in sorted(edges):
-        if a not in used and b not in used:
-            used |= {a, b}
-            want.append((a, b))
-    df = spark.createDataFrame(edges, "a long, b long, x date, y date").withColumn("amount", F.lit(1))
-    for most in (10**6, 200, 40):
-        monkeypatch.setattr(graph, "PART_EDGES", most)
-        got = greedy_matching(df, ["a", "b"], part="amount", span=("least(x, y)", "greatest(x, y)")).select("a", "b")
-        assert sorted(map(tuple, got.collect())) == want, most
-
-
 @pytest.mark.parametrize("most", [10**6, 4])
 def test_components(spark, monkeypatch, most):
     monkeypatch.setattr(graph, "STAR_ROWS", most)
