@@ -5,16 +5,17 @@ SAMPLE_DOCS labelled texts (chosen by a hash of doc_id; the bound of the broadca
 the prior's log odds plus the mean log odds of its words, weighted as EVIDENCE words at most, so that long texts stay soft.
 
 The rates r >= 0 minimise f = sum over domains k of (E_k - T_k)^2 / D_k, where E_k = sum of r * tokens * posterior_k is the
-expected token total, T_k the target and D_k the total at r = 1. Projected gradient from r = 1: r <- max(0, r - sum_k posterior_k * g_k).
-The gradient is scaled by the curvature of the totals, g = H^-1 (E - T) with H_jk = sum of tokens * posterior_j * posterior_k over the
-documents whose rate is above 0, so a step without documents at 0 meets the targets at once. Where this doesn't lessen f by
-PROGRESS of it, a quarter of it is tried, then 64, 8 and 1 times the plain step g_k = (E_k - T_k) / D_k (1 is the largest curvature in
-this metric, as posteriors sum to 1). The fit ends when all totals are CLOSE to their targets, or else when no step lessens f so: then the targets lie beyond what
-rates can reach, as those of a domain that no document is sure not to belong to. The returned gap, the largest |E_k - T_k| as a part
+expected token total, T_k the target and D_k the total at r = 1; of the rates that do, those nearest to 1: RIDGE times the sum of tokens * (r - 1)^2 is
+added to f. Projected gradient with lazy projection: from l = 0 gradient steps are summed up in l, and r = max(0, 1 - sum_k posterior_k * l_k) is always
+the projection of the whole sum, not of the last step. The gradient in l is E - T - RIDGE * D * l. It is scaled by its curvature, H + RIDGE * D
+with H_jk = sum of tokens * posterior_j * posterior_k over the documents whose rate is above 0, so a step without documents at 0 meets the targets at once;
+where a step doesn't lessen the function whose gradient this is (it is convex in l, and has its minimum where f with the ridge has), a quarter of it is tried. The fit
+ends when all totals are CLOSE to their targets, or when the gradient is 0 but for FLAT of all tokens: then no rates come nearer, and the targets lie beyond what rates can
+reach, as those of a domain that no document is sure not to belong to. The returned gap, the largest |E_k - T_k| as a part
 of all tokens, says by how much they are missed, and `mixed` warns of it.
 
-A document's rate follows from its posterior and the steps so far, so a step is one pre-aggregated pass over a table of a few
-numbers per document, which returns one row.
+A document's rate follows from its posterior and l, so a step is one pre-aggregated pass over a table of a few
+numbers per document, which returns one row. About a dozen steps reach the minimum; STEPS bounds them.
 
 Null and empty texts have no tokens, the prior as posterior, and take the rate that follows from it. Without labelled rows all
 priors are equal. Labels that are null in both columns are ignored; a doc_id labelled twice counts twice. Repeated rows count
@@ -36,7 +37,7 @@ from .common import fitting, fresh, materialise
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.93, "low": 0.06, "toxic": 0.01}
 SAMPLE_DOCS, BUCKETS, EVIDENCE = 8_000, 4_096, 40
-CLOSE, PROGRESS = 1e-4, 0.05
+CLOSE, FLAT, RIDGE, STEPS = 1e-4, 1e-6, 1e-8, 100
 P = [f"p_{d}" for d in DOMAINS]
 
 
@@ -92,45 +93,47 @@ def posteriors(docs: DataFrame, prior: list[float], odds: list[list[float]]) ->
     return powers.select("doc_id", "tokens", *[(F.col("e")[k] / total).alias(p) for k, p in enumerate(P)])
 
 
-def rate(steps: list[list[float]]) -> Column:
-    """A document's rate after the steps, from its posteriors."""
-    out = F.lit(1.0)
-    for step in steps:
-        out = F.greatest(F.lit(0.0), out - sum((F.col(p) * float(x) for p, x in zip(P[1:], step[1:], strict=True)), F.col(P[0]) * float(step[0])))
-    return out
+def rate(steps: list[float]) -> Column:
+    """A document's rate by the summed steps, from its posteriors."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(p) * float(x) for p, x in zip(P[1:], steps[1:], strict=True)), F.col(P[0]) * float(steps[0])))
 
 
-def fit(scored: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> tuple[list[list[float]], float]:
-    """The gradient steps that lead to the targets (weights of DOMAINS, of a budget of tokens; all there are, by default), and the gap."""
+def fit(scored: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> tuple[list[float], float]:
+    """The summed gradient steps that lead to the targets (weights of DOMAINS, of a budget of tokens; all there are, by default), and the gap."""
     targets, n = targets or TARGETS, len(DOMAINS)
     pairs = [(j, k) for j in range(n) for k in range(j, n)]
 
-    def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        rows = scored.select("tokens", *P, rate(steps).alias("rate"))
+    def totals(l: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:  # noqa: E741
+        """Expected totals, curvature, and half the sum of tokens * rate^2."""
+        rows = scored.select("tokens", *P, rate(l.tolist()).alias("rate"))
         curvature = [F.sum(F.when(F.col("rate") > 0, F.col("tokens") * F.col(P[j]) * F.col(P[k]))) for j, k in pairs]
-        row = [float(x or 0.0) for x in rows.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col(p)) for p in P], *curvature).first()]
+        row = [float(x or 0.0) for x in rows.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col(p)) for p in P], *curvature, F.sum(F.col("tokens") * F.col("rate") * F.col("rate"))).first()]
         h = np.zeros((n, n))
-        for (j, k), x in zip(pairs, row[n:], strict=True):
+        for (j, k), x in zip(pairs, row[n:-1], strict=True):
             h[j, k] = h[k, j] = x
-        return np.array(row[:n]), h
+        return np.array(row[:n]), h, row[-1] / 2
 
-    steps: list[list[float]] = []
-    now, h = totals(steps)
+    steps = np.zeros(n)
+    now, h, half = totals(steps)
     base = np.maximum(now, 1e-9)
-    size = float(now.sum()) if budget is None else budget
+    tokens = float(now.sum())
+    size = tokens if budget is None else budget
     goal = size * np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
-    miss = lambda e: float(((e - goal) ** 2 / base).sum())
     gap = lambda e: float(np.abs(e - goal).max()) / size if size else 0.0
-    while gap(now) > CLOSE:
-        scaled, plain = np.linalg.lstsq(h, now - goal, rcond=1e-9)[0], (now - goal) / base
-        for step in (scaled, scaled / 4, 64 * plain, 8 * plain, plain):
-            new, curve = totals([*steps, step.tolist()])
-            if miss(new) <= (1 - PROGRESS) * miss(now):
-                steps, now, h = [*steps, step.tolist()], new, curve
-                break
-        else:
+    value = lambda l, half: half + float(goal @ l + RIDGE / 2 * (base * l * l).sum())  # noqa: E731, E741
+    for _ in range(STEPS if tokens else 0):
+        gradient = now - goal - RIDGE * base * steps
+        if gap(now) <= CLOSE or np.abs(gradient).max() <= FLAT * tokens:
             break
-    return steps, gap(now)
+        step = np.linalg.solve(h + np.diag(RIDGE * base + 1e-12 * tokens), gradient)
+        part = 1.0
+        while True:
+            there = totals(steps + part * step)
+            if value(steps + part * step, there[2]) <= value(steps, half) - 1e-4 * part * float(gradient @ step) or part < 1e-6:
+                break
+            part /= 4
+        steps, (now, h, half) = steps + part * step, there
+    return steps.tolist(), gap(now)
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
