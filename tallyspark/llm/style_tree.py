@@ -26,7 +26,7 @@ nodes and texts; no group is held. A page gets its host's low nodes, whose numbe
 
 Null html gives an empty text; a null url, or one without host, belongs to the host of no name. Broken markup is read leniently:
 unclosed elements end with their parent, an unfinished tag at the end is dropped, an element of no text that is never closed hides
-nothing. Repeated rows give equal results; very long pages are read whole; an empty table gives an empty result. Texts with equal
+nothing (an unclosed script or style only what stands before the next tag). Repeated rows give equal results; very long pages are read whole; an empty table gives an empty result. Texts with equal
 counts weigh alike, so there are no ties. Other columns are ignored, whatever their names.
 """
 
@@ -62,6 +62,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^>])*+)>|<[!?][^>]*>|<[/a-zA-Z!?][^>]*\Z""", re.S)
+_CLOSING = re.compile(rf"</({'|'.join(sorted(DROPPED))})(?=[\s/>])", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -107,8 +108,9 @@ class Page:
         stack, tags, parts = [0], [""], []
         at, end, skip = 0, len(html), ""
         inline, depth = "", 0  # a marked element inside a line, which hides its text
-        low = html.lower()
-        closed = {tag: low.rfind(f"</{tag}") for tag in DROPPED}
+        closed = dict.fromkeys(DROPPED, -1)
+        for m in _CLOSING.finditer(html):
+            closed[m[1].lower()] = m.start()
 
         def flush() -> None:
             if parts:
@@ -196,12 +198,27 @@ class Page:
         return [i for i, m in enumerate(self.main) if m and not self.main[self.parent[i]]]
 
 
-_RAW = re.compile(r"<(script|style|textarea|title)\b(?>\"[^\"]*\"|'[^']*'|[^>])*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])(?>\"[^\"]*\"|'[^']*'|[^>])*+>", re.S | re.I)
+_TAG = re.compile("<[/!]?[a-zA-Z-]")
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "textarea", "title")}
 
 
 def _raw_text(html: str) -> str:
-    """Script and style content would be read as markup: their bodies go before the page is read."""
-    return _RAW.sub(r"<\1></\1>", html)
+    """html without comments and without what elements hold whose content isn't markup (such as scripts). One scan, as each hides the other's signs; of
+    such an element that is never closed only the tag goes, of a script or style also what follows up to the next tag."""
+    out, at, open_ = [], 0, dict.fromkeys(_ENDS, True)
+    while m := _RAW.search(html, at):
+        out.append(html[at : m.start()])
+        at = m.end()
+        if tag := (m[1] or "").lower():
+            end = _ENDS[tag].search(html, at) if open_[tag] else None
+            if end:
+                out.append(f"<{tag}></{tag}>")
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = m.start() if (m := _TAG.search(html, at)) else len(html)
+            open_[tag] = bool(end)
+    return "".join([*out, html[at:]])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from .common import matrix
 
-#: Vectors from which an index is learned, at most, chosen by a hash of vec_id.
-SAMPLE = 20_000
+#: Vectors from which an index is learned, at most, chosen by a hash; and where the hash chooses none.
+SAMPLE, FEWEST = 20_000, 1_000
 
 
 def stored(vectors: DataFrame) -> type:
@@ -60,9 +60,13 @@ def dimension(vectors: DataFrame) -> int:
 
 
 def sample(vectors: DataFrame, n: int, dim: int, kind: type, key: str = "vec_id", most: int = SAMPLE) -> np.ndarray:
-    """At most about `most` of n vectors (key, v), in the order of their keys."""
-    drawn = vectors.where(F.pmod(F.xxhash64(key, F.lit(2)), F.lit(1_000_000)) < min(1.0, most / max(n, 1)) * 1_000_000).select(key, "v").limit(2 * most)
-    rows = drawn.toPandas().sort_values([key, "v"])
+    """At most about `most` of n vectors (key, v), in the order of their keys; chosen by a hash of key and vector, so that rows which repeat a key
+    are drawn apart. If the hash draws nothing, those of the smallest hashes are taken: only a table without rows gives none."""
+    hash_ = F.pmod(F.xxhash64(key, "v", F.lit(2)), F.lit(1_000_000))
+    drawn = vectors.where(hash_ < min(1.0, most / max(n, 1)) * 1_000_000).select(key, "v").limit(2 * most).toPandas()
+    if drawn.empty:
+        drawn = vectors.select(key, "v").orderBy(hash_, key, "v").limit(FEWEST).toPandas()
+    rows = drawn.sort_values([key, "v"])
     return matrix(pa.array(rows["v"], pa.binary()), kind, dim).astype(np.float64) if len(rows) else np.zeros((0, dim))
 
 

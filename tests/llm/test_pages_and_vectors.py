@@ -106,6 +106,12 @@ def test_copies_of_a_page_do_not_make_it_a_menu(spark):
         ("<main><h1>H</h1><p>t</p></main><p>beside</p>", "H t"),
         ("<P>UP</P><DIV CLASS=AD>x</DIV>", "UP"),
         ("<pre>a\n   b</pre><blockquote>q</blockquote>", "a b q"),
+        ("<article><p>Keep one</p><!-- old: <script> --><p>Keep two</p></article>", "Keep one Keep two"),
+        ("<html><head><title>Never closed<body><article><p>All of it</p></article>", "All of it"),
+        ("<article><p>one</p><textarea><p>two</p></article>", "one two"),
+        ("<article><p>one</p><script>var a = '<!--';</script><p>two</p><style>p {}<p>three</p></article>", "one two three"),
+        ("<p>İİİİ</p><svg><p>x</p>", "İİİİ x"),
+        ("<p>a</p><titles>b</titles>", "a b"),
         ("plain text", "plain text"),
         ("", ""),
         ("<a href='x", ""),
@@ -235,6 +241,18 @@ def test_nearest_neighbours(spark, vectors, monkeypatch):
     assert multi_index.neighbours(df.limit(0), "vec_id % 20 = 0").count() == 0
 
 
+def test_many_rows_of_few_ids(spark):
+    """60,000 rows that share three ids, some of them equal: no id's hash decides whether an index is learned, and all queries are answered."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60_000, 8))
+    x[:20_000] = x[0]
+    df = spark.createDataFrame([(20 * int(i % 3), v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = multi_index.neighbours(df, "vec_id % 20 = 0").collect()
+    assert len(got) == 60 and {r["query_id"] for r in got} == {0, 20, 40} and all(r["query_id"] != r["vec_id"] for r in got)
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in (0, 1)] * 40_000, "vec_id long, embedding array<float>")
+    assert [r["rank"] for r in multi_index.neighbours(same, "vec_id % 20 = 0").orderBy("rank").collect()] == list(range(1, 21))
+
+
 @pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
 def test_recall_on_given_vectors(spark, folder):
     given = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
