@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import sinks, state
 from .operators import problems, stats
-from .pipeline import batches, consolidate, ingest
+from .pipeline import batches, consolidate, consolidated, ingest
 from .sources.accounts import accounts, load_config
 from .sources.files import scan
 
@@ -55,7 +55,8 @@ def _existing(spark: SparkSession, known: DataFrame) -> DataFrame:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame | None:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tallyspark").getOrCreate()
-    now, known = dt.datetime.now(), state.load(spark, a.state)
+    now, log = dt.datetime.now(), state.Log(spark, a.state)
+    known = log.read()
     if a.command == "process":
         config, wrong = load_config(a.config)
         for problem in wrong:
@@ -66,8 +67,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
             if got is None:
                 continue
             sinks.write_canonical(got.transactions, a.out)
-            state.save(state.upserted(known, got.results), a.state)
-            known = state.load(spark, a.state)
+            log.append(got.results.unionByName(got.touched))
+            known = log.read()
             done = got.results if done is None else done.unionByName(got.results)
             errors = got.errors if errors is None else errors.unionByName(got.errors)
         if done is None:
@@ -78,7 +79,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
             sinks.write_json(problems.report(errors), f"{a.errors}/report")
         out = stats.batch_summary(done)
     elif a.command == "import":
-        sinks.write_consolidated(out := consolidate(spark, a.data), a.out)
+        table, out = consolidated(spark, a.data)
+        sinks.write_consolidated(table, a.out)
     elif a.command == "report":
         html = sinks.html_report(consolidate(spark, a.data), details=f"{a.out.rstrip('/')}-rows")
         spark.createDataFrame([(html,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(a.out)
@@ -88,7 +90,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     elif a.command == "history":
         out = state.history(known, now, a.days, a.institution)
     else:
-        state.save(out := state.cleaned(known, _existing(spark, known), now, a.days), a.state)
+        log.replace(out := state.cleaned(known, _existing(spark, known), now, a.days))
     out.show(50, truncate=False)
     return out
 

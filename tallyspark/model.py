@@ -18,7 +18,7 @@ TRANSACTION = _struct(
     transaction_id=_S, category=_S, balance=MONEY, account_name=_S, account_type=_S,
 )
 ACCOUNT = _struct(institution=_S, account_id=_S, account_name=_S, account_type=_S, description=_S)
-FILE_STATE = _struct(file_path=_S, file_hash=_S, last_processed=T.TimestampType(), output_file=_S, transaction_count=_L, success=_B, processing_time=_D, file_size=_L, institution=_S)
+FILE_STATE = _struct(file_path=_S, file_hash=_S, last_processed=T.TimestampType(), output_file=_S, transaction_count=_L, success=_B, processing_time=_D, file_size=_L, institution=_S, modified=T.TimestampType())
 ERROR = _struct(code=_S, severity=_S, category=_S, message=_S, file_path=_S, line=_L, context=T.MapType(_S, _S))
 
 # Columns of the canonical files, in order.

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import stripped
 from ..functions.text import signature_text
+from .graph import materialise
 
 GAP_DAYS = 3
+#: Accounts that are broadcast, at most.
+FEW = 500_000
 SIGNATURE = ["abs_amount", "norm_description", "account_key"]
 
 
@@ -133,8 +136,11 @@ def matching_pairs(txns: DataFrame, days: int = GAP_DAYS) -> DataFrame:
 def import_merged(txns: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
     """The importer's removal: fuzzy, then account names: a merged row takes the first enrichment of its institution and account in
     input order, others keep their own; the account and `debit` where there is none."""
-    first = F.first(F.struct("account_name", "account_type"), ignorenulls=True).over(W.partitionBy(F.lower("institution"), "account").orderBy("txn_seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    out = fuzzy(txns.withColumn("__first", first), gap_days)
+    names = txns.groupBy(F.lower("institution").alias("__inst"), F.col("account").alias("__account")).agg(F.min_by(F.struct("account_name", "account_type"), "txn_seq").alias("__first"))
+    names = materialise(names)
+    names = F.broadcast(names) if names.count() <= FEW else names
+    same = F.lower("institution").eqNullSafe(F.col("__inst")) & F.col("account").eqNullSafe(F.col("__account"))
+    out = fuzzy(txns, gap_days).join(names, same, "left")
     merged = F.col("cluster_size") > 1
     pick = lambda c, other: F.coalesce(F.when(merged, F.col(f"__first.{c}")).otherwise(F.col(c)), other)
     return out.withColumns({"account_name": pick("account_name", F.col("account")), "account_type": pick("account_type", F.lit("debit"))}).select(*txns.columns)

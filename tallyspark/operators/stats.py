@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .graph import materialise
+
 MONEY = "decimal(18,2)"
 
 
-def dataset_summary(txns: DataFrame) -> DataFrame:
+def _dataset() -> list[Column]:
     money = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(MONEY)
-    return txns.agg(
+    return [
         F.count("*").alias("transactions"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         money(F.when(F.col("amount") < 0, F.col("amount"))).alias("spending"), money(F.when(F.col("amount") > 0, F.col("amount"))).alias("income"), money(F.col("amount")).alias("net"),
-    )
+    ]
+
+
+def dataset_summary(txns: DataFrame) -> DataFrame:
+    return txns.agg(*_dataset())
+
+
+def summarised(txns: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
+    """dataset_summary of txns, collected while `write` writes them: no second scan. write must compute its input once."""
+    seen = Observation(f"summary-{uuid.uuid4().hex}")
+    write(txns.observe(seen, *_dataset()))
+    return txns.sparkSession.createDataFrame([tuple(seen.get.values())], dataset_summary(txns).schema)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """df, and the observation whose `n` is the number of its rows once something has computed it."""
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
 
 
 def counts_by(txns: DataFrame, column: str) -> DataFrame:
@@ -29,10 +51,13 @@ def id_frequency(txns: DataFrame) -> DataFrame:
     return txns.where("transaction_id is not null and transaction_id <> ''").groupBy("transaction_id").agg(F.count("*").alias("times")).where("times > 1")
 
 
-def import_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
-    """input_count, final_count, removed_count."""
-    n = before.agg(F.count("*").alias("input_count")).withColumn("k", F.lit(1)).join(after.agg(F.count("*").alias("final_count")).withColumn("k", F.lit(1)), "k")
-    return n.select("input_count", "final_count", (F.col("input_count") - F.col("final_count")).alias("removed_count"))
+def import_statistics(before: DataFrame, removal: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """A removal's result as a table, and (input_count, final_count, removed_count), counted while that is written."""
+    given, seen = counted(before)
+    after, kept = counted(removal(given))
+    table = materialise(after)
+    n, left = seen.get["n"], kept.get["n"]
+    return table, before.sparkSession.createDataFrame([(n, left, n - left)], "input_count long, final_count long, removed_count long")
 
 
 def batch_summary(files: DataFrame) -> DataFrame:

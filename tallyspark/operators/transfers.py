@@ -10,6 +10,7 @@ from ..functions.amounts import tolerance_score
 from ..functions.dates import business_days, days_apart, month_key
 from ..functions.text import has_any, literal
 from .graph import materialise
+from .hot import dealt_join
 from .matching import EqualParts, NearAmounts, matched, ranked_days
 from .ranks import placed
 
@@ -40,7 +41,7 @@ def _lagged(txns: DataFrame, most: int) -> DataFrame:
     a = side.select("abs_amount", F.col("t").alias("a"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     b = side.select("abs_amount", F.col("t").alias("b"), "bucket")
     lag = business_days(F.col("a.date"), F.col("b.date"))
-    return a.join(b, ["abs_amount", "bucket"]).where((F.col("a.txn_seq") < F.col("b.txn_seq")) & (F.signum("a.amount") * F.signum("b.amount") < 0) & (lag <= most)).withColumn("lag", lag)
+    return dealt_join(a, b, ["abs_amount", "bucket"], "a.txn_seq").where((F.col("a.txn_seq") < F.col("b.txn_seq")) & (F.signum("a.amount") * F.signum("b.amount") < 0) & (lag <= most)).withColumn("lag", lag)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

@@ -57,8 +57,8 @@ def repeated_rows(rows: DataFrame, columns: list[str], order: str = "txn_seq") -
     return rows.withColumn("duplicate", F.row_number().over(W.partitionBy(*columns).orderBy(order)) > 1)
 
 
-def written_errors(rows: DataFrame, columns: list[str] | None = None, most: int = 100) -> DataFrame:
-    """Up to `most` + 1 rows of a written file (all strings) that have errors, with the messages; order: line.
+def written_errors(rows: DataFrame, columns: list[str] | None = None, most: int | None = 100) -> DataFrame:
+    """Up to `most` + 1 rows (all, if most is None) of a written file (all strings) that have errors, with the messages; order: line.
 
     Checked: date, amount and balance formats, no more than two decimals, required fields, ids of three characters or more, the
     account type, and rows that stand twice."""
@@ -78,4 +78,5 @@ def written_errors(rows: DataFrame, columns: list[str] | None = None, most: int
         (~value("account_type").isin("debit", "credit") if "account_type" in columns else F.lit(False), "Invalid account type"),
         (F.col("duplicate"), "Duplicate row detected"),
     )
-    return v.withColumn("errors", e).where(F.size("errors") > 0).orderBy("line").limit(most + 1)
+    found = v.withColumn("errors", e).where(F.size("errors") > 0).orderBy("line")
+    return found if most is None else found.limit(most + 1)

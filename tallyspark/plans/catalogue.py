@@ -14,7 +14,8 @@ from ..functions.categories import category
 from .. import sinks, state
 from ..operators import dedup, duplicates, enrich, monthly, problems, signs, stats, transfers, validate
 from ..operators.graph import shared_dir
-from ..sources import canonical, csv_files, ofx, pdf, pdf_lines
+from ..plugins import Parser, built_in
+from ..sources import canonical, csv_files, datasource, ofx, pdf, pdf_lines
 from ..sources import files as file_sources
 from . import oracles, statements
 from .views import events, orders, read, strings
@@ -183,8 +184,14 @@ def dedup_stats(spark, sf_dir):
 
 @query
 def import_stats(spark, sf_dir):
-    rows = events(spark, sf_dir)
-    return stats.import_statistics(rows, dedup.import_merged(rows))
+    return stats.import_statistics(events(spark, sf_dir), dedup.import_merged)[1]
+
+
+@query
+def summary_beside_the_write(spark, sf_dir):
+    """The data set's summary, collected while its rows are written."""
+    out = stats.summarised(orders(spark, sf_dir), lambda rows: rows.write.parquet(_scratch(spark, "summary")))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")})
 
 
 @query
@@ -562,3 +569,135 @@ def total_files(spark, sf_dir):
     sinks.write_total(duplicates.total_builder(events(spark, sf_dir)), folder)
     back = canonical.combined(spark, f"{folder}/all_transactions")
     return back.groupBy("institution").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(18,2)").alias("total"), F.count("balance").alias("balances"))
+
+
+def _files_in(spark, sf_dir, view, name):
+    """The files (path, content) of a view, written to a folder."""
+    folder = _scratch(spark, name)
+    datasource.register(spark)
+    files = spark.sql(view, orders=read(spark, sf_dir, "orders"))
+    files.select("path", F.col("content").cast("binary").alias("content")).write.format("tally_files").mode("append").save(folder)
+    return folder
+
+
+def _loaded(spark, kind, folder):
+    datasource.register(spark)
+    return spark.read.format(kind).load(folder)
+
+
+@query
+def csv_source(spark, sf_dir):
+    """Bank exports in three layouts, one without amounts, through the CSV data source."""
+    rows = _loaded(spark, "tally_csv", _files_in(spark, sf_dir, oracles.CSV_FILES, "csv"))
+    return datasource.transactions(rows, "tally_csv", AS_OF_YEAR).select(_name("source_file"), F.col("line_no").cast("long").alias("line_no"), _day(), "amount", "description", "balance", "transaction_id", "account", "institution", "problem")
+
+
+def _name(column):
+    return F.regexp_extract(column, r"(raw/.*)$", 1).alias(column)
+
+
+@query
+def ofx_source(spark, sf_dir):
+    """OFX files through the data source, of which a condition on the path leaves a part to read."""
+    folder = _files_in(spark, sf_dir, oracles.OFX, "ofx")
+    rows = _loaded(spark, "tally_ofx", folder).where(F.col("source_file").startswith(f"{datasource.plain(folder)}/raw/first_tech/export_1"))
+    return datasource.transactions(rows, "tally_ofx", AS_OF_YEAR).select(_name("source_file"), "transaction_id", _day(), "amount", "description", "account", "institution", "problem")
+
+
+@query
+def pdf_source(spark, sf_dir):
+    """PDF statements through the data source: written as files, read again."""
+    folder = _scratch(spark, "pdf")
+    datasource.register(spark)
+    _statements(spark, sf_dir).write.format("tally_files").mode("append").save(folder)
+    rows = datasource.transactions(_loaded(spark, "tally_pdf", folder), "tally_pdf", AS_OF_YEAR)
+    return rows.groupBy(_name("source_file")).agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(18,2)").alias("total"), F.min("date").cast("string").alias("first_date"), F.count("problem").alias("problems"))
+
+
+@query
+def scan_supported(spark, sf_dir):
+    """Files of two folders that are supported and not empty, with their formats by content."""
+    folder = _files_in(spark, sf_dir, oracles.MIXED_FILES, "mixed")
+    found = file_sources.supported(file_sources.scan(spark, [f"{folder}/raw/a", f"{folder}/raw/b"]))
+    return file_sources.detected(found).select(_name("path"), "length", "format")
+
+
+@query
+def scan_by_ending(spark, sf_dir):
+    """Files of one ending in any case, of the folder itself."""
+    folder = _files_in(spark, sf_dir, oracles.MIXED_FILES, "ending")
+    return file_sources.scan(spark, [f"{folder}/raw/a/deep"], recursive=False, ending="qfx").select(_name("path"), "length")
+
+
+@query
+def lenient_reader(spark, sf_dir):
+    """Canonical files with rows without a good date, read leniently."""
+    folder = _scratch(spark, "lenient")
+    rows = events(spark, sf_dir)
+    sinks.write_canonical(rows.withColumn("date", F.when(F.col("txn_seq") % 7 != 0, F.col("date"))), folder)
+    back = canonical.read_lenient(spark, canonical.discovered(spark, folder))
+    return back.groupBy("account", "institution").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(18,2)").alias("total"), F.count("balance").alias("balances"))
+
+
+@query
+def state_log(spark, sf_dir):
+    """The state after three batches, the last of which came twice, and a later batch of some files that failed."""
+    log, files = state.Log(spark, _scratch(spark, "state")), _files(spark, sf_dir)
+    for k in (0, 1, 2, 2):
+        log.append(files.where(f"file_size % 3 = {k}"), "stream", k)
+    log.append(files.where("file_size % 5 = 0").withColumn("success", F.lit(False)).withColumn("transaction_count", F.lit(0)))
+    return log.read().groupBy("institution", "success").agg(F.count("*").alias("files"), F.sum("transaction_count").cast("long").alias("transactions"))
+
+
+@query
+def state_history(spark, sf_dir):
+    """Files of the 10 days up to the last one, of one part of the path, in order of time."""
+    log, files = state.Log(spark, _scratch(spark, "history")), _files(spark, sf_dir)
+    log.append(files.where("file_size % 2 = 0"))
+    log.replace(log.read())
+    log.append(files.where("file_size % 2 = 1"))
+    last = log.read().agg(F.max("last_processed").alias("t")).first()["t"]
+    return state.history(log.read(), last, 10, "in/9").select("file_path", "institution", "transaction_count")
+
+
+@query
+def best_parser(spark, sf_dir):
+    """The parser that each path gets: by ending, institution and priority."""
+    registry = built_in(AS_OF_YEAR)
+    registry.register(Parser("amex", None, (".csv",), 5, ("American Express",)))
+    registry.register(Parser("raw", None, (), 1, (), lambda path: path.startswith("raw/usaa/")))
+    rows = strings(spark, sf_dir).withColumn("institution", paths.institution(F.col("path")))
+    return registry.chosen(rows, F.col("institution")).select("txn_seq", "parser")
+
+
+@query
+def written_file_errors(spark, sf_dir):
+    """Errors of the rows of a written file, all of them."""
+    rows = events(spark, sf_dir)
+    raw = rows.select(F.col("txn_seq").alias("line"), *[F.col(c).cast("string").alias(c) for c in ("amount", "description", "institution", "transaction_id", "balance")]).withColumns({
+        "date": F.expr("case when line % 11 = 0 then '01/02/2024' else '2024-01-02' end"),
+        "amount": F.expr("case when line % 13 = 0 then 'x' when line % 17 = 0 then amount || '0' else amount end"),
+        "account": F.expr("case when line % 19 = 0 then ' ' else 'a' || cast(line as string) end"),
+        "transaction_id": F.expr("case when line % 23 = 0 then 'ab' else transaction_id end"),
+        "account_type": F.expr("case when line % 29 = 0 then 'savings' else 'debit' end"),
+        "account_name": F.col("line").cast("string"), "category": F.lit(""),
+    })
+    found = validate.written_errors(raw, most=None)
+    return found.select("line", F.array_join("errors", "; ").alias("errors"))
+
+
+@query
+def consolidated_export(spark, sf_dir):
+    """The export's parts with the order of their rows checked: by month, rows and sum, and how many rows come before an earlier one."""
+    folder = _scratch(spark, "export")
+    sinks.write_consolidated(events(spark, sf_dir), folder, f"{folder}-one/all.csv")
+    one = spark.read.option("header", True).csv(f"{folder}-one/all.csv")
+    steps = spark.read.json(f"{folder}/_manifest").withColumn("back", (F.lag("last").over(W.orderBy("part")) > F.col("first")).cast("int")).agg(F.coalesce(F.sum("back"), F.lit(0)).cast("long").alias("back"), F.sum("rows").cast("long").alias("rows"))
+    back, rows = steps.first()
+    by = one.groupBy(F.substring("date", 1, 7).alias("month")).agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("decimal(18,2)").alias("total"))
+    return by.withColumns({"back": F.lit(back), "rows": F.lit(rows)})
+
+
+@query
+def near_duplicates_by_similarity(spark, sf_dir):
+    return duplicates.by_similarity(duplicates.spending_pairs(events(spark, sf_dir))).select("place", "seq_a", "seq_b", "similarity")

@@ -63,6 +63,22 @@ select 'raw/chase/statements-8147-' || cast(o_custkey as string) || '.pdf' as pa
 union all
 select distinct 'raw/chase/statements-8147-' || cast(o_custkey as string) || '.pdf', page, ruled, o_custkey % 2 = 1, 0, 'Statement of page ' || cast(page as string), array('Trans Date', 'Description', 'Amount') from c
 """
+#: CSV exports of a customer's orders in three layouts, one of which lacks amounts; for Spark and DuckDB.
+_CSV_ROWS = """
+select *, case when o_custkey % 3 = 2 then 'raw/first_tech/acct_9' else 'raw/chase/acct_5' end || lpad(cast(o_custkey as string), 6, '0') || '.csv' as path, cast(o_orderdate as date) as day,
+  row_number() over (partition by o_custkey order by o_orderkey) as nth, cast(o_orderkey % 900 as decimal(18,2)) as value
+from {orders}"""
+CSV_FILES = f"""with r as ({_CSV_ROWS}) select path, max(header) || chr(10) || array_join(sort_array(collect_list(lpad(cast(nth as string), 9, '0') || line)), '') as content from (
+  select path, nth, case o_custkey % 3 when 0 then 'n,Transaction Date,Amount ($),Memo,Reference Number' when 1 then 'n,date,Debit,Credit,payee,id,Balance' else 'n,date,note' end as header,
+    ',' || case o_custkey % 3 when 0 then case when o_orderkey % 5 = 0 then 'soon' else cast(day as string) end || ',"(' || cast(value as string) || ')","POS DEBIT, ' || o_orderpriority || '",T' || cast(o_orderkey as string)
+      when 1 then cast(day as string) || ',' || case when o_orderkey % 2 = 0 then cast(value as string) || ',' else ',' || cast(value as string) end || ',PAYEE ' || cast(o_orderkey as string) || ',' || cast(o_orderkey as string) || ',' || cast(value as string)
+      else cast(day as string) || ',x' end || chr(10) as line from r) as x group by path"""
+#: Files of many endings, some of them empty; for Spark and DuckDB.
+MIXED_FILES = """
+select distinct 'raw/' || case o_custkey % 3 when 0 then 'a' when 1 then 'b' else 'c' end || case when o_custkey % 2 = 0 then '/deep' else '' end || '/f' || cast(o_custkey as string)
+    || case o_custkey % 5 when 0 then '.csv' when 1 then '.QFX' when 2 then '.pdf' when 3 then '.txt' else '.ofx' end as path,
+  case when o_custkey % 7 = 0 then '' when o_custkey % 5 = 2 then '%PDF-1.7 ' || cast(o_custkey as string) when o_custkey % 5 = 0 then 'Date,Amount' || chr(10) || '1,2' when o_custkey % 11 = 0 then 'nothing' else 'OFXHEADER:100' end as content
+from {orders}"""
 #: Lines that an ingest has rejected, from events; for Spark and DuckDB.
 REJECTED = """
 select 'in/' || cast(event_id % 200 as string) || '.csv' as source_file, cast(event_id as int) as line_no,
@@ -318,6 +334,24 @@ SQL = {
     "pdf_statements": f"""with r as ({sql(_STATEMENT_ROWS)}) select 'raw/chase/statements-8147-' || o_custkey || '.pdf' as source_file, cast(nth as bigint) as nth, strftime(day, '%Y-%m-%d') as date,
       cast(case when o_orderkey % 4 = 1 then value else -value end as decimal(18,2)) as amount, description, '8147' as account, 'Chase' as institution, cast(null as varchar) as problem from r""",
     "pdf_table_maps": f"""with r as ({sql(_STATEMENT_ROWS)}) select 'raw/chase/statements-8147-' || o_custkey || '.pdf' as path, page, strftime(day, '%m/%d/%Y') as date, description, '$' || value as amount from r where ruled""",
+    "csv_source": f"""with r as ({sql(_CSV_ROWS)}), f as (select *, right(regexp_extract(path, 'acct_([0-9]+)', 1), 4) as account from r)
+      select path as source_file, cast(nth as bigint) as line_no, case when o_custkey % 3 = 0 and o_orderkey % 5 = 0 then null else cast(day as varchar) end as date, cast(case when o_custkey % 3 = 0 or o_orderkey % 2 = 0 then -value else value end as decimal(18,2)) as amount,
+        case when o_custkey % 3 = 0 then 'DEBIT, ' || trim(o_orderpriority) else 'PAYEE ' || o_orderkey end as description, case when o_custkey % 3 = 1 then value end as balance, case when o_custkey % 3 = 0 then 'T' || o_orderkey else cast(o_orderkey as varchar) end as transaction_id,
+        account, 'Chase' as institution, case when o_custkey % 3 = 0 and o_orderkey % 5 = 0 then 'bad date' end as problem from f where o_custkey % 3 <> 2
+      union all select distinct path, 0::bigint, null, null, null, null, null, null, null, 'missing columns: description, amount' from f where o_custkey % 3 = 2""",
+    "ofx_source": """select 'raw/first_tech/export_' || floor(o_orderkey / 4)::bigint || '.qfx' as source_file, 'T' || o_orderkey as transaction_id, strftime(o_orderdate, '%Y-%m-%d') as date, cast(-o_totalprice as decimal(18,2)) as amount, o_orderpriority || ' STORE' as description,
+      right(cast(500000000 + floor(o_orderkey / 4)::bigint as string), 4) as account, 'First Tech' as institution, null as problem from orders where starts_with(cast(floor(o_orderkey / 4)::bigint as varchar), '1')""",
+    "pdf_source": f"""with r as ({sql(_STATEMENT_ROWS)}) select 'raw/chase/statements-8147-' || o_custkey || '.pdf' as source_file, count(*) as n, cast(sum(case when o_orderkey % 4 = 1 then value else -value end) as decimal(18,2)) as total, strftime(min(day), '%Y-%m-%d') as first_date, 0::bigint as problems from r group by 1""",
+    "scan_supported": f"""with f as ({sql(MIXED_FILES)}) select path, length(content) as length, case when starts_with(content, '%PDF') then 'pdf' when starts_with(content, 'OFX') then 'qfx' when starts_with(content, 'Date') then 'csv' end as format from f where content <> '' and path not like '%.txt' and path not like 'raw/c/%'""",
+    "scan_by_ending": f"""with f as ({sql(MIXED_FILES)}) select path, length(content) as length from f where path like 'raw/a/deep/%.QFX' and content <> ''""",
+    "lenient_reader": f"{_T} select account, institution, count(*) as n, cast(sum(amount) as decimal(18,2)) as total, count(balance) as balances from t where txn_seq % 7 <> 0 group by account, institution",
+    "state_log": f"with f as ({sql(FILES)}) select institution, success and file_size % 5 <> 0 as success, count(*) as files, cast(sum(case when file_size % 5 = 0 then 0 else transaction_count end) as bigint) as transactions from f group by 1, 2",
+    "state_history": f"with f as ({sql(FILES)}) select file_path, institution, transaction_count from f where last_processed >= (select max(last_processed) from f) - interval 10 day and contains(file_path, 'in/9')",
+    "best_parser": f"{_S} select txn_seq, case txn_seq % 6 when 0 then 'pdf' when 2 then 'amex' when 4 then 'raw' else 'csv' end as parser from t",
+    "written_file_errors": f"""{_T}, r as (select txn_seq as line, list_filter([case when txn_seq % 11 = 0 then 'Invalid date format' end, case when txn_seq % 13 = 0 then 'Invalid amount format' end, case when txn_seq % 13 <> 0 and txn_seq % 17 = 0 then 'Amount has more than 2 decimal places' end,
+      case when txn_seq % 19 = 0 then 'Account is empty' end, case when txn_seq % 23 = 0 or length(transaction_id) between 1 and 2 then 'Transaction ID too short' end, case when txn_seq % 29 = 0 then 'Invalid account type' end], lambda x: x is not null) as e from t) select line, array_to_string(e, '; ') as errors from r where len(e) > 0""",
+    "consolidated_export": f"{_T} select strftime(date, '%Y-%m') as month, count(*) as n, cast(sum(amount) as decimal(18,2)) as total, 0::bigint as back, (select count(*) from t) as rows from t group by 1",
+    "near_duplicates_by_similarity": f"{_T}, {_spent} select row_number() over (order by similarity desc, exposure desc, seq_a, seq_b) as place, seq_a, seq_b, round(similarity, 6) as similarity from near",
     "error_rows": f"""with r as ({sql(REJECTED)}), f as ({sql(FILES)}), p as (select source_file, line_no, problem from r union all select file_path, null, 'no transactions' from f where not success)
       select {_KIND.format("'F002'", "'D001'", "'F003'", "'V001'")} as code, {_KIND.format("'error'", "'warning'", "'error'", "'warning'")} as severity, {_KIND.format("'file_format'", "'data_parsing'", "'file_format'", "'data_validation'")} as category,
         problem as message, source_file as file_path, cast(line_no as bigint) as line from p""",
@@ -331,4 +365,5 @@ SQL = {
       cast(case when form = 3 or form > 5 then -value else value end as decimal(18,2)) as amount, case when form < 3 then 'DEBIT, ' || path when form < 6 then 'PAYEE' else 'Card Charge' end as description,
       case when form between 3 and 5 then value end as balance, 'First Tech' as institution, case when form > 5 then 'bad date' end as problem from t""",
 }
+SQL["summary_beside_the_write"] = SQL["dataset_summary"]
 SQL["total_files"] = f"select institution, count(*) as n, cast(sum(amount) as decimal(18,2)) as total, count(balance) as balances from (select txn_seq from ({SQL['total_builder']})) join ({sql(EVENTS)}) using (txn_seq) group by institution"

@@ -33,6 +33,8 @@ class Parser:
 @dataclass
 class Registry:
     parsers: dict[str, Parser] = field(default_factory=dict)
+    #: Files of the modules that registered parsers by name.
+    origin: dict[str, str] = field(default_factory=dict)
 
     def register(self, parser: Parser) -> bool:
         """False if one of this name with the same or a higher priority is there already."""
@@ -51,6 +53,19 @@ class Registry:
         names = F.udf(lambda path, inst: getattr(self.choose(path, inst), "name", None), "string")
         return files.withColumn("parser", names("path", institution))
 
+    def for_ending(self, ending: str) -> list[Parser]:
+        """Parsers of an ending, those that `choose` prefers first."""
+        found = [p for p in self.parsers.values() if "." + ending.lower().lstrip(".") in (e.lower() for e in p.extensions)]
+        return sorted(found, key=lambda p: -p.priority)
+
+    def reload(self, folder: str) -> int:
+        """Drop what modules of folder have registered and discover it again, so that changed, added and deleted modules take effect. Parsers that a dropped one
+        had replaced come back with the module or call that registers them."""
+        for name in [n for n, where in self.origin.items() if Path(where).parent == Path(folder)]:
+            self.parsers.pop(name, None)
+            del self.origin[name]
+        return self.discover(folder)
+
     def formats(self) -> list[str]:
         return sorted({e for p in self.parsers.values() for e in p.extensions})
 
@@ -64,7 +79,9 @@ class Registry:
             spec = importlib.util.spec_from_file_location(path.stem, path)
             module = importlib.util.module_from_spec(spec)
             spec.loader.exec_module(module)
-            n += sum(self.register(p) for p in getattr(module, "PARSERS", []))
+            for p in getattr(module, "PARSERS", []):
+                if self.register(p):
+                    n, self.origin[p.name] = n + 1, str(path)
         return n
 
 

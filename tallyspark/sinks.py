@@ -12,7 +12,7 @@ from .functions.amounts import money_text
 from .functions.paths import file_name
 from .model import STANDARD_COLUMNS
 from .operators import monthly, stats
-from .operators.graph import materialise
+from .operators.graph import materialise, release
 
 
 def formatted(txns: DataFrame, more: list | None = None) -> DataFrame:
@@ -51,15 +51,41 @@ def written(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"(__inst=[^/]+/__file=[^/]+)/", 1).alias("output_file")).where("output_file <> ''").distinct()
 
 
-def write_consolidated(txns: DataFrame, path: str) -> None:
-    """One file in order of date, then input: the export for people. Larger results are better read from the table itself."""
-    formatted(txns.orderBy("date", "txn_seq")).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_consolidated(txns: DataFrame, path: str, one_file: str | None = None) -> None:
+    """The export in order of date, then input: CSV parts that are ranged by it, in the order of their names, and a manifest (in `_manifest`, JSON: part, first and
+    last date, rows). one_file: where a single file of all parts is put too, copied part by part."""
+    order = ["date", "txn_seq"]
+    n = int(txns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = materialise(txns)  # ranging looks at its input twice
+    ranged = formatted(table.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    ranged.write.mode("overwrite").option("header", True).csv(path)
+    release(table)
+    spark = txns.sparkSession
+    parts = spark.read.schema(", ".join(f"`{c}` string" for c in STANDARD_COLUMNS)).option("header", True).option("multiLine", True).csv(path)
+    about = parts.groupBy(file_name(F.col("_metadata.file_path")).alias("part")).agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("rows"))
+    manifest = about.orderBy("part").collect()  # a row per task
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    file = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    system = file(path).getFileSystem(conf)
+    out = system.create(file(f"{path}/_manifest/parts.json"), True)
+    out.write(bytearray("".join(json.dumps(r.asDict()) + "\n" for r in manifest).encode()))
+    out.close()
+    if one_file:
+        header = (",".join(STANDARD_COLUMNS) + "\n").encode()
+        out = file(one_file).getFileSystem(conf).create(file(one_file), True)
+        out.write(bytearray(header))
+        for r in manifest:
+            part = system.open(file(f"{path}/{r['part']}"))
+            part.seek(len(header))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+        out.close()
 
 
 def write_total(txns: DataFrame, folder: str) -> None:
     """The total with source_file, and its summary as JSON."""
-    txns.select(*[F.col(c).cast("string") for c in STANDARD_COLUMNS if c in txns.columns], "source_file").write.mode("overwrite").option("header", True).csv(f"{folder}/all_transactions")
-    stats.dataset_summary(txns).write.mode("overwrite").json(f"{folder}/summary")
+    write = lambda df: df.select(*[F.col(c).cast("string") for c in STANDARD_COLUMNS if c in df.columns], "source_file").write.mode("overwrite").option("header", True).csv(f"{folder}/all_transactions")
+    stats.summarised(txns, write).write.mode("overwrite").json(f"{folder}/summary")
 
 
 def write_json(df: DataFrame, path: str) -> None:

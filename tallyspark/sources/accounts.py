@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +68,19 @@ class Config:
         return wrong
 
 
+    def updated(self, **changes: object) -> tuple[Config, list[str]]:
+        """This configuration with changes, and what is wrong with them: unknown names are left out; if a value is wrong, nothing changes. Config() has the defaults."""
+        known = {f.name for f in fields(self)}
+        wrong = [f"unknown setting {name}" for name in changes if name not in known]
+        new = replace(self, **{k: v for k, v in changes.items() if k in known})
+        bad = new.problems()
+        return (self if bad else new), wrong + bad
+
+    def of_institution(self, name: str) -> dict | None:
+        """The settings of an institution, whatever the case of its name."""
+        return next((about for n, about in self.institutions.items() if n.lower() == name.lower()), None)
+
+
 def load_config(path: str | None = None) -> tuple[Config, list[str]]:
     """The configuration and its problems; any problem gives the defaults."""
     path = path or next((p for p in CONFIG_PLACES if os.path.exists(p)), None)

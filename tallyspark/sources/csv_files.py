@@ -43,7 +43,7 @@ def missing(mapping: dict[str, str]) -> list[str]:
 
 def headers(files: DataFrame) -> list[tuple[str, list[str]]]:
     """Header line and paths of each kind of file; there are as many as banks have layouts. files: path, content."""
-    line = F.regexp_replace(F.split(F.decode(F.substring("content", 1, 65536), "UTF-8"), "\r?\n")[0], "^﻿", "")
+    line = F.regexp_replace(F.split(F.decode("content", "UTF-8"), "\r?\n", 2)[0], "^﻿", "")
     return [(r["line"], r["paths"]) for r in files.select("path", line.alias("line")).groupBy("line").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("line").collect()]
 
 

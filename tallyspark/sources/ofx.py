@@ -34,9 +34,15 @@ def read(files: DataFrame) -> DataFrame:
     statements = F.regexp_extract_all(whole, F.lit(r"(?is)(<(?:CC)?STMTRS>.*?(?=<(?:CC)?STMTRS>|\z))"), 1)
     each = files.where(valid(F.col("content"))).select(F.col("path").alias("source_file"), F.posexplode(statements).alias("nth", "statement"))
     rows = each.select("source_file", "nth", account(F.regexp_extract("statement", r"(?is)^(.*?)(?:<STMTTRN>|\z)", 1)).alias("account"), F.posexplode(F.regexp_extract_all("statement", F.lit(r"(?is)<STMTTRN>(.*?)(?=</STMTTRN>|<STMTTRN>|</BANKTRANLIST>|\z)"), 1)).alias("row", "t"))
+    numbered = rows.withColumn("line_no", (F.col("nth") * 1_000_000 + F.col("row") + 1).cast("int"))
+    return projected(numbered)
+
+
+def projected(rows: DataFrame) -> DataFrame:
+    """Transactions and problems of the text of transactions (source_file, line_no, account, t)."""
     t = F.col("t")
     out = rows.select(
-        "source_file", (F.col("nth") * 1_000_000 + F.col("row") + 1).cast("int").alias("line_no"), F.try_to_date(F.substring(tag(t, "DTPOSTED", "DTUSER"), 1, 8), "yyyyMMdd").alias("date"),
+        "source_file", "line_no", F.try_to_date(F.substring(tag(t, "DTPOSTED", "DTUSER"), 1, 8), "yyyyMMdd").alias("date"),
         F.replace(tag(t, "TRNAMT"), F.lit(","), F.lit("")).try_cast("decimal(18,2)").alias("amount"),
         F.coalesce(F.nullif(text.clean_description(tag(t, "MEMO", "NAME", "PAYEE")), F.lit("")), F.lit("Unknown transaction")).alias("description"),
         "account", paths.institution(F.col("source_file")).alias("institution"), tag(t, "FITID").alias("transaction_id"), F.lit(None).cast("string").alias("category"), amounts.normalize_amount(tag(t, "BALAMT")).alias("balance"),

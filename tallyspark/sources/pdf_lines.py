@@ -117,8 +117,13 @@ def pattern_hits(lines: DataFrame) -> DataFrame:
 def statements(files: DataFrame, this_year: int) -> DataFrame:
     """Transactions and problems of PDF files (path, content): of each page those of its tables, and of its lines only if no table gives any.
 
-    A file that can't be read, or has less than LEAST_TEXT characters on its first page, gives one bad row. Files are read once, to a table."""
-    found = materialise(pdf.read(files))
+    A file that can't be read, or has less than LEAST_TEXT characters on its first page, gives one bad row."""
+    return of_rows(pdf.read(files), this_year)
+
+
+def of_rows(rows: DataFrame, this_year: int) -> DataFrame:
+    """The same of rows of pdf.SCHEMA, which are computed once, to a table."""
+    found = materialise(rows)
     lines = found.where("kind = 'line'").select("path", "page", "line_no", "line")
     rows = materialise(table_transactions(found.where("kind = 'row'")))
     good = rows.where("problem is null").select(F.col("source_file").alias("path"), "page").distinct()

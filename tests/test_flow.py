@@ -44,8 +44,7 @@ def test_ingest_consolidate_report(spark, raw):
         ("2024-01-02", "-25.00", "Withdrawal", "unknown", "unknown"), ("2024-01-05", "-12.34", "COFFEE", "6789", "6789"), ("2024-01-06", "5.00", "REFUND", "6789", "6789"),
     }
     assert [r["problem"] for r in got.rejected.collect()] == ["bad date"]
-    known = state.upserted(state.load(spark, str(raw / "state")), got.results)
-    state.save(known, str(raw / "state"))
+    state.Log(spark, str(raw / "state")).append(got.results)
     again = state.load(spark, str(raw / "state"))
     assert again.count() == 3 and again.where("success").count() == 3
     hashed = state.hashed(files.supported(files.scan(spark, [str(raw / "raw")])))
