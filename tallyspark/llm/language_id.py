@@ -4,8 +4,8 @@ A text is read whole, in windows of WINDOW bytes of its UTF-8 form (the last one
 embedded, filters of several widths run over them, each filter's largest output (max pooling) feeds a softmax over the
 languages. A text's score for a language is the mean of its windows' probabilities, weighted by their bytes.
 
-The network is trained in numpy on the driver, on windows of at most SAMPLE_DOCS labelled texts, an equal share per language;
-the texts are chosen by a hash of doc_id, so that the sample is the same on every run. Everything else covers all rows.
+The network is trained in numpy on the driver, on windows of about SAMPLE_DOCS labelled texts (twice as many at most), an equal share per language;
+the texts are chosen by a hash of doc_id, so that the sample is the same on every run; of a language where it chooses none, the text of the smallest hash is. Everything else covers all rows.
 
 Null texts and texts without letters (Unicode's categories L; numerals are none) are `und` with a score of 0, as is everything where
 no labelled text was given, as in an empty table. Of languages with equal scores the first by name is returned. Repeated rows get
@@ -18,6 +18,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,40 +85,48 @@ class Network:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._softmax(self.pooled(x[i : i + TOGETHER])) for i in range(0, len(x), TOGETHER)]) if len(x) else np.zeros((0, len(self.shift)), np.float32)
 
+    def weights(self) -> list[np.ndarray]:
+        return [self.embed, *self.filters, self.bias, self.out, self.shift]
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross-entropy of a batch, in the order of `weights`. That of max pooling flows to the position that won; zeros, which pad
+        windows, are not embedded."""
+        rows = np.arange(len(x))
+        best, kept = [], []
+        for width, f in zip(WIDTHS, self.filters, strict=True):
+            columns = self._columns(x, width)
+            z = (columns.reshape(-1, width * EMBED) @ f).reshape(len(x), -1, FILTERS)
+            at = z.argmax(axis=1)
+            best.append(np.take_along_axis(z, at[:, None], axis=1)[:, 0])
+            kept.append((at, columns[rows[:, None], at]))
+        hidden = np.concatenate(best, axis=1) + self.bias
+        active = np.maximum(hidden, 0)
+        p = self._softmax(active)
+        p[rows, y] -= 1
+        p /= len(x)
+        back = (p @ self.out.T) * (hidden > 0)
+        grad_embed, grad_filters = np.zeros_like(self.embed), []
+        for k, (width, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
+            g = back[:, k * FILTERS : (k + 1) * FILTERS]
+            at, columns = kept[k]
+            grad_filters.append(np.einsum("nfc,nf->cf", columns, g))
+            to = g[:, :, None] * f.T[None]
+            for j in range(width):
+                np.add.at(grad_embed, x[rows[:, None], at + j], to[:, :, j * EMBED : (j + 1) * EMBED])
+        grad_embed[0] = 0
+        return [grad_embed, *grad_filters, back.sum(0), active.T @ p, p.sum(0)]
+
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> None:
-        """Adam on the cross-entropy; the gradient of max pooling flows to the position that won."""
+        """Adam on the cross-entropy."""
         rng = np.random.default_rng(seed)
-        weights = [self.embed, *self.filters, self.bias, self.out, self.shift]
+        weights = self.weights()
         m, v, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for i in range(0, len(x), BATCH):
                 b = order[i : i + BATCH]
-                xb, rows = x[b], np.arange(len(b))
-                best, kept = [], []
-                for width, f in zip(WIDTHS, self.filters, strict=True):
-                    columns = self._columns(xb, width)
-                    z = (columns.reshape(-1, width * EMBED) @ f).reshape(len(b), -1, FILTERS)
-                    at = z.argmax(axis=1)
-                    best.append(np.take_along_axis(z, at[:, None], axis=1)[:, 0])
-                    kept.append((at, columns[rows[:, None], at]))
-                hidden = np.concatenate(best, axis=1) + self.bias
-                active = np.maximum(hidden, 0)
-                p = self._softmax(active)
-                p[rows, y[b]] -= 1
-                p /= len(b)
-                back = (p @ self.out.T) * (hidden > 0)
-                grad_embed, grad_filters = np.zeros_like(self.embed), []
-                for k, (width, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
-                    g = back[:, k * FILTERS : (k + 1) * FILTERS]
-                    at, columns = kept[k]
-                    grad_filters.append(np.einsum("nfc,nf->cf", columns, g))
-                    to = g[:, :, None] * f.T[None]
-                    for j in range(width):
-                        np.add.at(grad_embed, xb[rows[:, None], at + j], to[:, :, j * EMBED : (j + 1) * EMBED])
-                grad_embed[0] = 0
                 step += 1
-                for w, g, mi, vi in zip(weights, [grad_embed, *grad_filters, back.sum(0), active.T @ p, p.sum(0)], m, v, strict=True):
+                for w, g, mi, vi in zip(weights, self.gradients(x[b], y[b]), m, v, strict=True):
                     mi += 0.1 * (g - mi)
                     vi += 0.001 * (g * g - vi)
                     w -= RATE * (mi / (1 - 0.9**step)) / (np.sqrt(vi / (1 - 0.999**step)) + 1e-8)
@@ -145,10 +154,14 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], N
     for lang in langs:
         share = F.when(F.col("lang") == lang, min(1.0, sample_docs / len(langs) / counts[lang])).otherwise(share)
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share * 1_000_000)
-    rows = drawn.select("doc_id", "lang", "text").limit(2 * sample_docs).select("lang", "text").mapInArrow(_sampled, "lang string, window binary").toPandas().sort_values(["lang", "window"])
+    windows_of = lambda df: df.select("lang", "text").mapInArrow(_sampled, "lang string, window binary").toPandas().sort_values(["lang", "window"])
+    rows = windows_of(drawn.select("doc_id", "lang", "text").limit(2 * sample_docs))
+    # the hash may draw nothing of a language whose rows share a few ids: then one of its texts stands for it
+    if absent := sorted(set(langs) - set(rows["lang"])):
+        one = known.where(F.col("lang").isin(absent)).groupBy("lang").agg(F.min_by("text", F.xxhash64("doc_id", "text")).alias("text"))
+        rows = pd.concat([rows, windows_of(one)]).sort_values(["lang", "window"])
     net = Network(len(langs))
-    if len(rows):
-        net.train(np.frombuffer(b"".join(rows["window"]), dtype=np.uint8).reshape(-1, WINDOW), np.searchsorted(langs, rows["lang"].to_numpy(dtype=str)))
+    net.train(np.frombuffer(b"".join(rows["window"]), dtype=np.uint8).reshape(-1, WINDOW), np.searchsorted(langs, rows["lang"].to_numpy(dtype=str)))
     return langs, net
 
 

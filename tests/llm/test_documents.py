@@ -236,6 +236,58 @@ def test_mixing_reaches_targets(spark, docs):
     assert all(abs(x["p_low"] - 1 / 3) < 1e-9 for x in even)
 
 
+def test_the_network_is_that_of_plain_loops():
+    """Forward pass and gradients against loops over windows, positions and bytes, and against differences of the loss."""
+    rng = np.random.default_rng(2)
+    net = language_id.Network(3)
+    for w in net.weights():
+        w += rng.normal(0, 0.1, w.shape).astype(np.float32)
+    net.embed[0] = 0
+    x, y = rng.integers(0, 256, (5, 40)).astype(np.uint8), np.array([0, 1, 2, 1, 1])
+    x[3, 20:] = 0
+
+    def plain(window):
+        pooled = []
+        for width, f in zip(language_id.WIDTHS, net.filters, strict=True):
+            for k in range(language_id.FILTERS):
+                best = -np.inf
+                for at in range(len(window) - width + 1):
+                    value = sum(float(net.embed[window[at + j], c]) * float(f[j * language_id.EMBED + c, k]) for j in range(width) for c in range(language_id.EMBED))
+                    best = max(best, value)
+                pooled.append(max(0.0, best + float(net.bias[len(pooled)])))
+        z = [sum(h * float(net.out[i, c]) for i, h in enumerate(pooled)) + float(net.shift[c]) for c in range(3)]
+        e = [np.exp(v - max(z)) for v in z]
+        return [v / sum(e) for v in e]
+
+    want = np.array([plain(w.tolist()) for w in x])
+    assert np.allclose(net.probabilities(x), want, atol=1e-5)
+    # differences need doubles
+    net.embed, net.bias, net.out, net.shift = (w.astype(np.float64) for w in (net.embed, net.bias, net.out, net.shift))
+    net.filters = [f.astype(np.float64) for f in net.filters]
+    loss = lambda: -np.log(net._softmax(net.pooled(x))[np.arange(5), y]).mean()
+    for w, g in zip(net.weights(), net.gradients(x, y), strict=True):
+        some = rng.permutation(w.size)[:25]
+        for i in some.tolist() if w is not net.embed else (x.ravel()[:20].astype(int) * language_id.EMBED + 3).tolist():
+            if w is net.embed and i < language_id.EMBED:
+                continue
+            old = w.flat[i]
+            w.flat[i] = old + 1e-6
+            up = loss()
+            w.flat[i] = old - 1e-6
+            down = loss()
+            w.flat[i] = old
+            assert abs((up - down) / 2e-6 - g.flat[i]) < 1e-5, (w.shape, i)
+
+
+def test_languages_of_rows_that_share_an_id(spark):
+    """No hash of an id decides whether anything is learned."""
+    one, two = "the house and the garden " * 9, "das Haus und der Garten " * 9
+    for doc_id in range(3):
+        df = spark.createDataFrame([(doc_id, t, lang, "s") for t, lang in ((one, "en"), (two, "de"))] * 2000, "doc_id long, text string, lang string, source string")
+        langs, net = language_id.learn(df, 1)
+        assert langs == ["de", "en"] and language_id.predict(common.pa.array([one, two]), langs, net)[0] == ["en", "de"]
+
+
 def _descent(p, t, goal, rounds=40_000):
     """Rates by plain projected gradient (accelerated), which knows no curvature: the least squares' own minimum."""
     base = (p * t[:, None]).sum(0)
