@@ -79,8 +79,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
             sinks.write_json(problems.report(errors), f"{a.errors}/report")
         out = stats.batch_summary(done)
     elif a.command == "import":
-        table, out = consolidated(spark, a.data)
-        sinks.write_consolidated(table, a.out)
+        out, counts = consolidated(spark, a.data)
+        n = counts.first()
+        print(f"{n['input_count']} rows read, {n['removed_count']} removed, {n['final_count']} kept")
+        sinks.write_consolidated(out, a.out)
     elif a.command == "report":
         html = sinks.html_report(consolidate(spark, a.data), details=f"{a.out.rstrip('/')}-rows")
         spark.createDataFrame([(html,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(a.out)
