@@ -37,7 +37,7 @@ def _lagged(txns: DataFrame, most: int) -> DataFrame:
     The amount alone is a skewed key, and quadratic; days are dealt to buckets as wide as the lag can span, and each row meets its
     own and both neighbouring buckets."""
     span = most + 2 * (most // 5 + 1)  # a lag of n business days spans at most so many calendar days
-    side = txns.select(F.abs("amount").cast("decimal(18,2)").alias("abs_amount"), _row().alias("t"), F.floor(F.datediff("date", F.lit("1970-01-01")) / span).alias("bucket"))
+    side = materialise(txns.select(F.abs("amount").cast("decimal(18,2)").alias("abs_amount"), _row().alias("t"), F.floor(F.datediff("date", F.lit("1970-01-01")) / span).alias("bucket")))
     a = side.select("abs_amount", F.col("t").alias("a"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     b = side.select("abs_amount", F.col("t").alias("b"), "bucket")
     lag = business_days(F.col("a.date"), F.col("b.date"))
