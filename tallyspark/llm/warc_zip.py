@@ -24,6 +24,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyarrow import fs
@@ -87,15 +88,8 @@ def _writer(folder: str) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = rows(batches)
         for first in source:
-            left = [first]
-
-            def some() -> Iterator[tuple[bytes, dict]]:
-                while left:
-                    yield left.pop()
-                yield from source
-
             uri = f"{folder}/{uuid.uuid4().hex}.zip"
-            n = _write_archive(uri, some())
+            n = _write_archive(uri, chain([first], source))  # not a generator: left when the archive is full, that would close source and lose its rest
             yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n])], ["uri", "records"])
 
     return work

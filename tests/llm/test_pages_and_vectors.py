@@ -144,6 +144,19 @@ def test_warc_round_trip(spark):
     assert warc_zip.round_trip(spark, pages(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("full", [1, 3000, 64 << 20])
+def test_a_task_with_more_than_one_archive_writes_every_record(tmp_path, monkeypatch, full):
+    monkeypatch.setattr(warc_zip, "ARCHIVE_BYTES", full)
+    html = ["".join(hashlib.sha512(f"{i} {k}".encode()).hexdigest() for k in range(4)) for i in range(60)]
+    sha1 = [hashlib.sha1(t.encode()).hexdigest() for t in html]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(["http://a/"] * 60), pa.array(html), pa.array(sha1), pa.array([None] * 60, pa.int64())], ["page_id", "url", "html", "sha1", "refers_to"])
+    archives = list(warc_zip._writer(f"file:{tmp_path}")(iter([rows.slice(0, 7), rows.slice(7, 0), rows.slice(7, 30), rows.slice(37)])))
+    assert len({b["uri"][0].as_py() for b in archives}) == len(archives) and sum(b["records"][0].as_py() for b in archives) == 60
+    assert {1: len(archives) == 60, 3000: 2 < len(archives) < 30}.get(full, len(archives) == 1)
+    got = [r for b in warc_zip._ranges(warc_zip._planned(iter(archives))) for r in b.to_pylist()]
+    assert [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in got] == [(i, 512, base64.b32encode(bytes.fromhex(h)).decode(), "response") for i, h in enumerate(sha1)]
+
+
 def test_zip_directory_reads_what_zipfile_writes(tmp_path):
     path = tmp_path / "a.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
