@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+from collections import Counter
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tallyspark.model import TRANSACTION
 from tallyspark.operators import dedup, duplicates, monthly, signs, stats, transfers, validate
@@ -137,3 +139,55 @@ def test_config(tmp_path):
     assert config == Config() and wrong
     (tmp_path / "d.json").write_text('{"raw_directory": "in"}')
     assert load_config(str(tmp_path / "d.json"))[0].raw_directory == "in"
+
+
+def _odd_transfers(spark):
+    """Equal amounts on near days in few accounts, some of them null, and numbers that rows share."""
+    r = random.Random(5)
+    rows = [{"txn_seq": r.randrange(120), "date": D(2024, 1, r.randrange(1, 13)), "amount": r.choice(["-5.00", "5.00", "-7.50", "7.50", "0.00"]), "account": r.choice(["A", "B", None]), "institution": r.choice(["x", "y", None])} for _ in range(150)]
+    nullable = StructType([StructField(f.name, f.dataType) for f in TRANSACTION])
+    keys = ("txn_seq", "date", "amount", "account", "institution")
+    return rows, spark.createDataFrame([tuple((Decimal(x[f.name]) if f.name == "amount" else x[f.name]) if f.name in keys else None for f in TRANSACTION) for x in rows], nullable)
+
+
+def _transfers_by_hand(rows):
+    def lag(a, b):
+        return sum((min(a, b) + dt.timedelta(k)).weekday() < 5 for k in range(abs((a - b).days) + 1))
+
+    differ = lambda a, b: a is not None and b is not None and a != b
+    for s in rows:
+        for t in rows:
+            near = Decimal(s["amount"]) < 0 and Decimal(t["amount"]) == -Decimal(s["amount"]) and lag(s["date"], t["date"]) <= 3 and s["txn_seq"] != t["txn_seq"]
+            if near and (differ(s["institution"], t["institution"]) or differ(s["account"], t["account"])):
+                yield s, t, lag(s["date"], t["date"])
+
+
+def test_transfers_are_counted_without_pairs(spark, monkeypatch):
+    rows, df = _odd_transfers(spark)
+    want = list(_transfers_by_hand(rows))
+    got = [(r["source"]["txn_seq"], r["dest"]["txn_seq"], r["lag"]) for r in transfers.transfer_pairs(df).collect()]
+    assert sorted(got) == sorted((s["txn_seq"], t["txn_seq"], n) for s, t, n in want)
+    monkeypatch.setattr(transfers, "_lagged", None)  # what follows must not make the pairs
+    counts = transfers.pair_counts(df)
+    assert {r["lag"]: r["pairs"] for r in transfers.lag_distribution(counts).collect()} == dict(Counter(n for *_, n in want))
+    totals = Counter(Decimal(t["amount"]) for _, t, _ in want)
+    assert [(r["abs_amount"], r["pairs"], r["total"]) for r in transfers.totals_by_amount(counts).collect()] == [(a, totals[a], a * totals[a]) for a in sorted(totals, reverse=True)]
+    days = Counter((min(s["date"], t["date"]), Decimal(t["amount"])) for s, t, _ in want)
+    assert {(r["date"], r["abs_amount"]): r["rows"] for r in transfers.rows_by_day(counts).collect()} == {k: 2 * n for k, n in days.items()}
+    last = sorted(((s["date"], s["txn_seq"], t["txn_seq"]) for s, t, _ in want), reverse=True)[:7]
+    assert [(r["source"]["date"], r["source"]["txn_seq"], r["dest"]["txn_seq"]) for r in transfers.recent_pairs(df, 7).collect()] == last
+
+
+def test_transfers_meet_on_their_days_only(spark):
+    """One amount over a year: rows that are joined are pairs, not half a month."""
+    df = txns(spark, [{"date": D(2024, 1, 1) + dt.timedelta(i), "amount": "-1.00" if i % 2 else "1.00", "account": str(i)} for i in range(366)])
+    seen = []
+
+    def join(a, b):
+        met = a.join(b, ["abs_amount", "day"])
+        seen.append(met.count())
+        return met
+
+    rows = df.select(*transfers.FIELDS)
+    n = transfers._met(transfers._out(rows, 3), transfers._into(rows), join).count()
+    assert n == transfers.transfer_pairs(df).count() == seen[0]
