@@ -13,6 +13,7 @@ from tallyspark.model import TRANSACTION
 from tallyspark.operators import dedup, duplicates, monthly, signs, stats, transfers, validate
 from tallyspark.operators import graph
 from tallyspark.operators.graph import components
+from tallyspark.operators.texts import with_text
 from tallyspark.plugins import Parser, Registry
 from tallyspark.sources.accounts import Config, load_config, parse_accounts
 
@@ -191,3 +192,56 @@ def test_transfers_meet_on_their_days_only(spark):
     rows = df.select(*transfers.FIELDS)
     n = transfers._met(transfers._out(rows, 3), transfers._into(rows), join).count()
     assert n == transfers.transfer_pairs(df).count() == seen[0]
+
+
+def _odd_spending(spark):
+    r = random.Random(7)
+    rows = [{"txn_seq": i % 140, "date": D(2024, 1, r.randrange(1, 9)), "amount": r.choice(["-4.50", "-5.00", "-5.50", "-5.49", "5.00"]), "source_file": r.choice(["x/a.pdf.csv", "x/b.qfx.csv", "x/c.csv"]), "description": r.choice(["ALPHA BETA GAMMA DELTA", "delta gamma beta alpha", "ALPHA BETA GAMMA DELTA EPS", "ALPHA BETA OMEGA", "#12"])} for i in range(160)]
+    return rows, txns(spark, rows)
+
+
+def _words(text):
+    return set(text.lower().replace("#12", "").split())
+
+
+def _alike(a, b):
+    x, y = _words(a["description"]), _words(b["description"])
+    return len(x & y) / len(x | y) if x and y else 0
+
+
+def test_spending_pairs_and_their_exposure(spark, monkeypatch):
+    rows, df = _odd_spending(spark)
+    out = [x for x in rows if x["amount"][0] == "-"]
+    whole = {"-4.50": 4, "-5.00": 5, "-5.50": 6, "-5.49": 5}
+    want = []
+    for a in out:
+        for b in out:
+            if a["txn_seq"] < b["txn_seq"] and a["source_file"] != b["source_file"] and abs((a["date"] - b["date"]).days) <= 3 and whole[a["amount"]] == whole[b["amount"]] and _alike(a, b) > 0.7:
+                want.append((a["txn_seq"], b["txn_seq"], max(-Decimal(a["amount"]), -Decimal(b["amount"]))))
+    got = [(r["seq_a"], r["seq_b"], r["exposure"]) for r in duplicates.spending_pairs(df).collect()]
+    assert want and sorted(got) == sorted(want)
+    monkeypatch.setattr(duplicates, "dealt_join", lambda a, b, keys, by: a.join(b, keys) if "word" in keys else pytest.fail("rows are paired"))
+    assert tuple(duplicates.exposure(df).first()) == (len(want), sum(x[2] for x in want))
+    assert tuple(duplicates.exposure(df.limit(0)).first()) == (0, 0)
+
+
+def test_pdf_rows_are_removed_without_pairs(spark, monkeypatch):
+    rows, df = _odd_spending(spark)
+    pdf, qfx = ([x for x in rows if x["amount"][0] == "-" and f".{kind}." in x["source_file"]] for kind in ("pdf", "qfx"))
+    want = sorted((a["txn_seq"], b["txn_seq"]) for a in pdf for b in qfx if a["amount"] == b["amount"] and abs((a["date"] - b["date"]).days) <= 3 and _alike(a, b) >= 0.7)
+    assert want and sorted((r["remove_seq"], r["keep_seq"]) for r in duplicates.pdf_qfx_pairs(df).collect()) == want
+    gone = {(a["txn_seq"], -Decimal(a["amount"])) for a in pdf if any(a["amount"] == b["amount"] and abs((a["date"] - b["date"]).days) <= 3 and _alike(a, b) >= 0.7 for b in qfx)}
+    monkeypatch.setattr(duplicates, "dealt_join", lambda a, b, keys, by: a.join(b, keys) if "word" in keys else pytest.fail("rows are paired"))
+    assert tuple(duplicates.removed_amount(df).first()) == (len(gone), sum(x[1] for x in gone))
+
+
+def test_texts_are_derived_once(spark):
+    df = spark.createDataFrame([(i, "A  B" if i % 2 else None) for i in range(10)], "k int, t string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    got = with_text(df, "t", "out", lambda c: F.coalesce(F.udf(count)(c), F.lit("none"))).collect()
+    assert {(r["t"], r["out"]) for r in got} == {("A  B", "A  B"), (None, "none")} and len(got) == 10 and seen.value == 2
