@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import stripped
 from ..functions.text import signature_text
 from .graph import materialise
+from .hot import dealt_join
+from .texts import with_text
 
 GAP_DAYS = 3
 #: Accounts that are broadcast, at most.
@@ -118,19 +122,33 @@ def matches(a: str, b: str, days: int = GAP_DAYS) -> Column:
 
 
 def matching_pairs(txns: DataFrame, days: int = GAP_DAYS) -> DataFrame:
-    """(seq_a, seq_b) of all rows, in input order, that `matches`: those of equal ids meet by id; others by account, cents and days, the earlier
-    row in its own bucket of cents and days and the neighbours."""
-    rows = txns.select("txn_seq", "transaction_id", "date", "amount", "account", "description")
+    """(seq_a, seq_b) of all rows, in input order, that `matches`: those of equal ids meet by id; others by account, cents, days and normal form of the description, rows
+    without text with all."""
     has_id = F.coalesce("transaction_id", F.lit("")) != ""
-    by_id = rows.where(has_id)
-    pairs = by_id.alias("a").join(by_id.alias("b"), F.col("a.transaction_id") == F.col("b.transaction_id")).where("a.txn_seq < b.txn_seq").where(matches("a", "b", days))
-    keyed = rows.select("*", F.floor(F.datediff("date", F.lit("1970-01-01")) / (days + 1)).alias("d"), F.round(F.col("amount") * 100).cast("long").alias("cents"))
-    around = keyed.withColumn("d", F.explode(F.array(F.col("d") - 1, F.col("d"), F.col("d") + 1))).withColumn("cents", F.explode(F.array(F.col("cents") - 1, F.col("cents"), F.col("cents") + 1)))
-    a, b = around.alias("a"), keyed.alias("b")
-    met = (F.col("a.account") == F.col("b.account")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.cents") == F.col("b.cents")) & (F.col("a.txn_seq") < F.col("b.txn_seq"))
-    both_ids = (F.coalesce("a.transaction_id", F.lit("")) != "") & (F.coalesce("b.transaction_id", F.lit("")) != "")
-    near = a.join(b, met).where(~both_ids).where(matches("a", "b", days))
-    return pairs.select(F.col("a.txn_seq").alias("seq_a"), F.col("b.txn_seq").alias("seq_b")).union(near.select("a.txn_seq", "b.txn_seq"))
+    rows = materialise(with_text(txns.where("txn_seq is not null").select("txn_seq", "transaction_id", "date", "amount", "account", "description"), "description", "text", signature_text).drop("description").withColumn("has_id", has_id))
+    ids = rows.where("has_id").select("transaction_id", "txn_seq")
+    by_id = dealt_join(ids.withColumnRenamed("txn_seq", "seq_a"), ids.withColumnRenamed("txn_seq", "seq_b"), ["transaction_id"], "seq_a").where("seq_a < seq_b")
+
+    keyed = rows.where("account is not null and date is not null and amount is not null").select(
+        "account", F.datediff("date", F.lit("1970-01-01")).alias("day"), F.floor(F.col("amount") * 100).cast("long").alias("cents"), "text", "has_id", "txn_seq", "amount"
+    )
+    place = {"account": F.col("account"), "days": F.floor(F.col("day") / (2 * days + 1)), "parts": F.floor(F.col("cents") / 4)}
+    near = lambda c, n, width: F.explode(F.array_distinct(F.array(F.floor((F.col(c) - n) / width), F.floor((F.col(c) + n) / width))))
+
+    def met(a: DataFrame, b: DataFrame, *more: str) -> DataFrame:
+        """Rows a without id and rows b, by place: a row of a stands in each place where its partners are."""
+        around = a.where("not has_id").withColumn("days", near("day", days, 2 * days + 1)).withColumn("parts", near("cents", 1, 4))
+        left = around.select(*place, *more, F.col("txn_seq").alias("seq_a"), F.col("amount").alias("amount_a"), F.col("day").alias("day_a"))
+        right = b.select(*[c.alias(name) for name, c in place.items()], *more, F.col("txn_seq").alias("seq_b"), F.col("amount").alias("amount_b"), F.col("day").alias("day_b"), F.col("has_id").alias("has_b"))
+        return dealt_join(left, right, [*place, *more], "seq_a").where((F.abs(F.col("amount_a") - F.col("amount_b")) <= 0.01) & (F.abs(F.col("day_a") - F.col("day_b")) <= days))
+
+    # of a pair, one row has no id: it is a; if both have none, the earlier one is
+    out = [by_id, met(keyed, keyed, "text").where("has_b or seq_a < seq_b")]
+    blank, texts = keyed.where("text = ''"), keyed.where("text <> ''")
+    if not blank.isEmpty():
+        out += [met(blank, texts), met(texts, blank.where("has_id"))]
+    ends = [F.least("seq_a", "seq_b").alias("seq_a"), F.greatest("seq_a", "seq_b").alias("seq_b")]
+    return reduce(DataFrame.union, [df.where("seq_a <> seq_b").select(*ends) for df in out])
 
 
 def import_merged(txns: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:

@@ -245,3 +245,30 @@ def test_texts_are_derived_once(spark):
 
     got = with_text(df, "t", "out", lambda c: F.coalesce(F.udf(count)(c), F.lit("none"))).collect()
     assert {(r["t"], r["out"]) for r in got} == {("A  B", "A  B"), (None, "none")} and len(got) == 10 and seen.value == 2
+
+
+def test_matching_pairs_of_all_kinds(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [{"txn_seq": r.randrange(150), "date": D(2024, 1, r.randrange(1, 25)), "amount": r.choice(["-4.50", "-4.49", "4.48", "-4.47"]), "account": r.choice(["A", "B"]), "description": r.choice(["SHOP", "shop #1", "", "OTHER"]), "transaction_id": r.choice([None, None, "", "T1", "T2"])} for _ in range(170)]
+    df = txns(spark, rows)
+    text = lambda x: x["description"].lower().replace(" #1", "")
+    want = []
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a["txn_seq"] == b["txn_seq"]:
+                continue
+            if a["transaction_id"] and b["transaction_id"]:
+                same = a["transaction_id"] == b["transaction_id"]
+            else:
+                same = abs((a["date"] - b["date"]).days) <= 3 and abs(Decimal(a["amount"]) - Decimal(b["amount"])) <= Decimal("0.01") and a["account"] == b["account"] and (text(a) == text(b) or "" in (text(a), text(b)))
+            if same:
+                want.append(tuple(sorted((a["txn_seq"], b["txn_seq"]))))
+    keys = []
+
+    def join(a, b, on, by, f=dedup.dealt_join):
+        keys.append(on)
+        return f(a, b, on, by)
+
+    monkeypatch.setattr(dedup, "dealt_join", join)
+    assert sorted(map(tuple, dedup.matching_pairs(df).collect())) == sorted(want)
+    assert ["transaction_id"] in keys and any("text" in on for on in keys)  # hot ids are dealt, texts meet equal texts
