@@ -1,19 +1,24 @@
 """Bank files as Spark data sources: spark.read.format("tally_csv" | "tally_ofx" | "tally_pdf").load(folder), after `register(spark)`.
 
-Each gives raw rows, as the files have them; `transactions` makes typed ones of them by column expressions. Files are listed once, packed to partitions of about
-PART_BYTES, and read where the tasks run, through pyarrow's file systems (local, hdfs, s3 and others, by the path's scheme). Conditions on source_file (equal, one of,
-begins with) are pushed down to the list of files. A file that can't be read gives one row that says why.
+Each gives raw rows, as the files have them; `transactions` makes typed ones of them by column expressions. Files are listed once, a folder at a time, packed to partitions of about
+PART_BYTES or PART_FILES, and read where the tasks run, through pyarrow's file systems (local, hdfs, s3 and others, by the path's scheme). Conditions on source_file (equal, one of,
+begins with) are pushed down to the list of files. The driver holds the names of a partition's files compressed, a few bytes each. A file that can't be read gives one row that says why.
 
-"tally_files" writes rows (path, content) as files below a folder, and reads them again. Each task writes beside the place and the driver moves the files there
-when all tasks are done, so a task that runs twice leaves one file."""
+"tally_files" writes rows (path, content) as files below a folder, and reads them again. Each task writes to a folder of its own beside, with a list of the files' places, and
+the driver moves the files there when all tasks are done, a list at a time, so a task that runs twice leaves one file."""
 
 from __future__ import annotations
 
 import csv
 import io
+import itertools
+import json
+import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,13 +29,22 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from . import csv_files, ofx, pdf, pdf_lines
 
-PART_BYTES, BATCH_ROWS = 32 << 20, 10_000
+PART_BYTES, PART_FILES, BATCH_ROWS = 32 << 20, 20_000, 10_000
+#: What a task's own folder begins with, and the files that the driver moves at a time, by so many threads.
+WRITING, MOVES, THREADS = "_writing-", 10_000, 16
 CSV_FIELDS = ["date", "amount", "debit", "credit", "description", "account", "transaction_id", "balance", "transaction_type"]
 
 
-@dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """Paths of files, compressed: the driver has those of all partitions."""
+
+    def __init__(self, paths: list[str]) -> None:
+        self.packed = zlib.compress("\0".join(paths).encode("utf-8", "surrogateescape"))
+
+    @property
+    def paths(self) -> list[str]:
+        found = zlib.decompress(self.packed).decode("utf-8", "surrogateescape")
+        return found.split("\0") if found else []
 
 
 def _system(path: str) -> tuple[fs.FileSystem, str]:
@@ -42,6 +56,27 @@ def plain(path: str) -> str:
     return _system(path)[1]
 
 
+def listed(system: fs.FileSystem, root: str, recursive: bool) -> Iterator[tuple[str, int]]:
+    """Paths and sizes of the files of a folder, one after another; other stores than local disks list each folder whole."""
+    folders = [root]
+    while folders:
+        folder = folders.pop()
+        if isinstance(system, fs.LocalFileSystem):
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    if not e.is_dir():
+                        if e.is_file():
+                            yield f"{folder.rstrip('/')}/{e.name}", e.stat().st_size
+                    elif recursive and not e.name.startswith(WRITING):
+                        folders.append(f"{folder.rstrip('/')}/{e.name}")
+            continue
+        for i in system.get_file_info(fs.FileSelector(folder)):
+            if i.is_file:
+                yield i.path, i.size
+            elif recursive and not i.base_name.startswith(WRITING):
+                folders.append(i.path)
+
+
 class Reader(DataSourceReader):
     """Rows of a folder's files with some endings. `rows` turns a file into rows; the first column is its path."""
 
@@ -63,15 +98,16 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         system, root = _system(self.path)
-        found = [i for i in system.get_file_info(fs.FileSelector(root, recursive=self.recursive)) if i.is_file and i.size and i.path.lower().endswith(self.endings) and self._is_wanted(i.path)]
-        out, held = [], 0
-        for i in sorted(found, key=lambda i: i.path):
-            if not out or held + i.size > PART_BYTES:
-                out.append(Files([]))
-                held = 0
-            out[-1].paths.append(i.path)
-            held += i.size
-        return out or [Files([])]
+        out, paths, held = [], [], 0
+        for path, size in listed(system, root, self.recursive):
+            if not size or not path.lower().endswith(self.endings) or not self._is_wanted(path):
+                continue
+            if paths and (held + size > PART_BYTES or len(paths) == PART_FILES):
+                out.append(Files(paths))
+                paths, held = [], 0
+            paths.append(path)
+            held += size
+        return [*out, Files(paths)] if paths or not out else out
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, _ = _system(self.path)
@@ -141,7 +177,9 @@ KINDS = {
 
 @dataclass
 class Written(WriterCommitMessage):
-    moves: list[tuple[str, str]]
+    """A task's own folder: files 0, 1, 2, ... and a list of their places, a line of JSON each."""
+
+    folder: str
 
 
 class Writer(DataSourceWriter):
@@ -150,27 +188,37 @@ class Writer(DataSourceWriter):
 
     def write(self, rows: Iterator) -> Written:
         system, root = _system(self.path)
-        moves = []
-        for r in rows:
-            place = f"{root}/{r['path']}"
-            beside = f"{root}/_writing-{uuid.uuid4().hex}"
-            system.create_dir(place.rsplit("/", 1)[0], recursive=True)
-            with system.open_output_stream(beside) as f:
-                f.write(r["content"] or b"")
-            moves.append((beside, place))
-        return Written(moves)
+        folder = f"{root}/{WRITING}{uuid.uuid4().hex}"
+        system.create_dir(folder, recursive=True)
+        made = set()
+        with system.open_output_stream(f"{folder}/places") as places:
+            for n, r in enumerate(rows):
+                place = f"{root}/{r['path']}"
+                above = place.rsplit("/", 1)[0]
+                if above not in made:
+                    system.create_dir(above, recursive=True)
+                    made = made | {above} if len(made) < MOVES else {above}
+                with system.open_output_stream(f"{folder}/{n}") as f:
+                    f.write(r["content"] or b"")
+                places.write(json.dumps(place).encode() + b"\n")
+        return Written(folder)
 
     def commit(self, messages: list[Written | None]) -> None:
         system, _ = _system(self.path)
-        for m in messages:
-            for beside, place in m.moves if m else ():
-                system.move(beside, place)
+        with ThreadPoolExecutor(THREADS) as pool:
+            for m in filter(None, messages):
+                with system.open_input_stream(f"{m.folder}/places") as f:
+                    # the last of equal places stays, as the files are moved in order of each place
+                    moves = ((f"{m.folder}/{n}", json.loads(line)) for n, line in enumerate(io.TextIOWrapper(f, encoding="utf-8")))
+                    while some := list(itertools.islice(moves, MOVES)):
+                        last = {place: beside for beside, place in some}
+                        list(pool.map(system.move, last.values(), last))
+                system.delete_dir(m.folder)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, _ = _system(self.path)
-        for m in messages:
-            for beside, _ in m.moves if m else ():
-                system.delete_file(beside)
+        for m in filter(None, messages):
+            system.delete_dir(m.folder)
 
 
 def _source(kind: str) -> type[DataSource]:
