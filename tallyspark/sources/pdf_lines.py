@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts, dates, paths, text
 from ..operators.graph import materialise
 from ..operators.signs import statement_sign
+from ..operators.texts import FEW, with_text
 from . import pdf
 
 # Written dates and amounts, statement periods, and headers of tables, in the order in which they are tried.
@@ -57,20 +58,25 @@ def transactions(lines: DataFrame, this_year: int, among: DataFrame | None = Non
     """Transactions of lines (path, page, line_no, line), or of those of them in `among`; the period is in the lines of the first page."""
     one = lines.where("page = 1").groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("first_page"))
     periods = one.select("path", period(F.col("first_page"), F.col("path")).alias("period"))
-    rows = (lines if among is None else among).where(is_transaction_line(F.col("line"))).join(periods, "path", "left")
+    rows = (lines if among is None else among).where(is_transaction_line(F.col("line")))
     line = F.trim("line")
     short = line.rlike(SHORT_LINE)
     part = lambda i: F.regexp_extract(line, SHORT_LINE, i)
-    month, day = F.split(part(1), "/")[0].try_cast("int"), F.split(part(1), "/")[1].try_cast("int")
-    short_date = F.try_to_date(F.concat_ws("-", year_of(month, F.col("period.start"), F.col("period.end"), this_year), month, day), "yyyy-M-d")
     found_date, found_amount = _found(line, DATES), _found(line, AMOUNTS)
-    rest = text.clean_description(F.replace(F.replace(line, found_date, F.lit("")), found_amount, F.lit("")))
-    amount = amounts.normalize_amount(F.when(short, part(3)).otherwise(found_amount))
+    raw = F.when(short, part(2)).otherwise(F.replace(F.replace(line, found_date, F.lit("")), found_amount, F.lit("")))
+    # to a table, so that what several columns need is found once a line
+    rows = materialise(rows.select(
+        "path", "line_no", short.alias("short"), part(1).alias("month_day"), F.when(~short, found_date).alias("written"), F.when(short, part(3)).otherwise(found_amount).alias("amount"),
+        F.when(short, part(2)).alias("raw"), text.clean_description(raw).alias("cleaned"),
+    ))
+    rows = with_text(rows, "written", "long_date", dates.normalize_date).join(periods, "path", "left")
+    month, day = F.split("month_day", "/")[0].try_cast("int"), F.split("month_day", "/")[1].try_cast("int")
+    short_date = F.try_to_date(F.concat_ws("-", year_of(month, F.col("period.start"), F.col("period.end"), this_year), month, day), "yyyy-M-d")
     # the short form's sign words are sought in the raw description, the general form's in the cleaned one
-    signed = statement_sign(amount, F.when(short, part(2)).otherwise(rest))
+    signed = statement_sign(amounts.normalize_amount(F.col("amount")), F.when(F.col("short"), F.col("raw")).otherwise(F.col("cleaned")))
     out = rows.select(
-        F.col("path").alias("source_file"), "line_no", F.when(short, short_date).otherwise(dates.normalize_date(found_date)).alias("date"),
-        signed.cast("decimal(18,2)").alias("amount"), F.when(short, text.clean_description(part(2))).otherwise(rest).alias("description"),
+        F.col("path").alias("source_file"), "line_no", F.when(F.col("short"), short_date).otherwise(F.col("long_date")).alias("date"),
+        signed.cast("decimal(18,2)").alias("amount"), F.col("cleaned").alias("description"),
         paths.account(F.col("path")).alias("account"), paths.institution(F.col("path")).alias("institution"), F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("decimal(18,2)").alias("balance"),
     )
     return out.withColumn("problem", F.when(F.col("date").isNull(), "bad date").when(F.col("amount").isNull(), "bad amount"))
@@ -90,13 +96,14 @@ def table_transactions(tables: DataFrame) -> DataFrame:
     """Transactions of table rows (path, page, line_no, header array, cells array), with page: of tables whose header names a date and an
     amount, rows that have both. The header's layouts are few, so each is found once per distinct header, by a join."""
     columns = F.udf(lambda header: table_columns(header or []), "map<string,int>")
-    layouts = tables.select("header").distinct().withColumn("at", columns("header")).where("at is not null")
-    rows = tables.join(layouts, "header")
+    layouts = materialise(tables.select("header").distinct().withColumn("at", columns("header")).where("at is not null"))
+    rows = tables.join(F.broadcast(layouts) if layouts.count() <= FEW else layouts, "header")
     cell = lambda name: F.get("cells", F.try_element_at("at", F.lit(name)))
     raw = F.coalesce(cell("description"), F.lit(""))
     amount = amounts.normalize_amount(F.trim(cell("amount")))
-    out = rows.where((F.coalesce(cell("date"), F.lit("")) != "") & (F.coalesce(cell("amount"), F.lit("")) != "")).select(
-        F.col("path").alias("source_file"), "page", "line_no", dates.normalize_date(F.trim(cell("date"))).alias("date"),
+    rows = rows.where((F.coalesce(cell("date"), F.lit("")) != "") & (F.coalesce(cell("amount"), F.lit("")) != ""))
+    out = with_text(rows.withColumn("__written", F.trim(cell("date"))), "__written", "__date", dates.normalize_date).select(
+        F.col("path").alias("source_file"), "page", "line_no", F.col("__date").alias("date"),
         statement_sign(amount, raw).cast("decimal(18,2)").alias("amount"), text.clean_description(raw).alias("description"), paths.account(F.col("path")).alias("account"), paths.institution(F.col("path")).alias("institution"),
         F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("string").alias("category"), amounts.normalize_amount(F.nullif(F.trim(cell("balance")), F.lit(""))).alias("balance"),
     )

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.pipeline import ingest
 from tallyspark.plans import statements
@@ -140,3 +141,29 @@ def test_a_statement_is_ingested(spark, tmp_path):
     assert found == {(f"2024-01-{i:02d}", f"-{i}.25", f"STORE {i}", "Chase", "8147") for i in range(1, 9)}
     assert {r["file_path"].rsplit("/", 1)[1]: r["success"] for r in got.results.collect()} == {"statements-8147-.pdf": True, "broken.pdf": False}
     assert [r["problem"] for r in got.rejected.collect()] == ["ValueError: no pages"]
+
+
+def test_statements_are_spread_over_all_tasks(spark):
+    """Files of few bytes are as much work as others: they are not put together in a few tasks."""
+    rows = spark.range(64).selectExpr("'raw/chase/statements-8147-' || id || '.pdf' as path", "1 as page", "id % 2 = 0 as ruled", "id % 3 = 0 as packed", "1 as nth", "'Title' as title", "array('01/02/2024', 'SHOP', '$1.00') as cells")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        made = statements.written(rows)
+        assert made.count() == 64 and made.select(F.spark_partition_id()).distinct().count() > 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_an_object_stream_is_opened_once(monkeypatch):
+    content, opened = statements.pdf([statements.page("Title", [("a", "b", "c")], True)] * 5, packed=True), []
+    given = pdf.Document.content
+    monkeypatch.setattr(pdf.Document, "content", lambda self, stream: opened.append(stream.about.get("Type")) or given(self, stream))
+    assert len({r[0] for r in pdf.rows_of(content)}) == 5 and opened.count("ObjStm") == 1
+
+
+def test_dates_of_lines_are_parsed_once_for_each_text(spark, monkeypatch):
+    asked = []
+    given = pdf_lines.with_text
+    monkeypatch.setattr(pdf_lines, "with_text", lambda rows, *more: asked.append(more[0]) or given(rows, *more))
+    lines = spark.createDataFrame([("p.pdf", 1, k, f"2024-01-05 Shop{k} $25.99") for k in range(3)], "path string, page int, line_no int, line string")
+    assert {(str(r["date"]), str(r["amount"]), r["description"]) for r in pdf_lines.transactions(lines, 2024).collect()} == {("2024-01-05", "-25.99", f"Shop{k}") for k in range(3)} and asked == ["written"]
